@@ -16,6 +16,8 @@ result.  All columns stay, whatever their names; working columns have reserved n
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, total
     weights_sum, all_mass = mass.agg(F.sum("_weight")).scalar(), mass.agg(F.sum("_mass")).scalar()
     rated = mass.withColumn("_rate", F.try_divide(F.col("_weight"), weights_sum) * (F.lit(float(total)) if total is not None else all_mass) / F.col("_mass"))
     rated = rated.where("_rate > 0").withColumn("_parts", F.ceil(F.col("_rate") / CHUNK).cast("int")).withColumn("_mean", F.col("_rate") / F.col("_parts"))
-    term = "exp(-_mean + j * ln(_mean) - aggregate(sequence(1, greatest(j, 1)), 0D, (a, i) -> a + ln(cast(i as double))))"
-    cdf = f"transform(sequence(0, {TERMS}), k -> aggregate(sequence(0, k), 0D, (s, j) -> s + {term}))"
-    return rated.select("_source", "_rate", "_parts", F.expr(cdf).alias("_cdf"))
+    logs = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(TERMS + 1)))
+    terms = F.transform(F.sequence(F.lit(0), F.lit(TERMS)), lambda k: F.exp(k * F.ln("_mean") - F.col("_mean") - F.element_at(F.col("_logs"), k + 1)))
+    rated = rated.withColumn("_logs", logs).withColumn("_terms", terms)
+    cdf = F.transform("_terms", lambda _, k: F.aggregate(F.slice("_terms", F.lit(1), k + 1), F.lit(0.0), lambda a, x: a + x))
+    return rated.select("_source", "_rate", "_parts", cdf.alias("_cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, total: float | None = None, seed: int = SEED, copy_col: str | None = None) -> DataFrame:
