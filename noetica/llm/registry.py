@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality
+from . import licenses, mixing, quality, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
@@ -24,8 +32,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op9_quality_rules, op10_license_scan)}
-_ORACLE: dict[str, str] = {"op4_source_mixing": mixing.ORACLE_SQL}
+_QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op9_quality_rules, op10_license_scan)}
+_ORACLE: dict[str, str] = {"op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
 
 
 def queries() -> dict[str, Query]:
