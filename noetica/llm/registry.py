@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, simhash, topk
+from . import langid, licenses, mixing, quality, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    prototypes = langid.learn(docs.where("not held_out"))
+    return langid.identify(docs, prototypes, keep=("held_out",))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -32,7 +38,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op9_quality_rules, op10_license_scan)}
+_QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op5_language_id, op9_quality_rules, op10_license_scan)}
 _ORACLE: dict[str, str] = {"op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
 
 
