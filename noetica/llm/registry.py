@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, mixing, quality, simhash, token_files, topk
+from . import bpe, langid, licenses, mixing, quality, simhash, suffix_dedup, token_files, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, prototypes, keep=("held_out",))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op5_language_id, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_license_scan)}
+_QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op5_language_id, op6_suffix_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_license_scan)}
 _ORACLE: dict[str, str] = {"op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
 
 
