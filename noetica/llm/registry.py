@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, mixing, quality, simhash, suffix_dedup, token_files, topk
+from . import bpe, langid, licenses, mixing, quality, simhash, suffix_dedup, token_files, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
@@ -50,8 +54,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op5_language_id, op6_suffix_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_license_scan)}
-_ORACLE: dict[str, str] = {"op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
+_QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_salvage, op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op5_language_id, op6_suffix_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_license_scan)}
+_ORACLE: dict[str, str] = {"op1_warc_salvage": warc.ORACLE_SQL, "op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
 
 
 def queries() -> dict[str, Query]:
