@@ -22,8 +22,10 @@ and an empty result.  Only the id and the text are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,16 +37,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, scratch
+from .common import pieces, scratch, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Ids of a shard (one document more at most).
 SHARD = 1 << 21
 #: Rounds of replacement, the least count of a pair, and the least gain of a round.
-ROUNDS, LEAST, GAIN = 5, 16, 0.03
-#: Stretches whose ids a worker keeps at most.
-HELD = 400_000
+ROUNDS, LEAST, GAIN = 4, 64, 0.04
+#: Stretches whose ids a worker keeps at most, in each of two generations.
+HELD = 250_000
 
 _HEAD = struct.Struct("<4s8q")
 
@@ -52,8 +54,10 @@ _HEAD = struct.Struct("<4s8q")
 class WordEncoder:
     """Encodings by the tokenizers library, kept for stretches between ASCII white space.
 
-    The library drops white space and never joins what it separates, and it lower-cases, so
-    a text's ids are those of its lower-cased stretches in a row.
+    The library drops white space, never joins what it separates, and lower-cases, so a
+    text's ids are those of its lower-cased stretches in a row.  Of a stretch that is a
+    Latin word with marks after it, the word and the marks are the library's own two
+    pieces; such pieces go to its BPE model directly, all others through the whole of it.
     """
 
     def __init__(self, path: str | None = None):
@@ -62,18 +66,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.held: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        model = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        return array("I", [t.id for t in model]).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        held, older, piece, rest = self.held, self.older, self._piece, []
+        for w in new:
+            if (known := older.get(w)) is not None:
+                held[w] = known
+            elif m := _WORD.fullmatch(w.decode()):
+                word, marks = m.groups()
+                word = word.lower()
+                if not marks:
+                    held[w] = piece(word)
+                    continue
+                core = word.encode()
+                known = held.get(core) or older.get(core)
+                if known is None:
+                    known = held[core] = piece(word)
+                if marks not in self.marks:
+                    self.marks[marks] = piece(marks)
+                held[w] = known + self.marks[marks]
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            held[w] = array("I", e.ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
-        new = {w for own in cut for w in own}.difference(self.held)
-        if len(self.held) + len(new) > HELD:
-            self.held.clear()
-            new = {w for own in cut for w in own}
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.held[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.held.__getitem__
-        return [b"".join(map(get, own)) for own in cut]
+        """Ids of each text as little-endian 32-bit integers."""
+        out = []
+        for text in texts:
+            words = text.encode("utf-8", "replace").lower().split() if text else []
+            try:
+                out.append(b"".join(map(self.held.__getitem__, words)))
+            except KeyError:
+                self._learn(list(set(words).difference(self.held)))
+                out.append(b"".join(map(self.held.__getitem__, words)))
+                if len(self.held) > HELD:
+                    self.older, self.held = self.held, {}
+        return out
+
+
+# a Latin-1 word, and marks that the library keeps together and that start no contraction
+_WORD = re.compile("([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([.,!?;:|&$%*#-]{0,4})")
+# the letters that byte-level vocabularies write bytes as
+_BYTE_LETTERS = {}
+for _b in range(256):
+    _shown = 33 <= _b <= 126 or 161 <= _b <= 172 or 174 <= _b <= 255
+    _BYTE_LETTERS[_b] = _b if _shown else 256 + len([x for x in range(_b) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255)])
 
 
 @lru_cache(2)
@@ -92,8 +136,8 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         if n < LEAST:
             break
         key = (sequence[:-1] << 32) | sequence[1:]
-        bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-        at = np.flatnonzero(np.bincount(bucket, minlength=1 << 21)[bucket] >= LEAST)
+        bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        at = np.flatnonzero(np.bincount(bucket, minlength=1 << 18)[bucket] >= LEAST)
         pair, inverse, counts = np.unique(key[at], return_inverse=True, return_counts=True)
         # frequent pairs first; the rank decides between overlapping places
         rank = np.empty(len(pair), np.int64)
@@ -251,7 +295,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content")
-    rows = files.mapInArrow(run, _READ)
+    rows = written(files.mapInArrow(run, _READ), "token-rows")  # each file is decoded once
     sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("size"))
     # sums within a part, then over the parts: the last window has one row per part
     sizes = sizes.withColumn("inside", F.sum("size").over(Window.partitionBy("part").orderBy("number")) - F.col("size"))
