@@ -26,10 +26,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLE)
 
 
@@ -42,3 +44,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("c_name")
         .agg(F.count("o_orderkey").alias("n_messages"))
     )
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import queries_data, queries_sparql  # noqa: F401

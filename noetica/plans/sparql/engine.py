@@ -381,7 +381,11 @@ class Engine:
             elif v not in rows.variables:
                 rows = Rows(rows.df.withColumn(v[1:], F.lit(None).cast("string")), [*rows.variables, v], rows.maybe | {v})
             out.append(v)
+        names = [v for v in out if not v.startswith("?_")] if not variables else out
         df = rows.df
+        if q.distinct and names:  # the order may then use selected variables only
+            rows = Rows(df.select(*[col(v) for v in names]).distinct(), names, rows.maybe & set(names))
+            df = rows.df
         if order:
             keys = []
             for up, e in order:
@@ -389,10 +393,7 @@ class Engine:
                 number, text = value.num(), value.str()
                 keys += [number.asc_nulls_first(), text.asc_nulls_first()] if up else [number.desc_nulls_last(), text.desc_nulls_last()]
             df = df.orderBy(*keys)
-        names = [v for v in out if not v.startswith("?_")] if not variables else out
         df = df.select(*[col(v) for v in names]) if names else df
-        if q.distinct:
-            df = df.distinct()
         if q.offset:
             df = df.offset(q.offset)
         if q.limit is not None:
