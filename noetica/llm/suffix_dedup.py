@@ -274,7 +274,7 @@ _CORE = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(
 _CORE_KINDS = ["<u8", "<u8", ("u1", 2 * CHUNK - 2), "<i8", "<i8", ("u1", 2)]
 
 
-def _cores(n_buckets: int):
+def _cores(n_buckets: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -284,7 +284,7 @@ def _cores(n_buckets: int):
             numbers, columns = _packed((core % np.uint64(n_buckets)).astype(np.int64), [core, *rest], n_buckets)
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=_CORE.names)
 
-        for part, texts in pieces(batches, "_text"):
+        for part, texts in pieces(batches, text_col):
             text = Text(_bytes_of(texts))
             ids = part.column("_id").to_numpy()
             wanted = np.zeros(text.size, bool)
@@ -385,8 +385,9 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = numbered.select("_id", F.col(text_col)).mapInArrow(_positions(n_buckets, text_col), _ENTRY).repartition("bucket").sortWithinPartitions("bucket")
     statuses = written(dealt.mapInArrow(_statuses, _STATUS), "statuses")
     left = statuses.where("not settled").groupBy("_id").agg(F.collect_set("at").alias("_left"))
-    texts = numbered.repartition("_id")
-    cores = texts.join(left, "_id").select("_id", F.col(text_col).alias("_text"), "_left").mapInArrow(_cores(n_buckets), _CORE)
+    # both joins see the same columns and rows, so the texts are dealt once (a reused exchange)
+    texts = numbered.where("_id is not null").repartition("_id")
+    cores = texts.join(left, "_id").mapInArrow(_cores(n_buckets, text_col), _CORE)
     windows = cores.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_windows, _SPANS)
     settled = statuses.where("settled").select("_id", (F.col("at") - SPAN).alias("start"), (F.col("at") + WIDTH).alias("end"))
     spans = windows.unionByName(settled).groupBy("_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
