@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch
+from .common import scratch, written
 
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT_BYTES = 0
+#: Repeated payloads up to this number (some 100 bytes each) are broadcast to the writers.
+BROADCAST_OWNERS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -156,7 +158,10 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least
     """``value``: the text of each row's record, without the blank lines that close it."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    owners = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("sha1", "size", "owner")
+    owners = rows.select("id", "size", "sha1").where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("sha1", "size", "owner")
+    owners = written(owners, "owners")
+    if owners.count() <= BROADCAST_OWNERS:
+        owners = F.broadcast(owners)  # payloads then stay where they are; beyond that they are dealt by digest
     joined = rows.join(owners, ["sha1", "size"], "left").withColumn("revisit", F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner")))
     digest = _base32(F.col("sha1"))
     name = lambda i: F.concat(F.lit("<urn:noetica:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(">"))
