@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Largest mean inverted at once.
 CHUNK = 16.0
 #: Terms of the cumulated distribution: beyond it lies less than 1e-20 at mean CHUNK.
@@ -28,6 +30,8 @@ TERMS = 80
 #: Production weights: proportional to mass to this power, so small sources are raised.
 ALPHA = 0.5
 SEED = 42
+#: Sources up to this number (under 1 kB each) are broadcast to the documents.
+BROADCAST_SOURCES = 10_000
 
 
 def _uniform(*parts: Column) -> Column:
@@ -63,7 +67,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     the input by default.  ``copy_col`` names a column for the copy number, from 1.
     """
     columns = docs.columns
-    rated = rates(docs, weights, alpha, total)
+    rated = written(rates(docs, weights, alpha, total), "rates")
+    if rated.count() <= BROADCAST_SOURCES:
+        rated = F.broadcast(rated)  # else a hot source is left to adaptive skew handling
     joined = docs.join(rated, docs["source"].eqNullSafe(rated["_source"]))
     counts = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")),
