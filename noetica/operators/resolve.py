@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import saved
 from ..functions.text import grams, jaro_winkler_of, normalise, tokens
@@ -168,8 +169,10 @@ def missing_name_parts(parts: DataFrame, least: float = 0.25) -> DataFrame:
 
 # -- e-mail local parts and name parts
 
+_FOUND = T.ArrayType(T.StructType([T.StructField("part", T.StringType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 
-@F.pandas_udf("array<struct<part:string,lo:int,hi:int>>")
+
+@F.pandas_udf(_FOUND)
 def _local_parts(parts: pd.Series, local: pd.Series) -> pd.Series:
     out = []
     for own, text in zip(parts, local, strict=True):

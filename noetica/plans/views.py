@@ -11,7 +11,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return {t: table(spark, sf_dir, t) for t in TABLES}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its times without zone are taken as times of the session's zone (UTC)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes])
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +26,7 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location histories made of events: time shrunk by 60, places on a grid by user and value."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = table(spark, sf_dir, "events")
     level = F.floor(F.col("value") / 50)
     us = F.unix_micros(F.col("ts"))
     t0 = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
@@ -62,7 +68,7 @@ stays as (select user_id, min(id) id, min(ts) t_start, max(ts) t_end, avg(lon) l
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half an hour from each purchase; every third has no place."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id")
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id")
     located = locations(spark, sf_dir).join(e.withColumnRenamed("event_id", "id"), "id", "left_semi")
     place = lambda c: F.when(F.col("id") % 3 != 0, F.col(c)).alias(c)
     return located.select("id", "user_id", F.col("ts").alias("t_start"), (F.col("ts") + F.expr("interval 30 minutes")).alias("t_end"), place("lon"), place("lat"))
