@@ -61,11 +61,12 @@ def near_pairs(points: DataFrame, metres: float, id_col: str = "id") -> DataFram
         far = F.least(F.lit(89.0), F.abs((b.cast("double") + 0.5) * height - 90) + 1.5 * height)
         return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(far)) / height)).cast("long")
 
-    cells = []
-    for step in (-1, 0, 1):
+    def neighbours(step: int) -> Column:
         n = in_band(step)
         at = F.floor((F.col("lon") + 180) / 360 * n).cast("long")
-        cells.append(F.transform(F.array_distinct(F.array(*(F.pmod(at + d, n) for d in (-1, 0, 1)))), lambda c, s=step: F.struct((F.col("band") + s).alias("band"), c.alias("column"))))
+        return F.transform(F.array_distinct(F.array(*(F.pmod(at + d, n) for d in (-1, 0, 1)))), lambda c: F.struct((F.col("band") + step).alias("band"), c.alias("column")))
+
+    cells = [neighbours(step) for step in (-1, 0, 1)]
     other = own.select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.explode(F.concat(*cells)).alias("c")).select("b", "lon2", "lat2", F.col("c.band").alias("band"), F.col("c.column").alias("_column"))
     met = own.join(other, ["band", "_column"]).where("id < b").withColumn("distance", haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")))
     return met.where(F.col("distance") <= metres).select(F.col("id").alias("a"), "b", "distance")
