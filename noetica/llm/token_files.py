@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +47,7 @@ SHARD = 1 << 21
 #: Rounds of replacement, the least count of a pair, and the least gain of a round.
 ROUNDS, LEAST, GAIN = 4, 64, 0.04
 #: Stretches whose ids a worker keeps at most, in each of two generations.
-HELD = 250_000
+HELD = 400_000
 
 _HEAD = struct.Struct("<4s8q")
 
@@ -65,32 +66,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model.tokenize
         self.held: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        model = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))
-        return array("I", [t.id for t in model]).tobytes()
+        if not piece.isascii():  # ASCII letters and marks stand for themselves
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", map(_ID, self.model(piece))).tobytes()
+
+    def _core(self, core: bytes, text: str) -> bytes:
+        known = self.held.get(core) or self.older.get(core)
+        if known is None:
+            known = self.held[core] = self._piece(text)
+        return known
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self._piece(marks)
+        return self.marks[marks]
 
     def _learn(self, new: list[bytes]) -> None:
-        held, older, piece, rest = self.held, self.older, self._piece, []
+        held, older, rest = self.held, self.older, []
         for w in new:
             if (known := older.get(w)) is not None:
                 held[w] = known
+            elif w.isalpha():  # of bytes: ASCII letters, in lower case here
+                held[w] = self._piece(w.decode())
+            elif w[-1] in _MARKS and w[:-1].isalpha():
+                held[w] = self._core(w[:-1], w[:-1].decode()) + self._mark(chr(w[-1]))
             elif m := _WORD.fullmatch(w.decode()):
-                word, marks = m.groups()
-                word = word.lower()
-                if not marks:
-                    held[w] = piece(word)
-                    continue
-                core = word.encode()
-                known = held.get(core) or older.get(core)
-                if known is None:
-                    known = held[core] = piece(word)
-                if marks not in self.marks:
-                    self.marks[marks] = piece(marks)
-                held[w] = known + self.marks[marks]
+                word, marks = m[1].lower(), m[2]
+                ids = self._core(word.encode(), word)
+                held[w] = ids + self._mark(marks) if marks else ids
             else:
                 rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
@@ -111,6 +120,8 @@ class WordEncoder:
         return out
 
 
+_ID = attrgetter("id")
+_MARKS = frozenset(b".,!?;:")
 # a Latin-1 word, and marks that the library keeps together and that start no contraction
 _WORD = re.compile("([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([.,!?;:|&$%*#-]{0,4})")
 # the letters that byte-level vocabularies write bytes as
@@ -138,12 +149,22 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         key = (sequence[:-1] << 32) | sequence[1:]
         bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
         at = np.flatnonzero(np.bincount(bucket, minlength=1 << 18)[bucket] >= LEAST)
-        pair, inverse, counts = np.unique(key[at], return_inverse=True, return_counts=True)
+        ordered = np.sort(key[at])
+        first_at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(at) else at
+        counts = np.diff(np.append(first_at, len(ordered)))
+        some = counts >= LEAST
+        pair, counts = ordered[first_at[some]], counts[some]
         # frequent pairs first; the rank decides between overlapping places
-        rank = np.empty(len(pair), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(pair))
+        pair = pair[np.argsort(-counts, kind="stable")]
+        # places by bucket: of two pairs in one, the less frequent waits for a later round
+        own = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        number_of = np.full(1 << 18, -1, np.int64)
+        number_of[own[::-1]] = np.arange(len(pair))[::-1]
+        place = number_of[bucket[at]]
+        hit = place >= 0
+        hit[hit] = pair[place[hit]] == key[at[hit]]
         order = np.full(n + 1, n + 1, np.int64)
-        order[at + 1] = np.where(counts[inverse] >= LEAST, rank[inverse], n + 1)
+        order[at[hit] + 1] = place[hit]
         mine = order[1:-1]
         after = np.append(mine[1:], n + 1)
         places = np.arange(n - 1)
@@ -156,9 +177,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         if len(chosen) < GAIN * n:
             break
         live, number = np.unique(mine[chosen], return_inverse=True)
-        by_rank = np.empty(len(pair), np.int64)
-        by_rank[rank] = pair
-        rules.append(np.stack([by_rank[live] >> 32, by_rank[live] & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([pair[live] >> 32, pair[live] & 0xFFFFFFFF], axis=1))
         sequence[chosen] = first + n_rules + number
         n_rules += len(live)
         sequence = np.delete(sequence, chosen + 1)
