@@ -46,19 +46,22 @@ END = 1
 SHARD = 1 << 21
 #: Rounds of replacement, the least count of a pair, and the least gain of a round.
 ROUNDS, LEAST, GAIN = 4, 64, 0.04
-#: Stretches whose ids a worker keeps at most, in each of two generations.
+#: Words whose ids a worker keeps at most, in each of two generations.
 HELD = 400_000
 
 _HEAD = struct.Struct("<4s8q")
 
 
 class WordEncoder:
-    """Encodings by the tokenizers library, kept for stretches between ASCII white space.
+    """Encodings by the tokenizers library, kept for words between ASCII white space.
 
     The library drops white space, never joins what it separates, and lower-cases, so a
     text's ids are those of its lower-cased stretches in a row.  Of a stretch that is a
     Latin word with marks after it, the word and the marks are the library's own two
     pieces; such pieces go to its BPE model directly, all others through the whole of it.
+
+    Texts are split and their stretches numbered by Arrow, many texts at once; the store is
+    asked once for each distinct word of them, and ids are gathered by number.
     """
 
     def __init__(self, path: str | None = None):
@@ -67,8 +70,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model.tokenize
-        self.held: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        #: Ids of words; of what is not a word of the kind above, NO_WORD.
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -76,54 +80,83 @@ class WordEncoder:
             piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", map(_ID, self.model(piece))).tobytes()
 
-    def _core(self, core: bytes, text: str) -> bytes:
-        known = self.held.get(core) or self.older.get(core)
-        if known is None:
-            known = self.held[core] = self._piece(text)
-        return known
-
-    def _mark(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            self.marks[marks] = self._piece(marks)
-        return self.marks[marks]
-
-    def _learn(self, new: list[bytes]) -> None:
-        held, older, rest = self.held, self.older, []
-        for w in new:
-            if (known := older.get(w)) is not None:
-                held[w] = known
-            elif w.isalpha():  # of bytes: ASCII letters, in lower case here
-                held[w] = self._piece(w.decode())
-            elif w[-1] in _MARKS and w[:-1].isalpha():
-                held[w] = self._core(w[:-1], w[:-1].decode()) + self._mark(chr(w[-1]))
-            elif m := _WORD.fullmatch(w.decode()):
-                word, marks = m[1].lower(), m[2]
-                ids = self._core(word.encode(), word)
-                held[w] = ids + self._mark(marks) if marks else ids
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            held[w] = array("I", e.ids).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.held.get, words))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            ids = self.older.get(w)
+            if ids is None:
+                ids = self._piece(w.lower()) if _WORD.fullmatch(w) else NO_WORD
+            found[i] = self.held[w] = ids
+        if len(self.held) > HELD:
+            self.older, self.held = self.held, {}
+        return found
+
+    def _stretches(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct stretches in a row, and where each ends."""
+        cores = pa.compute.utf8_rtrim(stretches, characters=_MARKS)
+        n_marks = pa.compute.binary_length(stretches).to_numpy() - pa.compute.binary_length(cores).to_numpy()
+        cores = cores.dictionary_encode()
+        core = cores.indices.to_numpy()
+        table = self._words(cores.dictionary.to_pylist())
+        odd = np.fromiter((ids is NO_WORD for ids in table), bool, len(table))[core] | (n_marks > MARKS)
+        # two parts of each stretch by their places in the table: the word, and the marks
+        part = np.zeros((len(core), 2), np.int64)
+        part[:, 0], part[:, 1] = core, len(table)
+        table.append(b"")
+        for k in range(1, MARKS + 1):
+            some = np.flatnonzero((n_marks == k) & ~odd)
+            if len(some):
+                marks = pa.compute.utf8_slice_codeunits(stretches.take(pa.array(some)), -k).dictionary_encode()
+                part[some, 1] = marks.indices.to_numpy() + len(table)
+                for m in marks.dictionary.to_pylist():
+                    if m not in self.marks:
+                        self.marks[m] = self._piece(m)
+                    table.append(self.marks[m])
+        some = np.flatnonzero(odd)
+        if len(some):
+            part[some, 0] = np.arange(len(some)) + len(table)
+            own = self.tokenizer.encode_batch_fast(stretches.take(pa.array(some)).to_pylist(), add_special_tokens=False)
+            table += [array("I", e.ids).tobytes() for e in own]
+        return _gathered(table, part.reshape(-1), 2)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end."""
+        lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
+        stretches = lists.flatten().dictionary_encode()
+        ids, ends = self._stretches(stretches.dictionary)
+        out, stops = _taken(ids, ends, stretches.indices.to_numpy())
+        # of a text without stretches, the list is empty or has one empty stretch
+        return out, np.concatenate(([0], stops))[np.cumsum(lists.value_lengths().to_numpy())]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        out = []
-        for text in texts:
-            words = text.encode("utf-8", "replace").lower().split() if text else []
-            try:
-                out.append(b"".join(map(self.held.__getitem__, words)))
-            except KeyError:
-                self._learn(list(set(words).difference(self.held)))
-                out.append(b"".join(map(self.held.__getitem__, words)))
-                if len(self.held) > HELD:
-                    self.older, self.held = self.held, {}
-        return out
+        raw = pa.array([None if t is None else t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string())
+        ids, ends = self.encode_column(raw)
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(texts) else []
+
+
+def _taken(ids: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids`` (ending at ``ends``) picked by number, in a row, and their new ends."""
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    sizes = (ends - starts)[index]
+    stops = np.cumsum(sizes)
+    shift = starts[index] - stops + sizes
+    return ids[np.repeat(shift, sizes) + np.arange(len(ids) and int(sizes.sum()))], stops
+
+
+def _gathered(table: list[bytes], parts: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a table picked by number; the ends of every ``together`` of them."""
+    ids = np.frombuffer(b"".join(table), "<u4")
+    out, stops = _taken(ids, np.cumsum(np.fromiter(map(len, table), np.int64, len(table)) // 4), parts)
+    return out, stops[together - 1 :: together]
 
 
 _ID = attrgetter("id")
-_MARKS = frozenset(b".,!?;:")
-# a Latin-1 word, and marks that the library keeps together and that start no contraction
-_WORD = re.compile("([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([.,!?;:|&$%*#-]{0,4})")
+NO_WORD = b""
+# marks that the library keeps together and that start no contraction; so many at most
+_MARKS, MARKS = ".,!?;:|&$%*#-", 4
+_WORD = re.compile("[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+")
 # the letters that byte-level vocabularies write bytes as
 _BYTE_LETTERS = {}
 for _b in range(256):
@@ -139,49 +172,65 @@ def word_encoder(path: str | None = None) -> WordEncoder:
 # -- grammar
 
 
+def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """An 18-bit hash of each pair."""
+    h = left.astype(np.uint32) * np.uint32(0x9E3779B1)
+    h += right.astype(np.uint32) * np.uint32(0x85EBCA77)
+    h >>= np.uint32(14)
+    return h.astype(np.intp)
+
+
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): nonterminal ``first + i`` stands for the pair ``rules[i]``."""
-    sequence, rules, n_rules = ids.astype(np.int64), [], 0
+    sequence, rules, n_rules = ids.astype(np.uint32), [], 0
     for _ in range(ROUNDS):
         n = len(sequence)
         if n < LEAST:
             break
-        key = (sequence[:-1] << 32) | sequence[1:]
-        bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        at = np.flatnonzero(np.bincount(bucket, minlength=1 << 18)[bucket] >= LEAST)
-        ordered = np.sort(key[at])
+        bucket = _buckets(sequence[:-1], sequence[1:])
+        at = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= LEAST)[bucket])
+        key = (sequence[at].astype(np.int64) << 32) | sequence[at + 1]
+        ordered = np.sort(key)
         first_at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(at) else at
         counts = np.diff(np.append(first_at, len(ordered)))
         some = counts >= LEAST
         pair, counts = ordered[first_at[some]], counts[some]
+        if not len(pair):
+            break
         # frequent pairs first; the rank decides between overlapping places
         pair = pair[np.argsort(-counts, kind="stable")]
         # places by bucket: of two pairs in one, the less frequent waits for a later round
-        own = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        number_of = np.full(1 << 18, -1, np.int64)
-        number_of[own[::-1]] = np.arange(len(pair))[::-1]
+        own = _buckets(pair >> 32, pair & 0xFFFFFFFF)
+        number_of = np.full(1 << 18, -1, np.int32)
+        number_of[own[::-1]] = np.arange(len(pair), dtype=np.int32)[::-1]
         place = number_of[bucket[at]]
-        hit = place >= 0
-        hit[hit] = pair[place[hit]] == key[at[hit]]
-        order = np.full(n + 1, n + 1, np.int64)
-        order[at[hit] + 1] = place[hit]
-        mine = order[1:-1]
-        after = np.append(mine[1:], n + 1)
-        places = np.arange(n - 1)
-        # of a run of one id, every other place
-        run = np.maximum.accumulate(np.where(mine != order[:-2], places, 0))
-        chosen = np.flatnonzero((mine <= n) & (mine <= order[:-2]) & (mine <= after) & ((places - run) % 2 == 0))
-        used = np.bincount(mine[chosen], minlength=len(pair))
-        keep = used[mine[chosen]] >= LEAST
-        chosen = chosen[keep]
+        hit = (place >= 0) & (pair[place] == key)
+        at, place = at[hit], place[hit]
+        order = np.full(n + 1, n + 1, np.int32)
+        order[at + 1] = place
+        least = (place <= order[at]) & (place <= order[at + 2])
+        chosen, place = at[least], place[least]
+        # neighbours that are both left are of a run of one id: every other place
+        follows = np.flatnonzero(chosen[1:] == chosen[:-1] + 1) + 1
+        if len(follows):
+            new = np.ones(len(chosen), bool)
+            new[follows] = False
+            starts = np.flatnonzero(new)
+            nth = np.arange(len(chosen)) - np.repeat(starts, np.diff(np.append(starts, len(chosen))))
+            chosen, place = chosen[nth % 2 == 0], place[nth % 2 == 0]
+        used = np.bincount(place, minlength=len(pair)) >= LEAST
+        keep = used[place]
+        chosen, place = chosen[keep], place[keep]
         if len(chosen) < GAIN * n:
             break
-        live, number = np.unique(mine[chosen], return_inverse=True)
+        live = np.flatnonzero(used)
         rules.append(np.stack([pair[live] >> 32, pair[live] & 0xFFFFFFFF], axis=1))
-        sequence[chosen] = first + n_rules + number
+        sequence[chosen] = first + n_rules + (np.cumsum(used) - 1)[place]
         n_rules += len(live)
-        sequence = np.delete(sequence, chosen + 1)
-    return sequence, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+        stays = np.ones(n, bool)
+        stays[chosen + 1] = False
+        sequence = sequence[stays]
+    return sequence.astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -278,11 +327,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         def shard() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([Shard.of(part, number, ids, texts, first).to_bytes()[:-1]], pa.binary())], names=["value"])
 
-        for piece, raw in pieces(batches, text_col):
-            for i, encoded in zip(piece.column(id_col).to_pylist(), own.encode_batch(raw), strict=True):
+        for piece, _ in pieces(batches, text_col):
+            found, ends = own.encode_column(piece.column(text_col).cast(pa.string()))
+            found, at = memoryview(found.tobytes()), 0
+            for i, stop in zip(piece.column(id_col).to_pylist(), (4 * ends).tolist(), strict=True):
                 ids.append(i)
-                texts.append(encoded + end)
-                size += len(encoded) // 4 + 1
+                texts.append(bytes(found[at:stop]) + end)
+                size += (stop - at) // 4 + 1
+                at = stop
                 if size >= SHARD:
                     yield shard()
                     number, ids, texts, size = number + 1, [], [], 0
