@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SPACES, pieces
+from .common import SPACES, pieces, sql_literal
 
 #: Base rule: fewer words reject a document.
 MIN_WORDS = 50
@@ -177,3 +177,41 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
             yield part
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_SPACE_CLASS = r"[\x20\x09-\x0D]"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _count_sql(x: str, characters: str) -> str:
+    """How many characters of a class a DuckDB string has."""
+    return f"(length({x}) - length(regexp_replace({x}, {sql_literal(characters)}, '', 'g')))"
+
+
+_MARK_CLASS = f"[{re.escape(SYMBOLS)}]"
+_END_CLASS = f"[{re.escape(''.join(ENDS))}]$"
+_PHRASES = "|".join(BOILERPLATE)
+_FAILS = f"""
+  not regexp_matches(bare, {sql_literal(_END_CLASS)})
+  or {_count_sql("bare", _MARK_CLASS)} * 100 > {MAX_MARK_PERCENT} * n
+  or ({_count_sql("bare", "!")} * 100 > {MAX_EXCLAIM_PERCENT} * n and n > 3)
+  or ({_count_sql("bare", "[A-Za-z]")} > 20 and 2 * {_count_sql("bare", "[A-Z]")} > {_count_sql("bare", "[A-Za-z]")})
+  or regexp_matches(translate(bare, '{_LETTERS}', '{_LETTERS.lower()}'), {sql_literal(_PHRASES)})"""
+#: DuckDB SQL for ``verdicts`` over ``documents``; ids are taken to be unique.
+ORACLE_SQL = f"""
+with d as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+spoken as (select doc_id, unnest(string_split(x, chr(10))) line, generate_subscripts(string_split(x, chr(10)), 1) i from d),
+lines as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, regexp_replace(line, '^{_SPACE_CLASS}+|{_SPACE_CLASS}+$', '', 'g') bare from spoken),
+seen as (select *, row_number() over (partition by doc_id, line order by i) > 1 dup from lines where n > 0),
+judged as (select doc_id, dup, length(regexp_replace(line, '{_SPACE_CLASS}', '', 'g')) chars, dup or {_FAILS} out from seen),
+by_line as (select doc_id, count(*) n_lines, count(*) filter (dup) n_dup, count(*) filter (out) n_out, coalesce(sum(chars) filter (out), 0) lost from judged group by doc_id),
+windows as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] win from (select doc_id, w, unnest(range(1, len(w) - 1)) i from d)),
+again as (select doc_id, i from windows qualify count(*) over (partition by doc_id, win) > 1),
+repeated as (select doc_id, count(distinct i + k) n from again, range(0, 3) t(k) group by doc_id),
+base as (
+  select d.doc_id, len(w)::bigint n_words, length(regexp_replace(x, '{_SPACE_CLASS}', '', 'g'))::bigint word_chars, {_count_sql("x", _MARK_CLASS)}::bigint n_symbols,
+    coalesce(n_dup, 0)::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_out, 0)::bigint n_lines_removed, coalesce(lost, 0)::bigint chars_removed
+  from d left join by_line using (doc_id) left join repeated r using (doc_id)),
+failed as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words base_failed from base)
+select *, not base_failed and 100 * chars_removed <= {MAX_LOST_PERCENT} * word_chars kept from failed
+"""

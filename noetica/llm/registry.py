@@ -55,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_salvage, op2_exact_topk, op3_simhash_near_dedup, op4_source_mixing, op5_language_id, op6_suffix_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_license_scan)}
-_ORACLE: dict[str, str] = {"op1_warc_salvage": warc.ORACLE_SQL, "op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL}
+_ORACLE: dict[str, str] = {"op1_warc_salvage": warc.ORACLE_SQL, "op2_exact_topk": topk.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
 
 
 def queries() -> dict[str, Query]:

@@ -464,3 +464,18 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return _with_spans(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+#: DuckDB SQL for ``digests`` over ``documents``: every window's first start, in hexadecimal
+#: digits (two a byte).  Ids are taken to be unique.
+ORACLE_SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, ''))) n from documents),
+windows as (select doc_id, i, md5_number_lower(substr(x, 2 * i + 1, {2 * WIDTH})) h from d, lateral (select unnest(range(0, n - {WIDTH - 1})) i) where n >= {WIDTH}),
+ranked as (select doc_id, i, row_number() over (partition by h order by doc_id, i) nth from windows),
+again as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + {WIDTH}, true)::int new from ranked where nth > 1),
+numbered as (select doc_id, i, sum(new) over (partition by doc_id order by i) run from again),
+runs as (select doc_id, min(i) a, max(i) + {WIDTH} b from numbered group by doc_id, run),
+cut as (select *, coalesce(lag(b) over w, 0) before, lead(b) over w is null last_ from runs window w as (partition by doc_id order by a)),
+kept as (select doc_id, count(*) n_spans, sum(b - a) n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)) || case when last_ then substr(x, 2 * b + 1) else '' end, '' order by a) y from cut join d using (doc_id) group by doc_id)
+select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(y, x))) kept_sha256 from d left join kept using (doc_id)
+"""

@@ -426,3 +426,21 @@ def test_automaton_statistics():
         assert length == want
         for q, end in own.ends[state].items() if length else ():
             assert sequences[q][end - length : end] == text[k + 1 - length : k + 1]
+
+
+# -- SQL
+
+
+@pytest.mark.parametrize("module, of", [(quality, quality.verdicts), (suffix_dedup, suffix_dedup.digests)])
+def test_sql_equals_operator(spark, corpus, module, of):
+    import duckdb
+
+    prose = "\n".join(sentence(15) for _ in range(8))
+    texts = [*corpus, prose, prose + "\nHome | About | Login\nALL CAPS THAT SHOUT HERE AND THERE.\nWow! Yes! No! So!\nBut click here.", "é" * 150 + "x" + "é" * 150, "\x0bread more.\x0c\n" * 60]
+    docs = documents(spark, texts)
+    held = docs.toArrow()
+    con = duckdb.connect()
+    con.register("documents", held)
+    got, want = of(docs).toPandas(), con.execute(module.ORACLE_SQL).df()[of(docs).columns]
+    rows = lambda df: sorted(map(str, df.astype(object).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
