@@ -39,11 +39,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
-    """All ``(src, dst)`` joined by one edge or more: semi-naive, ends on cycles."""
-    edges = saved(edges.select("src", "dst").distinct(), "closure")
-    known = frontier = edges
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
+    """All ``(src, dst)`` joined by one edge or more; ends on cycles.
+
+    A round joins the pairs that the last one found with all pairs known, so it doubles the
+    length of the paths covered: rounds grow with the logarithm of the longest shortest path.
+    """
+    known = frontier = saved(edges.select("src", "dst").distinct(), "closure")
     while not frontier.isEmpty():
+        step = known.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
         reached = frontier.join(step, "dst").select("src", F.col("_next").alias("dst")).distinct()
         frontier = saved(reached.join(known, ["src", "dst"], "left_anti"), "closure")
         known = known.unionByName(frontier)

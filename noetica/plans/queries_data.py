@@ -34,10 +34,11 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.stay_event_matches(calendar(spark, sf_dir), stay_view(spark, sf_dir), ["user_id"]).select(F.col("id").alias("event"), F.col("r_id").alias("stay"))
 
 
-@query("near_join_grid", f"with {LOCATIONS}, p as (select * from locations where id % 5 = 0) select a.id a, b.id b, round({HAVERSINE.format(r=R, x1='a.lon', y1='a.lat', x2='b.lon', y2='b.lat')}, 3) distance from p a join p b on a.id < b.id where {HAVERSINE.format(r=R, x1='a.lon', y1='a.lat', x2='b.lon', y2='b.lat')} <= 90")
+@query("near_join_grid", f"with p as (select event_id id, 2::double + value / 500::double lon, 48::double + (event_id * 7919 % 10007)::double / 10007::double lat from events) select a.id a, b.id b, round({HAVERSINE.format(r=R, x1='a.lon', y1='a.lat', x2='b.lon', y2='b.lat')}, 3) distance from p a join p b on a.id < b.id where {HAVERSINE.format(r=R, x1='a.lon', y1='a.lat', x2='b.lon', y2='b.lat')} <= 500")
 def near_join_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = locations(spark, sf_dir).where("id % 5 = 0")
-    return relational.near_pairs(points, 90.0).select("a", "b", _r("distance", 3))
+    key = F.col("event_id")
+    points = tables(spark, sf_dir)["events"].select(key.alias("id"), (F.lit(2.0) + F.col("value") / 500.0).alias("lon"), (F.lit(48.0) + (key * 7919 % 10007).cast("double") / 10007.0).alias("lat"))
+    return relational.near_pairs(points, 500.0).select("a", "b", _r("distance", 3))
 
 
 @query("trail_length", f"with {LOCATIONS}, s as (select user_id, {HAVERSINE.format(r=R, x1='x', y1='y', x2='lon', y2='lat')} d from (select *, lag(lon) over w x, lag(lat) over w y from locations window w as (partition by user_id order by ts, id))) select user_id, round(coalesce(sum(d), 0), 4) length, count(*) n_points from s group by 1")
@@ -235,10 +236,10 @@ def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.size(text.tokens(x)).alias("n"), F.array_join(text.tokens(F.lower(x)), "_").alias("joined"))
 
 
-@query("strip_accents", "select doc_id, strip_accents(substr(text, 1, 40)) t, lower(strip_accents(substr(text, 1, 40))) n, regexp_replace(substr(text, 1, 40), '\\s', ' ', 'g') s from documents")
+@query("strip_accents", "select doc_id, strip_accents(text) t, lower(strip_accents(text)) n, regexp_replace(text, '\\s', ' ', 'g') s from documents")
 def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 40)
-    return tables(spark, sf_dir)["documents"].select("doc_id", text.strip_accents(head).alias("t"), text.normalise(head).alias("n"), text.plain_spaces(head).alias("s"))
+    own = F.col("text")
+    return tables(spark, sf_dir)["documents"].select("doc_id", text.strip_accents(own).alias("t"), text.normalise(own).alias("n"), text.plain_spaces(own).alias("s"))
 
 
 @query("levenshtein_sim", "select p_partkey, round(1 - levenshtein(p_name, p_type)::double / greatest(length(p_name), length(p_type)), 8) sim from part")
@@ -375,17 +376,18 @@ def differs_from_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.differing(_same(spark, sf_dir), different)
 
 
-@query("transitive_closure", "with recursive e as (select distinct p_partkey src, (p_partkey * 3 + 1) % (select count(*) from part where p_partkey < 500) dst from part where p_partkey < 500), w as (select src, dst from e union select w.src, e.dst from w join e on w.dst = e.src) select * from w where src < 60")
+@query("transitive_closure", "with recursive e as (select p_partkey src, case when p_partkey = 0 then 5 else p_partkey // 3 end dst from part), w as (select src, dst from e union select w.src, e.dst from w join e on w.dst = e.src) select * from w")
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables(spark, sf_dir)["part"].where("p_partkey < 500")
-    n = p.count()
-    return graph.transitive_closure(p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 3 + 1) % n).alias("dst"))).where("src < 60")
+    """Every part's ancestors in a ternary tree whose root is on a cycle."""
+    key = F.col("p_partkey")
+    return graph.transitive_closure(tables(spark, sf_dir)["part"].select(key.alias("src"), F.when(key == 0, F.lit(5).cast("long")).otherwise(F.floor(key / 3)).alias("dst")))
 
 
-@query("shortest_paths", "with recursive e as (select p_partkey a, (p_partkey * 5 + 2) % 200 b, 1 + p_size % 7 w from part where p_partkey < 200 union all select p_partkey, (p_partkey + 1) % 200, 9 from part where p_partkey < 200), d as (select 0::bigint node, 0::bigint cost union select b, cost + w from d join e on node = a where cost + w <= 60) select node, min(cost)::double distance from d group by 1")
+@query("shortest_paths", "with recursive n as (select count(*) n from part), e as (select p_partkey a, (p_partkey * 5 + 2) % n b, 1 + p_size % 7 w from part, n union all select p_partkey, (p_partkey + 1) % n, 9 from part, n), d as (select 0::bigint node, 0::bigint cost union select b, cost + w from d join e on node = a where cost + w <= 60) select node, min(cost)::double distance from d group by 1")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables(spark, sf_dir)["part"].where("p_partkey < 200")
-    edge = lambda dst, w: p.select(F.col("p_partkey").alias("src"), (dst % 200).alias("dst"), w.cast("double").alias("w"))
+    p = tables(spark, sf_dir)["part"]
+    n = p.count()
+    edge = lambda dst, w: p.select(F.col("p_partkey").alias("src"), (dst % n).alias("dst"), w.cast("double").alias("w"))
     edges = edge(F.col("p_partkey") * 5 + 2, 1 + F.col("p_size") % 7).unionByName(edge(F.col("p_partkey") + 1, F.lit(9)))
     sources = spark.createDataFrame([(0,)], "node long")
     return graph.shortest_paths(edges, sources, 60.0).select("node", "distance")
@@ -467,7 +469,7 @@ def missing_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agent_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     agents = t["supplier"].select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("agent"), F.col("s_name").alias("name"), F.lit(2).cast("long").alias("msg_count"))
-    doubles = t["supplier"].where("s_suppkey % 3 = 0").select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("agent"), F.replace(F.lower("s_name"), F.lit("#"), F.lit(" nr ")).alias("name"), F.lit(0).cast("long").alias("msg_count"))
+    doubles = t["supplier"].select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("agent"), F.replace(F.lower("s_name"), F.lit("#"), F.lit(" nr ")).alias("name"), F.lit(0).cast("long").alias("msg_count"))
     different = spark.createDataFrame([("s3", "t3")], "src string, dst string")
     return resolve.match_agents(agents.unionByName(doubles), different)
 
@@ -534,11 +536,10 @@ def stratified_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- places
 
 
-@query("reverse_geocode", f"with {LOCATIONS}, g as (select s_suppkey id, 2.35::double + 0.0008::double * (s_suppkey % 50)::double lon, 48.85::double + 0.0005::double * (s_suppkey % 37)::double lat from supplier), p as (select * from locations where id % 20 = 0), d as (select p.id, g.id place, {HAVERSINE.format(r=R, x1='p.lon', y1='p.lat', x2='g.lon', y2='g.lat')} d from p, g) select id, place, round(d, 2) distance from d where d <= 400 qualify row_number() over (partition by id order by d, place) = 1")
+@query("reverse_geocode", f"with {LOCATIONS}, g as (select s_suppkey id, 2.35::double + 0.0008::double * (s_suppkey % 50)::double lon, 48.85::double + 0.0005::double * (s_suppkey % 37)::double lat from supplier), d as (select p.id, g.id place, {HAVERSINE.format(r=R, x1='p.lon', y1='p.lat', x2='g.lon', y2='g.lat')} d from locations p, g) select id, place, round(d, 2) distance from d where d <= 400 qualify row_number() over (partition by id order by d, place) = 1")
 def reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gazetteer(spark, sf_dir)
-    p = locations(spark, sf_dir).where("id % 20 = 0")
-    return places.reverse(p, g, 400.0).select("id", "place", _r("distance", 2))
+    return places.reverse(locations(spark, sf_dir), g, 400.0).select("id", "place", _r("distance", 2))
 
 
 def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,9 +547,9 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("place"), F.col("s_name").alias("name"), (F.lit(2.35) + F.lit(0.0008) * (F.col("s_suppkey") % 50)).alias("lon"), (F.lit(48.85) + F.lit(0.0005) * (F.col("s_suppkey") % 37)).alias("lat"))
 
 
-@query("direct_geocode", "select s_suppkey q, s_suppkey place from supplier where s_suppkey % 10 = 0")
+@query("direct_geocode", "select s_suppkey q, s_suppkey place from supplier")
 def direct_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = tables(spark, sf_dir)["supplier"].where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("q"), F.lower("s_name").alias("text"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
+    asked = tables(spark, sf_dir)["supplier"].select(F.col("s_suppkey").alias("q"), F.lower("s_name").alias("text"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
     return places.direct(asked, _gazetteer(spark, sf_dir)).where("rank = 1").select("q", "place")
 
 

@@ -14,7 +14,7 @@ from .views import quads, tables
 def _run(text: str, numbers: tuple[str, ...] = (), floats: tuple[str, ...] = ()):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = select(quads(spark, sf_dir), text, disjoint=True)
-        return df.select(*[F.col(c).cast("bigint" if c in numbers else "double" if c in floats else "string").alias(c) for c in df.columns])
+        return df.select(*[(F.round(F.col(c).cast("double"), 4) if c in floats else F.col(c).cast("bigint" if c in numbers else "string")).alias(c) for c in df.columns])
 
     return run
 

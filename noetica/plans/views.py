@@ -84,13 +84,13 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     counts = t["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     own = t["customer"].join(counts, "c_custkey", "left").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("agent"), F.col("c_name").alias("name"), F.coalesce("n", F.lit(0)).alias("msg_count"))
-    parts = t["part"].where("p_partkey % 4 = 0").select(F.concat(F.lit("c"), (F.col("p_partkey") % 150).cast("string")).alias("agent"), F.col("p_name").alias("name"), (F.col("p_size") % 3).cast("long").alias("msg_count"))
+    parts = t["part"].select(F.concat(F.lit("c"), (F.col("p_partkey") % 150).cast("string")).alias("agent"), F.col("p_name").alias("name"), (F.col("p_size") % 3).cast("long").alias("msg_count"))
     return own.unionByName(parts)
 
 
 NAMES = """
 names as (
   select 'c' || c_custkey agent, c_name "name", coalesce(n, 0) msg_count from customer left join (select o_custkey, count(*) n from orders group by 1) on o_custkey = c_custkey
-  union all select 'c' || (p_partkey % 150), p_name, (p_size % 3)::bigint from part where p_partkey % 4 = 0)"""
+  union all select 'c' || (p_partkey % 150), p_name, (p_size % 3)::bigint from part)"""
 
 HAVERSINE = "2 * {r} * asin(least(1.0, sqrt(pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
