@@ -56,10 +56,13 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_distance: float | None = None) -> DataFrame:
     """``(source, node, distance, parent)`` from each ``sources.node``; weights ``w`` are not negative.
 
+    Where ``sources`` has a column ``source``, nodes that share it are one source together.
+
     Frontier relaxation: a round only follows nodes whose distance just fell.  Of equal
     distances the smaller parent stays.
     """
-    best = saved(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(None).cast(sources.schema["node"].dataType).alias("parent")).distinct(), "paths")
+    name = F.col("source" if "source" in sources.columns else "node").alias("source")
+    best = saved(sources.select(name, "node", F.lit(0.0).alias("distance"), F.lit(None).cast(sources.schema["node"].dataType).alias("parent")).distinct(), "paths")
     frontier = best
     while not frontier.isEmpty():
         reached = frontier.join(edges.select(F.col("src").alias("node"), "dst", F.col("w").cast("double").alias("w")), "node")

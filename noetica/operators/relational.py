@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions.geo import haversine
-from ..functions.text import grams
+from ..functions.text import grams, tokens
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_seconds: int = 86_400) -> DataFrame:
@@ -96,14 +97,40 @@ def merge_ranked(first: pd.DataFrame, second: pd.DataFrame, distance: str = "dis
     return pd.DataFrame([r for r in out if r[distance] <= limit], columns=first.columns)
 
 
-def merge_ranked_lists(first: DataFrame, second: DataFrame, key: str, rank: str) -> DataFrame:
-    """``merge_ranked`` per key; ``rank`` is each list's own order and renumbered in the result."""
+def merge_ranked_lists(first: DataFrame, second: DataFrame, key: str, rank: str, distance: str = "distance", limit: float = 10_000.0) -> DataFrame:
+    """``merge_ranked`` per key; ``rank`` is each list's own order and renumbered in the result.
+
+    A merge takes a row as soon as its list's front has passed the rows before it, so rows
+    stand in order of the largest distance so far in their list, the first list winning ties.
+    """
+    both = first.withColumn("_list", F.lit(1)).unionByName(second.withColumn("_list", F.lit(2)))
+    front = F.max(distance).over(Window.partitionBy(key, "_list").orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = both.withColumn("_front", front).where(F.col(distance) <= limit)
+    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy("_front", "_list", rank))).select(*first.columns)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = merge_ranked(a.sort_values(rank), b.sort_values(rank)) if len(a) or len(b) else a
-        return out.assign(**{rank: range(1, len(out) + 1)})
 
-    return first.groupBy(key).cogroup(second.groupBy(key)).applyInPandas(run, first.schema)
+def phrase_search(texts: DataFrame, entries: DataFrame, percent: int = 80, depth: int = 3, nested: bool = False) -> DataFrame:
+    """``(id, index, count, entity)``: windows of ``count`` tokens of a text that match an entry.
+
+    ``texts`` and ``entries`` have ``id`` and ``text``.  A window of tokens grows by one, up to
+    ``depth``, while it matches any entry by shared n-grams.  Unless ``nested``, a match inside
+    a longer window that matches the same entry is left out.  Each distinct phrase is sought once.
+    """
+    windows = texts.select("id", tokens(F.col("text")).alias("words")).select("id", "words", F.posexplode("words").alias("index", "phrase"))
+    found = None
+    for count in range(1, depth + 1):
+        phrases = windows.select(F.col("phrase").alias("id"), F.col("phrase").alias("text")).distinct()
+        hits = saved(blocking_pairs(phrases, entries, percent).select(F.col("q").alias("phrase"), F.col("e").alias("entity")), "phrases")
+        own = windows.join(hits, "phrase").select("id", "index", F.lit(count).alias("count"), "entity")
+        found = own if found is None else found.unionByName(own)
+        grown = windows.join(hits.select("phrase").distinct(), "phrase", "left_semi").where(F.col("index") + count < F.size("words"))
+        windows = grown.select("id", "words", "index", F.array_join(F.slice("words", F.col("index") + 1, count + 1), " ").alias("phrase"))
+    if nested:
+        return found
+    shorter = [F.struct((F.col("index") + at).alias("index"), F.lit(n).alias("count")) for n in range(1, depth) for at in range(depth - n + 1)]
+    inside = found.select("id", "entity", F.col("index").alias("from"), (F.col("index") + F.col("count")).alias("to"), "count", F.explode(F.array(*shorter)).alias("w"))
+    inside = inside.where((F.col("w.count") < F.col("count")) & (F.col("w.index") + F.col("w.count") <= F.col("to"))).select("id", F.col("w.index").alias("index"), F.col("w.count").alias("count"), "entity")
+    return found.join(inside, ["id", "index", "count", "entity"], "left_anti")
 
 
 def trail_length(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

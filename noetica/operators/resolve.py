@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..checkpoints import saved
 from ..functions.text import grams, jaro_winkler_of, normalise, tokens
 from .alignment import align
-from .graph import assignment, connected_components, dijkstra
+from .graph import assignment, connected_components, dijkstra, shortest_paths
 
 CONTACT_FLOOR, CANDIDATE_PERCENT, EVALUATE, PERSIST = 0.5, 70, 0.9, 0.9
 
@@ -222,6 +222,14 @@ def infer_part_types(evidence: list[tuple[str, str, float]], known: dict[str, st
     return out
 
 
+def part_types(evidence: DataFrame, known: DataFrame, max_cost: float | None = None) -> DataFrame:
+    """``infer_part_types`` on tables: ``evidence(a, b, cost)``, ``known(part, type)`` -> ``part, type, distance``."""
+    edge = lambda x, y: evidence.select(F.col(x).alias("src"), F.col(y).alias("dst"), F.col("cost").alias("w"))
+    paths = shortest_paths(edge("a", "b").unionByName(edge("b", "a")), known.select(F.col("type").alias("source"), F.col("part").alias("node")), max_cost)
+    best = paths.groupBy(F.col("node").alias("part")).agg(F.min(F.struct("distance", "source")).alias("best"))
+    return best.select("part", F.col("best.source").alias("type"), F.col("best.distance").alias("distance"))
+
+
 def merge_similar_parts(parts: list[tuple[str, float]], threshold: float = 0.9) -> list[tuple[str, float]]:
     """Name parts of an agent with near duplicates merged into the heaviest one."""
     out: list[tuple[str, float]] = []

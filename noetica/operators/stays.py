@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions.geo import RADIUS, ellipsoid_inverse
 from ..functions.prob import hellinger_of
+from .graph import connected_components
+from .relational import near_pairs
 
 LAMBDA, MIN_STAY, LOOKUP, MOVE_LOOKUP = 0.95, 15 * 60.0, 60 * 60.0, 120 * 60.0
 
@@ -217,6 +220,29 @@ def greedy_clusters(points: np.ndarray, radius: float) -> list[list[int]]:
     return out
 
 
+def global_clusters(points: DataFrame, metres: float, id_col: str = "id") -> DataFrame:
+    """``(id, cluster)`` by ``greedy_clusters``; the least id names a cluster.
+
+    Points that near pairs do not connect never share a cluster, so each connected component
+    is clustered by itself; lone points are found without any Python.
+    """
+    own = points.select(F.col(id_col).alias("id"), "lon", "lat")
+    pairs = saved(near_pairs(own, metres), "near")
+    parts = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = own.join(parts, own["id"] == parts["node"], "left").select("id", "lon", "lat", "component")
+    kind = points.schema[id_col].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        cluster = np.empty(len(group), object)
+        for members in greedy_clusters(group[["lon", "lat"]].to_numpy(), metres):
+            cluster[members] = group["id"].iloc[min(members)]
+        return pd.DataFrame({"id": group["id"], "cluster": cluster})
+
+    met = placed.where("component is not null").groupBy("component").applyInPandas(run, f"id {kind}, cluster {kind}")
+    return met.unionByName(placed.where("component is null").select("id", F.col("id").alias("cluster")))
+
+
 def agglomerative_clusters(points: np.ndarray, radius: float) -> list[list[int]]:
     """Pairs by distance, merged while all members stay within the radius of one another."""
     n = len(points)

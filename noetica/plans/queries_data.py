@@ -569,3 +569,64 @@ def place_same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = c.where("c_custkey % 4 = 0").select("place")
     different = spark.createDataFrame([("<x>", DIFFERENT_FROM, "<y>", "<g>")], "s string, p string, o string, g string")
     return places.place_links(found, parts, different).where("s like '<urn:p:%'").select("s", "g").distinct()
+
+
+# -- ranked lists, phrases, parts
+
+
+@query("merge_ranked_lists", "with o as (select o_custkey, o_orderkey, o_totalprice / 25 d, o_orderpriority < '3' as one from orders), r as (select *, row_number() over (partition by o_custkey, one order by d, o_orderkey) k from o) select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by d, not one, k)::int as rank from r where d <= 10000")
+def merge_ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tables(spark, sf_dir)["orders"].select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 25).alias("distance"), (F.col("o_orderpriority") < "3").alias("one"))
+    ranked = o.withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey", "one").orderBy("distance", "o_orderkey")))
+    return relational.merge_ranked_lists(ranked.where("one").drop("one"), ranked.where("not one").drop("one"), "o_custkey", "rank").select("o_custkey", "o_orderkey", "rank")
+
+
+@query(
+    "phrase_search",
+    f"with n as (select p_name t, min(p_partkey) id, {_GRAMS.format('p_name')} gs from part group by 1), x as (select p_partkey id, string_split(p_type || ' ' || p_name, ' ') w from part), "
+    "win as (select id, i, c, array_to_string(w[i:i + c - 1], ' ') ph from (select *, unnest(range(1, len(w) + 1)) i from x), range(1, 4) t(c) where i + c - 1 <= len(w)), "
+    f"ph as (select ph, {_GRAMS.format('ph')} gs from (select distinct ph from win)), h as (select ph, n.id entity from ph, n where len(list_intersect(ph.gs, n.gs)) >= greatest(1, floor(len(ph.gs) * 80 / 100))), "
+    "hit as (select win.*, entity from win join h using (ph)), ok as (select distinct id, i, c from hit), "
+    "met as (select id, i, c, entity from hit x where (c < 2 or exists (from ok where ok.id = x.id and ok.i = x.i and ok.c = 1)) and (c < 3 or exists (from ok where ok.id = x.id and ok.i = x.i and ok.c = 2))) "
+    'select id, (i - 1)::int "index", c::int "count", entity from met x where not exists (from met y where y.id = x.id and y.entity = x.entity and y.c > x.c and y.i <= x.i and x.i + x.c <= y.i + y.c)',
+)
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables(spark, sf_dir)["part"]
+    entries = p.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id"))
+    return relational.phrase_search(p.select(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit(" "), "p_name").alias("text")), entries)
+
+
+@query("part_types", "with recursive e as (select 'n' || p_name a, 'b' || p_brand b, min(1 + p_size % 5) w from part group by 1, 2), both_ as (select a, b, w from e union all select b, a, w from e), k as (select 'b' || min(p_brand) part, 'family' as type from part union all select 'b' || max(p_brand), 'given' from part), d as (select type, part, 0::bigint c from k union select type, b, c + w from d join both_ on a = part where c + w <= 12), m as (select part, type, min(c)::double distance from d group by 1, 2) select part, type, distance from m qualify row_number() over (partition by part order by distance, type) = 1")
+def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables(spark, sf_dir)["part"]
+    name, brand = F.concat(F.lit("n"), F.col("p_name")), F.concat(F.lit("b"), F.col("p_brand"))
+    evidence = p.groupBy(name.alias("a"), brand.alias("b")).agg(F.min(1 + F.col("p_size") % 5).alias("cost"))
+    ends = p.agg(F.min(brand).alias("family"), F.max(brand).alias("given"))
+    known = ends.select(F.explode(F.array(F.struct(F.col("family").alias("part"), F.lit("family").alias("type")), F.struct(F.col("given").alias("part"), F.lit("given").alias("type")))).alias("x")).select("x.*")
+    return resolve.part_types(evidence, known, 12.0)
+
+
+@query("deduplicate_parts")
+def deduplicate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = names(spark, sf_dir).select("agent", F.explode(text.tokens(F.lower("name"))).alias("part"), F.col("msg_count").cast("double").alias("weight"))
+    return resolve.deduplicate_parts(n).select("agent", "part", _r("weight"))
+
+
+@query("global_clusters")
+def global_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stays.global_clusters(tables(spark, sf_dir)["events"].select(F.col("event_id").alias("id"), (F.lit(2.0) + F.col("value") / 500.0).alias("lon"), (F.lit(48.0) + (F.col("event_id") * 7919 % 10007).cast("double") / 10007.0).alias("lat")), 100.0)
+
+
+@query("durations", "select l_orderkey, l_linenumber, case when ms < 0 then '-' else '' end || printf('P0Y0M%dDT%dH%dM%d.%03dS', s // 86400000, s % 86400000 // 3600000, s % 3600000 // 60000, s % 60000 // 1000, s % 1000) iso from (select *, abs(ms) s from (select l_orderkey, l_linenumber, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) ms from lineitem join orders on l_orderkey = o_orderkey))")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    met = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.select("l_orderkey", "l_linenumber", when.duration_iso(F.col("o_orderdate"), F.col("l_shipdate")).alias("iso"))
+
+
+@query("text_pieces", "select p_partkey, p_name || '- ' || p_brand plain, len(list_filter(ps, lambda x: not regexp_matches(x, '^[[:punct:]\\s•]+$')))::int n_tokens, array_to_string(ps, '|') pieces from (select *, regexp_extract_all(p_name || '- ' || p_brand, '[[:punct:]\\s•]+|[^[:punct:]\\s•]+') ps from part)")
+def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables(spark, sf_dir)["part"].withColumn("x", F.concat("p_name", F.lit("- "), "p_brand"))
+    pieces = text.tokens_and_separators(F.col("x"))
+    quoted = F.concat(F.lit("\"'"), F.col("x"), F.lit("'\""))
+    return p.select("p_partkey", text.unquote(quoted).alias("plain"), F.size(F.filter(pieces, lambda t: t["is_token"])).alias("n_tokens"), F.array_join(F.transform(pieces, lambda t: t["text"]), "|").alias("pieces"))

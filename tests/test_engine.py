@@ -200,3 +200,52 @@ def test_draws_and_similarity():
     assert abs(share - np.array([75, 50, 150]) / 275).mean() <= 0.01
     assert abs(text.jaro_winkler_of("martha", "marhta") - 0.9611) < 1e-3 and text.jaro_winkler_of("", "") == 1.0
     assert text.unquote_text("\"'a'\"") == "a"
+
+
+def test_merged_lists(spark):
+    import pandas as pd
+
+    rnd = random.Random(2)
+    lists = [[(k, n, r, float(rnd.randint(0, 9) * 2000)) for k in "abc" for r in range(rnd.randint(0, 8))] for n in (1, 2)]
+    columns = ["key", "list", "rank", "distance"]
+    frames = [spark.createDataFrame(rows, "key string, list int, rank int, distance double") for rows in lists]
+    got = relational.merge_ranked_lists(*frames, "key", "rank").orderBy("key", "rank").collect()
+    want = []
+    for k in "abc":
+        one, two = (pd.DataFrame([x for x in rows if x[0] == k], columns=columns) for rows in lists)
+        want += [(k, r.list, i, r.distance) for i, r in enumerate(relational.merge_ranked(one, two).itertuples(), 1)]
+    assert [(r.key, r["list"], r["rank"], r.distance) for r in got] == want
+
+
+def test_phrases(spark):
+    texts = spark.createDataFrame([(1, "met John Doe today"), (2, "alice"), (3, ""), (4, None)], "id int, text string")
+    entries = spark.createDataFrame([(10, "John Doe"), (11, "Alice Wonders")], "id int, text string")
+    assert {tuple(r) for r in relational.phrase_search(texts, entries).collect()} == {(1, 1, 2, 10), (2, 0, 1, 11)}
+    assert {tuple(r) for r in relational.phrase_search(texts, entries, nested=True).collect()} == {(1, 1, 1, 10), (1, 2, 1, 10), (1, 1, 2, 10), (2, 0, 1, 11)}
+    assert relational.phrase_search(texts.limit(0), entries).count() == 0
+
+
+def test_part_types(spark):
+    rnd = random.Random(4)
+    evidence = [(f"p{rnd.randint(0, 12)}", f"p{rnd.randint(0, 12)}", float(rnd.randint(1, 5))) for _ in range(14)]
+    known = {"p0": "given", "p1": "family", "p9": "given"}
+    want = resolve.infer_part_types(evidence, known)
+    got = resolve.part_types(spark.createDataFrame(evidence, "a string, b string, cost double"), spark.createDataFrame(list(known.items()), "part string, type string"))
+    assert {r.part: (r.type, r.distance) for r in got.collect()} == want
+
+
+def test_global_clusters(spark):
+    rnd = np.random.default_rng(5)
+    points = np.stack([2 + rnd.random(60) * 0.02, 48 + rnd.random(60) * 0.02], axis=1)
+    want = {i: min(c) for c in stays.greedy_clusters(points, 200.0) for i in c}
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id int, lon double, lat double")
+    assert {r.id: r.cluster for r in stays.global_clusters(df, 200.0).collect()} == want
+
+
+def test_closure_doubles(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(20, 17), (30, 30), (30, 30)]
+    got = {tuple(r) for r in graph.transitive_closure(spark.createDataFrame(chain, "src int, dst int")).collect()}
+    want = set(chain)
+    while more := {(a, d) for a, b in want for c, d in chain if b == c} - want:
+        want |= more
+    assert got == want
