@@ -1,8 +1,9 @@
 """Line-first quality rules.
 
-Each line is judged by itself: it fails if it does not end like a sentence, looks like
-navigation (marks instead of words), shouts, holds a boilerplate phrase, or repeats an
-earlier line of its document.  Failed lines are removed; a document that loses more than
+Each line is judged by itself: it fails if it does not end like a sentence (but a long line
+with a sentence's end inside is prose that was cut off), looks like navigation (marks
+instead of words), shouts, holds a boilerplate phrase, or repeats an earlier line of its
+document.  Failed lines are removed; a document that loses more than
 ``MAX_LOST_PERCENT`` of its word characters is rejected.  Base rules on the whole text
 (too few words, too many repeated three-word windows) reject before that.
 
@@ -39,6 +40,8 @@ MAX_EXCLAIM_PERCENT = 25
 SYMBOLS = "#*$%&|<>"
 #: How a sentence may end.
 ENDS = (".", "!", "?", '"', "'", ")", ":", ";", "…", "”", "’", "»")
+#: A line of so many words may end anyhow if a sentence ends inside it.
+PROSE_WORDS = 20
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies",
     "enable javascript", "click here", "read more", "sign up", "log in", "subscribe to", "share this", "skip to content",
@@ -82,7 +85,7 @@ def repeated_words(words: list[bytes]) -> int:
 def line_fails(line: bytes, n_words: int) -> bool:
     """Whether a line with words, not seen before in its document, breaks a rule."""
     bare = line.strip()
-    if not bare.endswith(_ENDS):
+    if not bare.endswith(_ENDS) and not (n_words >= PROSE_WORDS and _INNER_END.search(bare)):
         return True
     marks = sum(map(bare.count, _MARKS))
     if marks * 100 > MAX_MARK_PERCENT * n_words:
@@ -96,6 +99,7 @@ def line_fails(line: bytes, n_words: int) -> bool:
 
 
 _ENDS = tuple(e.encode() for e in ENDS)
+_INNER_END = re.compile(rb"[.!?] ")
 _MARKS = [s.encode() for s in SYMBOLS]
 _BOILERPLATE_BYTES = re.compile(_BOILERPLATE.pattern.encode())
 
@@ -192,7 +196,7 @@ _MARK_CLASS = f"[{re.escape(SYMBOLS)}]"
 _END_CLASS = f"[{re.escape(''.join(ENDS))}]$"
 _PHRASES = "|".join(BOILERPLATE)
 _FAILS = f"""
-  not regexp_matches(bare, {sql_literal(_END_CLASS)})
+  (not regexp_matches(bare, {sql_literal(_END_CLASS)}) and not (n >= {PROSE_WORDS} and regexp_matches(bare, '[.!?] ')))
   or {_count_sql("bare", _MARK_CLASS)} * 100 > {MAX_MARK_PERCENT} * n
   or ({_count_sql("bare", "!")} * 100 > {MAX_EXCLAIM_PERCENT} * n and n > 3)
   or ({_count_sql("bare", "[A-Za-z]")} > 20 and 2 * {_count_sql("bare", "[A-Z]")} > {_count_sql("bare", "[A-Za-z]")})
