@@ -18,7 +18,8 @@ until the length reaches the threshold:
 Ranks are names: 128-bit hashes of the bytes, the same for equal strings wherever they
 lie, so no table of ranks is sent around.  Positions travel as packed arrays by hash
 bucket.  Every map task combines equal keys first and sends at most CONTEXTS surroundings
-of a 32-byte string; those beyond are passed on to step 2 as they are.  So a string found
+of a 32-byte string to its bucket; those beyond are passed on to step 2 as they are, and
+like all whose state is known there they are spread over the buckets.  So a string found
 in a third of all documents costs a bucket a bounded number of entries for each map task.
 The windows of step 2 are dealt by content, which differs where surroundings do.
 
@@ -225,7 +226,10 @@ def _positions(n_buckets: int, text_col: str):
         def out() -> pa.RecordBatch:
             gram, context, ids, at = (np.concatenate(c) for c in zip(*held, strict=True))
             state = _combined(gram, context, ids, at)
-            numbers, columns = _packed((gram % np.uint64(n_buckets)).astype(np.int64), [gram, context, ids, at, state], n_buckets)
+            # what is known already needs no meeting: it is spread, whatever its string
+            known = (state == SETTLED) | (state == LEFT)
+            place = np.where(known, _mix(ids.astype(np.uint64), at.astype(np.uint64), _C[0]), gram)
+            numbers, columns = _packed((place % np.uint64(n_buckets)).astype(np.int64), [gram, context, ids, at, state], n_buckets)
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=_ENTRY.names)
 
         for part, texts in pieces(batches, text_col):
