@@ -1,9 +1,9 @@
 """Token ids in binary shards compressed by a Re-Pair grammar.
 
 Documents are dealt by ranges of their ids, encoded, and gathered into shards of about
-SHARD ids.  In each shard frequent pairs of neighbouring ids are repeatedly replaced by
-nonterminals; every round replaces all pairs that occur often enough, the more frequent
-one winning where two overlap, until a round gains little.  A shard file holds the rules,
+SHARD ids.  In each shard pairs of neighbouring ids are repeatedly replaced by
+nonterminals until no pair occurs twice; every round replaces all pairs that occur often
+enough, the more frequent one winning where two overlap.  A shard file holds the rules,
 their expansion lengths, the remaining symbols, and each document's id and length, so any
 range of ids is decoded by expanding only the symbols that cover it.
 
@@ -44,8 +44,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Ids of a shard (one document more at most).
 SHARD = 1 << 21
-#: Rounds of replacement, the least count of a pair, and the least gain of a round.
-ROUNDS, LEAST, GAIN = 4, 64, 0.04
+#: Least counts of a pair, one after the other: a pair that occurs twice is replaced in the end.
+LEAST = (16, 4, 2)
 #: Words whose ids a worker keeps at most, in each of two generations.
 HELD = 400_000
 
@@ -172,85 +172,106 @@ def word_encoder(path: str | None = None) -> WordEncoder:
 # -- grammar
 
 
-def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """An 18-bit hash of each pair."""
-    h = left.astype(np.uint32) * np.uint32(0x9E3779B1)
-    h += right.astype(np.uint32) * np.uint32(0x85EBCA77)
-    h >>= np.uint32(14)
-    return h.astype(np.intp)
+def _every_other(at: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """A mask of the places that stay when of a run of adjoining ones every other is left out."""
+    follows = np.flatnonzero(following[:-1] == at[1:]) + 1
+    new = np.ones(len(at), bool)
+    new[follows] = False
+    starts = np.flatnonzero(new)
+    return (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): nonterminal ``first + i`` stands for the pair ``rules[i]``."""
-    sequence, rules, n_rules = ids.astype(np.uint32), [], 0
-    for _ in range(ROUNDS):
-        n = len(sequence)
-        if n < LEAST:
-            break
-        bucket = _buckets(sequence[:-1], sequence[1:])
-        at = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= LEAST)[bucket])
-        key = (sequence[at].astype(np.int64) << 32) | sequence[at + 1]
-        ordered = np.sort(key)
-        first_at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(at) else at
-        counts = np.diff(np.append(first_at, len(ordered)))
-        some = counts >= LEAST
-        pair, counts = ordered[first_at[some]], counts[some]
-        if not len(pair):
-            break
-        # frequent pairs first; the rank decides between overlapping places
-        pair = pair[np.argsort(-counts, kind="stable")]
-        # places by bucket: of two pairs in one, the less frequent waits for a later round
-        own = _buckets(pair >> 32, pair & 0xFFFFFFFF)
-        number_of = np.full(1 << 18, -1, np.int32)
-        number_of[own[::-1]] = np.arange(len(pair), dtype=np.int32)[::-1]
-        place = number_of[bucket[at]]
-        hit = (place >= 0) & (pair[place] == key)
-        at, place = at[hit], place[hit]
-        order = np.full(n + 1, n + 1, np.int32)
-        order[at + 1] = place
-        least = (place <= order[at]) & (place <= order[at + 2])
-        chosen, place = at[least], place[least]
-        # neighbours that are both left are of a run of one id: every other place
-        follows = np.flatnonzero(chosen[1:] == chosen[:-1] + 1) + 1
-        if len(follows):
-            new = np.ones(len(chosen), bool)
-            new[follows] = False
-            starts = np.flatnonzero(new)
-            nth = np.arange(len(chosen)) - np.repeat(starts, np.diff(np.append(starts, len(chosen))))
-            chosen, place = chosen[nth % 2 == 0], place[nth % 2 == 0]
-        used = np.bincount(place, minlength=len(pair)) >= LEAST
-        keep = used[place]
-        chosen, place = chosen[keep], place[keep]
-        if len(chosen) < GAIN * n:
-            break
-        live = np.flatnonzero(used)
-        rules.append(np.stack([pair[live] >> 32, pair[live] & 0xFFFFFFFF], axis=1))
-        sequence[chosen] = first + n_rules + (np.cumsum(used) - 1)[place]
-        n_rules += len(live)
-        stays = np.ones(n, bool)
-        stays[chosen + 1] = False
-        sequence = sequence[stays]
-    return sequence.astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+    """(symbols, rules): nonterminal ``first + i`` stands for the pair ``rules[i]``.
+
+    Symbols stay at their places, linked over the gaps.  A pair of old symbols never becomes
+    more frequent, so a round counts only the places of pairs that were frequent in the one
+    before, and those beside its new symbols.
+    """
+    n, rules, n_rules = len(ids), [], 0
+    sequence, live = np.append(ids, 0).astype(np.uint32), np.ones(n, bool)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    none = np.iinfo(np.int32).max
+    rank = np.full(n + 2, none, np.int32)  # at the end and, by -1, before the start there is none
+    for least in LEAST:
+        at = np.flatnonzero(live)[:-1]
+        while len(at) >= least:
+            left, right = sequence[at], sequence[after[at]]
+            key = (left.astype(np.int64) << 32) | right
+            order = np.argsort(key)
+            ordered = key[order]
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            pair = ordered[new]
+            number = np.empty(len(at), np.int32)
+            number[order] = np.cumsum(new) - 1
+            # of a run of one symbol, every other pair counts
+            counted, same = np.ones(len(at), bool), np.flatnonzero(left == right)
+            counted[same] = _every_other(at[same], after[at[same]])
+            counts = np.bincount(number[counted], minlength=len(pair))
+            # frequent pairs first; the rank decides between overlapping places
+            some = np.flatnonzero(counts >= least)
+            if not len(some):
+                break
+            some = some[np.argsort(-counts[some], kind="stable")]
+            rank_of = np.full(len(pair), -1, np.int32)
+            rank_of[some] = np.arange(len(some), dtype=np.int32)
+            pair, place = pair[some], rank_of[number]
+            at, place = at[place >= 0], place[place >= 0]
+            rank[at] = place
+            wins = (place <= rank[before[at]]) & (place <= rank[after[at]])
+            rank[at] = none
+            chosen, place = at[wins], place[wins]
+            # neighbours that are both left are of a run of one symbol
+            keep = _every_other(chosen, after[chosen])
+            chosen, place = chosen[keep], place[keep]
+            used = np.bincount(place, minlength=len(pair)) >= least  # the first one always is
+            keep = used[place]
+            chosen, place = chosen[keep], place[keep]
+            rules.append(np.stack([pair[used] >> 32, pair[used] & 0xFFFFFFFF], axis=1))
+            sequence[chosen] = first + n_rules + (np.cumsum(used) - 1)[place]
+            n_rules += int(used.sum())
+            gone = after[chosen]
+            after[chosen] = after[gone]
+            before[after[chosen]] = chosen
+            live[gone] = False
+            beside = before[chosen]
+            touched = np.zeros(n, bool)
+            touched[at] = touched[chosen] = touched[beside[beside >= 0]] = True
+            at = np.flatnonzero(touched & live)
+            at = at[after[at] < n]
+    return sequence[:n][live].astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    lengths = np.ones(len(rules), np.int64)
-    for _ in range(ROUNDS):
-        each = np.where(rules >= first, lengths[np.maximum(rules - first, 0)], 1) if len(rules) else rules
-        lengths = each.sum(axis=1)
+    lengths, rows = np.zeros(len(rules), np.int64), np.arange(len(rules))
+    while len(rows):
+        of = rules[rows]
+        each = np.where(of >= first, lengths[np.maximum(of - first, 0)], 1)
+        known = each.all(axis=1)
+        lengths[rows[known]] = each[known].sum(axis=1)
+        rows = rows[~known]
     return lengths
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    while True:
+def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids of ``symbols``; every nonterminal puts its two parts where they belong."""
+    lengths = expansion_lengths(rules, first) if lengths is None else lengths
+
+    def sizes(x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), np.int64)
+        non = x >= first
+        out[non] = lengths[x[non] - first]
+        return out
+
+    ends = np.cumsum(sizes(symbols))
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    place = ends - sizes(symbols)
+    while len(symbols):
         non = symbols >= first
-        if not non.any():
-            return symbols
-        place = np.cumsum(1 + non) - (1 + non)
-        out = np.empty(len(symbols) + int(non.sum()), np.int64)
-        out[place] = np.where(non, rules[np.maximum(symbols - first, 0) if len(rules) else 0, 0], symbols)
-        out[place[non] + 1] = rules[symbols[non] - first, 1]
-        symbols = out
+        out[place[~non]] = symbols[~non]
+        left, right = rules[symbols[non] - first].T
+        symbols, place = np.concatenate((left, right)), np.concatenate((place[non], place[non] + sizes(left)))
+    return out
 
 
 class Shard:
@@ -299,7 +320,7 @@ class Shard:
         return cls(part, number, [None if x else int(i) for i, x in zip(ids, null, strict=True)], lengths, symbols, rules, expansions, first)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first).astype("<u4")
+        return expand(self.symbols, self.rules, self.first, self.expansions).astype("<u4")
 
     def read(self, start: int, end: int) -> np.ndarray:
         """Ids ``start`` to ``end`` of the shard, expanding only the symbols that cover them."""
@@ -309,7 +330,7 @@ class Shard:
         ends = np.cumsum(sizes)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, end, "left") + 1
         before = int(ends[a] - sizes[a])
-        return expand(self.symbols[a:b], self.rules, self.first)[start - before : end - before].astype("<u4")
+        return expand(self.symbols[a:b], self.rules, self.first, self.expansions)[start - before : end - before].astype("<u4")
 
 
 # -- Spark

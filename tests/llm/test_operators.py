@@ -350,6 +350,21 @@ def test_grammar_round_trip(ids):
         assert (back.read(a, b) == ids[a:b]).all()
 
 
+def test_grammar_until_no_pair_occurs_twice():
+    rnd = np.random.default_rng(1)
+    passage = rnd.permutation(300)  # each copy becomes one symbol, though there are only three
+    ids = np.concatenate([np.concatenate((rnd.permutation(600) + 1000 * k, passage)) for k in range(1, 4)])
+    symbols, rules = token_files.compress(ids, 50_000)
+    lengths = token_files.expansion_lengths(rules, 50_000)
+    assert lengths.max() == 300 and (symbols == 50_000 + lengths.argmax()).sum() == 3
+    for ids in (ids, rnd.integers(0, 40, 20_000), np.zeros(5000, int), np.repeat(rnd.integers(0, 5, 3000), rnd.integers(1, 6, 3000))):
+        symbols, rules = token_files.compress(ids, 50_000)
+        assert (token_files.expand(symbols, rules, 50_000) == ids).all()
+        seen = {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+            assert i - seen.setdefault(pair, i) <= 1  # only within a run of three
+
+
 # -- quality
 
 
