@@ -5,7 +5,8 @@ words are streamed through it to get matching statistics: at each word the lengt
 longest template substring that ends there.  Maximal matches of MIN_MATCH words or more
 are chained, per template, into spans of increasing template and file positions with
 bounded gaps; the share of a template's words that its best chain covers is the score.
-Templates reaching MIN_COVER give their label.
+Templates reaching MIN_COVER give their label, unless words that tell licences apart (versions,
+Affero, Lesser, ShareAlike, ...) are left out: a chain passes over none in the template or in the file.
 
 Base phrases are found apart from that, at every place where their words stand in a row.
 
@@ -17,6 +18,7 @@ words.  Only the id and the text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,10 +44,26 @@ TEMPLATES = {
     "gpl-3": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU General Public License, version 3.",
+        "You can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    ),
+    "gpl-2": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under the GNU General Public License, version 2.",
+        "You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    ),
+    "lgpl": (
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+    ),
+    "agpl-3": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "gpl-2": ("This work is licensed under the GNU General Public License, version 2.",),
-    "lgpl": ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
-    "agpl-3": ("Licensed under the GNU Affero General Public License, version 3.",),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
@@ -54,9 +72,15 @@ TEMPLATES = {
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "proprietary": ("All rights reserved.",),
 }
+#: Words that tell licences apart; so do versions, where a template states one.
+NAMES = frozenset(b"affero lesser library nc sa nd noncommercial sharealike noderivatives noderivs".split())
+VERSION = re.compile(rb"v?[0-9]{1,2}")
 #: Shortest match that is chained, in words (a whole shorter template counts too).
 MIN_MATCH = 3
 #: Share of a template's words that a chain must cover to give its label.
@@ -148,6 +172,9 @@ class Scanner:
         listed = [(label, words(t)) for label, ts in templates.items() for t in ts]
         self.labels = [label for label, _ in listed]
         self.sizes = [len(t) for _, t in listed]
+        #: Per template: whether it states a version, and how many telling words stand before each place.
+        self.versioned = [any(map(VERSION.fullmatch, t)) for _, t in listed]
+        self.telling = [np.cumsum([0, *(w in NAMES or bool(VERSION.fullmatch(w)) for w in t)]).tolist() for _, t in listed]
         self.ids: dict[bytes, int] = {}
         for _, t in listed:
             for w in t:
@@ -191,36 +218,45 @@ class Scanner:
                     out.append((int(run[0]) + i + 1 - length, length, state))
         return out
 
-    def spans(self, text_words: list[bytes]) -> list[tuple[str, float, int, int]]:
-        """(label, covered share, first word, end) of the best chain of each template met."""
-        chains: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    def passes(self, k: int, gap: list[bytes]) -> bool:
+        """Whether a chain of template ``k`` may leave out these words of the file."""
+        return not any(w in NAMES or (self.versioned[k] and VERSION.fullmatch(w)) for w in gap)
+
+    def spans(self, text_words: list[bytes]) -> list[tuple[str, bool, float, int, int]]:
+        """(label, no telling word left out, covered share, first word, end) of the best chain of each template met."""
+        chains: dict[int, list[tuple[bool, int, int, int, int]]] = {}
         for start, length, state in self.matches(text_words):
             for k, end in self.automaton.ends[state].items():
                 if length < min(MIN_MATCH, self.sizes[k]):
                     continue
-                t0, own = end - length, chains.setdefault(k, [])
-                best = (length, start, start + length, t0, end)
-                for covered, first, f_end, _, t_end in reversed(own):
+                t0, own, telling = end - length, chains.setdefault(k, []), self.telling[k]
+                # chains with all telling words so far go before longer ones
+                best = (telling[t0] == 0, length, start, start + length, end)
+                for whole, covered, first, f_end, t_end in reversed(own):
                     if f_end + MAX_GAP < start:  # chains lie in order of their ends: the rest is too far back
                         break
-                    if 0 <= start - f_end <= MAX_GAP and 0 <= t0 - t_end <= MAX_GAP and covered + length > best[0]:
-                        best = (covered + length, first, start + length, t0, end)
+                    if not (0 <= start - f_end <= MAX_GAP and 0 <= t0 - t_end <= MAX_GAP and (whole, covered + length) > best[:2]):
+                        continue
+                    if telling[t_end] == telling[t0] and self.passes(k, text_words[f_end:start]):
+                        best = (whole, covered + length, first, start + length, end)
                 own.append(best)
         found = []
         for k, own in chains.items():
-            covered, first, end, *_ = max(own, key=lambda c: (c[0], -c[1]))
-            found.append((self.labels[k], covered / self.sizes[k], first, end))
+            ended = ((whole and self.telling[k][t_end] == self.telling[k][-1], covered, first, end) for whole, covered, first, end, t_end in own)
+            whole, covered, first, end = max(ended, key=lambda c: (c[0] and c[1] >= MIN_COVER * self.sizes[k], c[1], -c[2]))
+            found.append((self.labels[k], whole, covered / self.sizes[k], first, end))
         return found
 
     def scan(self, text: str | None) -> tuple:
         text_words = words(text)
         n, first, last, base = self.base(text_words)
-        best = {}
-        for label, share, a, b in self.spans(text_words):
-            if share > best.get(label, (0.0,))[0]:
-                best[label] = (share, a, b)
-        labels = base | {label for label, (share, *_) in best.items() if share >= MIN_COVER}
-        score = max([float(n > 0), *(share for share, *_ in best.values())])
+        best, given, score = {}, {}, float(n > 0)
+        for label, whole, share, a, b in self.spans(text_words):
+            score = max(score, share)
+            own = given if whole and share >= MIN_COVER else best
+            if share > own.get(label, (0.0,))[0]:
+                own[label] = (share, a, b)
+        labels, best = base | given.keys(), best | given
         spans = [(label, *best[label]) for label in sorted(labels & best.keys())]
         return len(text_words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 

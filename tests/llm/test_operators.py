@@ -430,6 +430,32 @@ def test_licenses_templates():
     assert own.scan("the license of the work is unknown")[5] == ""
 
 
+_HEADER = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (_HEADER.format("", 2), "gpl-2"),
+        (_HEADER.format("", 3), "gpl-3"),
+        (_HEADER.format("", 1), ""),
+        (_HEADER.format("Affero ", 3), "agpl-3"),
+        (_HEADER.format("Lesser ", "2.1"), "lgpl"),
+        (_HEADER.format("Lesser ", 3), "lgpl"),
+        (_HEADER.format("Library ", 2), ""),
+        (_HEADER.format("", 3).replace("program is", "program, called x, is").replace("either", "in either"), "gpl-3"),
+        ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation", "lgpl"),
+        ("You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "gpl-2"),
+        *((f"Licensed under the GNU {name}General Public License, version {v}.", label) for name, v, label in [("", 3, "gpl-3"), ("", 2, "gpl-2"), ("Affero ", 3, "agpl-3"), ("Lesser ", 3, "lgpl"), ("Lesser ", "2.1", "lgpl")]),
+        *((_CC.format(x), label) for x, label in [("", "cc-by"), ("-NonCommercial", "cc-by-nc"), ("-ShareAlike", "cc-by-sa"), ("-NoDerivatives", "cc-by-nd"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd")]),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+    ],
+)
+def test_licenses_told_apart(text, labels):
+    assert licenses.scanner().scan(f"# {text} Other words.")[5] == labels
+
+
 def test_automaton_statistics():
     rnd = random.Random(4)
     sequences = [[rnd.randint(1, 3) for _ in range(12)] for _ in range(4)]
