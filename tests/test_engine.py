@@ -9,7 +9,7 @@ import pytest
 from noetica.functions import geo, prob, text
 from noetica.model import DIFFERENT_FROM, QUADS_DDL, SAME_AS, TYPE, apply_diff, compose, document_diff, negate
 from noetica.operators import alignment, graph, inference, relational, resolve, stays
-from noetica.plans import sparql, updates
+from noetica.plans import queries_data, registry, sparql, updates
 from noetica.plans.sparql.parser import Parser, SparqlError
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -249,3 +249,15 @@ def test_closure_doubles(spark):
     while more := {(a, d) for a, b in want for c, d in chain if b == c} - want:
         want |= more
     assert got == want
+
+
+def test_shortest_paths_without_bound(spark, monkeypatch):
+    n, sizes = 900, [random.Random(i).randint(1, 50) for i in range(900)]
+    part = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "p_partkey long, p_size int").coalesce(1)
+    monkeypatch.setattr(queries_data, "tables", lambda *_: {"part": part})
+    want, *_ = graph.dijkstra(lambda i: [(1 + sizes[i] % 7, (i * 5 + 2) % n), (9, (i + 1) % n)], [0])
+    assert len(want) == n and max(want.values()) > 60
+    got = registry.queries()["shortest_paths_whole"](spark, "").collect()
+    assert len(got) == n and {r.node: r.distance for r in got} == want
+    got = registry.queries()["shortest_paths"](spark, "").collect()  # its SQL stops at 60
+    assert {r.node: r.distance for r in got} == {i: d for i, d in want.items() if d <= 60}
