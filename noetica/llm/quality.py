@@ -2,8 +2,9 @@
 
 Each line is judged by itself: it fails if it does not end like a sentence (but a long line
 with a sentence's end inside is prose that was cut off), looks like navigation (marks
-instead of words), shouts, holds a boilerplate phrase, or repeats an earlier line of its
-document.  Failed lines are removed; a document that loses more than
+instead of words), shouts, is boilerplate by its phrases, or repeats an earlier line of its
+document.  ``clean`` takes a line for boilerplate if phrases, as whole words, make up
+MIN_PHRASE_PERCENT of its words; ``verdicts`` as its SQL does, wherever a phrase's letters occur.  Failed lines are removed; a document that loses more than
 ``MAX_LOST_PERCENT`` of its word characters is rejected.  Base rules on the whole text
 (too few words, too many repeated three-word windows) reject before that.
 
@@ -48,6 +49,9 @@ BOILERPLATE = (
     "back to top", "lorem ipsum",
 )
 
+#: A line with such a share of its words in boilerplate phrases is boilerplate.
+MIN_PHRASE_PERCENT = 25
+
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _UPPER_BYTES = bytes(range(65, 91))
 _LETTER_BYTES = _UPPER_BYTES + bytes(range(97, 123))
@@ -82,7 +86,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def line_fails(line: bytes, n_words: int) -> bool:
+def line_fails(line: bytes, n_words: int, as_sql: bool = False) -> bool:
     """Whether a line with words, not seen before in its document, breaks a rule."""
     bare = line.strip()
     if not bare.endswith(_ENDS) and not (n_words >= PROSE_WORDS and _INNER_END.search(bare)):
@@ -95,16 +99,23 @@ def line_fails(line: bytes, n_words: int) -> bool:
     upper, letters = _ascii_letters(bare)
     if letters > 20 and 2 * upper > letters:
         return True
-    return bool(_BOILERPLATE_BYTES.search(bare.translate(_LOWER)))
+    lower = bare.translate(_LOWER)
+    if not _BOILERPLATE_BYTES.search(lower):
+        return False
+    if as_sql:
+        return True
+    phrases = _WHOLE_PHRASES.findall(lower.decode("utf-8", "surrogatepass"))
+    return sum(len(p.split()) for p in phrases) * 100 >= MIN_PHRASE_PERCENT * n_words
 
 
 _ENDS = tuple(e.encode() for e in ENDS)
 _INNER_END = re.compile(rb"[.!?] ")
 _MARKS = [s.encode() for s in SYMBOLS]
 _BOILERPLATE_BYTES = re.compile(_BOILERPLATE.pattern.encode())
+_WHOLE_PHRASES = re.compile(rf"\b(?:{_BOILERPLATE.pattern})\b")
 
 
-def judge(text: str | None) -> tuple[tuple, bytes]:
+def judge(text: str | None, as_sql: bool = False) -> tuple[tuple, bytes]:
     """The digest of one text, and the text without its failed lines (UTF-8)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -122,7 +133,7 @@ def judge(text: str | None) -> tuple[tuple, bytes]:
         dup = line in seen
         n_dup += dup
         seen.add(line)
-        if dup or line_fails(line, len(own)):
+        if dup or line_fails(line, len(own), as_sql):
             lines_out += 1
             lost += sum(len(w) - _continuations(w) for w in own)
         else:
@@ -154,7 +165,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, text_col):
-            columns = zip(*(judge(t)[0] for t in texts), strict=True)
+            columns = zip(*(judge(t, as_sql=True)[0] for t in texts), strict=True)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(id_col), *arrays], names=schema.names)
 

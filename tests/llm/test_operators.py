@@ -402,6 +402,15 @@ def test_quality_lines(spark):
     assert set(out) == {0, 1} and out[0].text == prose and out[1].text == prose and out[1].n_chars == len(prose)
 
 
+def test_quality_phrases_in_prose(spark):
+    prose = [" ".join(sentence(14) for _ in range(12)) for _ in range(3)]
+    clean = [f"{prose[0]} They log in and sign up to read more books.", f"{prose[1]} A catalog in the backlog infers a design upstream.", f"{prose[2]} Blog in Rome."]
+    footer = ["All rights reserved.", "Click here to read more about our offers.", "“Sign up”, or log in!"]
+    kept = {r.doc_id: r.text for r in quality.clean(documents(spark, [*clean, "\n".join([prose[0], *footer])])).collect()}
+    assert kept == {**dict(enumerate(clean)), 3: prose[0]}
+    assert not quality.line_fails(b"The blog in Rome.", 4) and quality.line_fails(b"The log in page.", 4)
+
+
 # -- licences
 
 
