@@ -76,18 +76,25 @@ def results_json(terms: DataFrame) -> DataFrame:
     return terms.select(F.to_json(F.struct(*[binding(c) for c in terms.columns])).alias("binding"))
 
 
+def _all_bindings(terms: DataFrame, limit: int) -> list[dict]:
+    rows = results_json(terms).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} solutions: write results_json or write_results_csv instead")
+    return [json.loads(r[0]) for r in rows]
+
+
 def results_document(terms: DataFrame, limit: int = 10_000) -> str:
-    """A whole results document, for answers of up to ``limit`` solutions."""
-    rows = [json.loads(r[0]) for r in results_json(terms).limit(limit).collect()]
+    """A whole results document; an error if there are more than ``limit`` solutions."""
+    rows = _all_bindings(terms, limit)
     return json.dumps({"head": {"vars": terms.columns}, "results": {"bindings": rows}})
 
 
 def results_xml(terms: DataFrame, limit: int = 10_000) -> str:
     head = "".join(f'<variable name="{escape(c)}"/>' for c in terms.columns)
     body = []
-    for row in results_json(terms).limit(limit).collect():
+    for row in _all_bindings(terms, limit):
         cells = []
-        for name, b in json.loads(row[0]).items():
+        for name, b in row.items():
             attributes = "".join(f' {k}="{escape(b[k])}"' for k in ("xml:lang", "datatype") if b.get(k))
             cells.append(f'<binding name="{escape(name)}"><{b["type"]}{attributes}>{escape(b["value"])}</{b["type"]}></binding>')
         body.append(f"<result>{''.join(cells)}</result>")

@@ -4,6 +4,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from noetica.model import QUADS_DDL, SCHEMA, TYPE
 from noetica.operators import places
 from noetica.plans import sparql
@@ -101,3 +103,11 @@ def test_cached_geocoder(spark):
     first, cache = places.cached(asked, empty, "k", ask, F.current_timestamp())
     again, _ = places.cached(asked, cache, "k", ask, F.current_timestamp())
     assert calls == [2, 0] and sorted(r.value for r in first.collect()) == sorted(r.value for r in again.collect()) == ["A", "A", "B"]
+
+
+@pytest.mark.parametrize("write", [rdf.results_document, rdf.results_xml])
+def test_results_are_whole_or_an_error(spark, write):
+    terms = spark.createDataFrame([(f"<u:{i}>",) for i in range(3)], "x string")
+    assert all(f"u:{i}" in write(terms, 3) for i in range(3))
+    with pytest.raises(ValueError, match="more than 2 solutions"):
+        write(terms, 2)
