@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..checkpoints import saved as written
+from ..checkpoints import scratch, shared_dir
+
+__all__ = ["SPACES", "STEP_BYTES", "numbered", "pieces", "places", "scratch", "shared_dir", "sql_literal", "table", "words_of", "written"]
 
 #: ASCII white space: what separates words where a contract says ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,36 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, as in local tests, a folder of this machine is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="noetica-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` through a Parquet table in the shared folder: cuts the lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut batches so that each holds about STEP_BYTES of ``column`` (one row at least)."""
     for batch in batches:
@@ -71,6 +48,37 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             at = end
 
 
+def places(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places, ``c0``, ``c1``, ...: no name of its own can
+    clash with a working column."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def numbered(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` and a column ``_id``: a long that no two rows share, in order of the ids.
+
+    Whole numbers that are neither null nor repeated are their own; else rows are sorted by id
+    (without one first) and text, numbered, and written, so that the numbers stay.
+    """
+    if isinstance(rows.schema[id_col].dataType, _WHOLE):
+        counts = rows.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n"))
+        if counts.where("n > 1 or i is null").isEmpty():
+            return rows.withColumn("_id", F.col(id_col).cast("long"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_id", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=schema.names)
+            at += batch.num_rows
+
+    by = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
+    return written(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), "numbered")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -8,10 +8,13 @@ partitions by a hash of id and copy number.
 Means above CHUNK are split into equal parts with a uniform number each (a sum of Poisson
 counts is Poisson), so the cumulated probabilities stay short arrays at any rate.
 
-Cases: mass counts characters of text (null: none).  A null source is a source of its own.
-Sources without mass, and those with weight zero, give no rows.  Equal ids of a source get
-equal counts, as the number is a function of the id.  An empty table gives an empty
-result.  All columns stay, whatever their names; working columns have reserved names.
+Cases: mass counts characters of text (null: none), so a very long text weighs as much as
+it has characters and is repeated like any other row.  A null source is a source of its
+own.  Sources without mass, and those with weight zero, give no rows.  Equal ids of a
+source get equal counts, as the number is a function of the id; so do rows without an id,
+which share one number.  An empty table gives an empty result.  All columns stay, whatever
+their names, as they are renamed while at work; only a column named like ``copy_col`` gives way
+to the copy number.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import places, written
 
 #: Largest mean inverted at once.
 CHUNK = 16.0
@@ -66,25 +69,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     shares follow mass to the power ``alpha``.  ``total`` is the mass to aim at, that of
     the input by default.  ``copy_col`` names a column for the copy number, from 1.
     """
-    columns = docs.columns
     rated = written(rates(docs, weights, alpha, total), "rates")
     if rated.count() <= BROADCAST_SOURCES:
         rated = F.broadcast(rated)  # else a hot source is left to adaptive skew handling
-    joined = docs.join(rated, docs["source"].eqNullSafe(rated["_source"]))
+    own = docs.drop(copy_col) if copy_col else docs
+    at = {name: f"c{i}" for i, name in enumerate(own.columns)}
+    rows = places(own).withColumn("id", F.col(at["doc_id"]).cast("string"))
+    joined = rows.join(rated, rows[at["source"]].eqNullSafe(rated["_source"]))
     counts = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")),
         F.lit(0),
         lambda a, p: a + F.size(F.filter("_cdf", lambda c: c < _part_uniform(seed, p))),
     )
-    copies = joined.withColumn("_count", counts).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    copies = copies.withColumn("_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("doc_id").cast("string"), F.col("_copy").cast("string"))))
-    kept = [F.col(c) for c in columns] + ([F.col("_copy").cast("long").alias(copy_col)] if copy_col else [])
-    spread = copies.select(*kept, "_key").repartition("_key").sortWithinPartitions("_key")
-    return spread.drop("_key")
+    copies = joined.withColumn("n", counts).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    # the text's hash spreads rows that share an id or have none
+    keyed = copies.withColumn("key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "id", F.col("copy").cast("string"), F.xxhash64(at["text"]).cast("string"))))
+    kept = [F.col(place).alias(name) for name, place in at.items()] + ([F.col("copy").cast("long").alias(copy_col)] if copy_col else [])
+    spread = keyed.select(*at.values(), "copy", "key").repartition("key").sortWithinPartitions("key")
+    return spread.select(*kept)
 
 
 def _part_uniform(seed: int, part: Column) -> Column:
-    return _uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), part.cast("string"))
+    return _uniform(F.lit(str(seed)), F.coalesce(F.col("id"), F.lit("")), part.cast("string"))
 
 
 _MEANS = f"""
