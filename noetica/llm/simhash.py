@@ -5,23 +5,27 @@ bits or fewer share at least 8 - 3 = 5 of them.  Five shared positions always in
 three within one half (bytes 0-3 or 4-7), so the index is keyed by the eight triples of
 positions within a half: each posting list holds the distinct fingerprints with the same
 three bytes.  Within a list the shared positional bytes of each pair are tallied, pairs
-with five or more are retained, and the bits are verified.  A list reports its links as a
-spanning forest, never as all pairs.
+with five or more are retained, and the bits of those are verified.  A list reports its
+links as a spanning forest, never as all pairs.
 
 A long list is split by the further bytes that a pair must share (two of the other five),
 and a list still long after that differs in 24 bits only, so its links are found by flipping
-up to three of them: a list's cost grows in proportion to its length.
+up to three of them: a list's cost grows in proportion to its length.  Lists of more than
+SPLIT fingerprints are dealt by all five bytes before they meet in a task, so that none
+holds more than the 2 ** 24 that three bytes tell apart.
 
 Cases: texts without words (null, empty, blank) have fingerprint zero and are linked like
-any other; fewer than three words are one shingle.  Equal texts meet in one fingerprint
+any other; fewer than three words are one shingle.  Very long texts are hashed in blocks of
+shingles.  Equal texts meet in one fingerprint
 before any pair is sought, so groups of copies cost nothing; ties cannot arise, as the
-smallest id names the component.  A null id gets the id of its component, null if there is
-no other.  An empty table gives an empty result.  Only the id and the text are read.
+smallest id names the component; rows that repeat an id are linked by their texts like any
+others.  A null id gets the id of its component, null if there is no other.  An empty table gives an empty result.  Only the id and the text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, written
+from .common import numbered, pieces, places, written
 from .components import components
 
 SHINGLE = 3
@@ -41,6 +45,12 @@ MAX_BITS = 3
 MIN_SHARED = 8 - MAX_BITS
 #: The key positions of the inverted index.
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+#: By kind, the positions that a posting list shares: triples, then those with two more.
+KINDS = TRIPLES + [(*t, *more) for t in TRIPLES for more in combinations([p for p in range(8) if p not in t], MIN_SHARED - 3)]
+#: Lists longer than this are dealt by five bytes.
+SPLIT = 1 << 18
+#: Keys of such lists up to this number (12 bytes each) are broadcast.
+BROADCAST_KEYS = 100_000
 #: Lists up to this length are compared directly.
 DIRECT = 4096
 #: Shingles hashed at once.
@@ -90,21 +100,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs share enough positional bytes and differ in few enough bits."""
+def _retained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share MIN_SHARED positional bytes or more."""
     x = a ^ b
-    y = x | (x >> np.uint64(4))
-    y |= y >> np.uint64(2)
-    y |= y >> np.uint64(1)
-    tally = 8 - np.bitwise_count(y & np.uint64(0x0101010101010101))
-    return (tally >= MIN_SHARED) & (np.bitwise_count(x) <= MAX_BITS)
+    x |= x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return 8 - np.bitwise_count(x & np.uint64(0x0101010101010101)) >= MIN_SHARED
+
+
+def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which retained pairs differ in few enough bits."""
+    return np.bitwise_count(a ^ b) <= MAX_BITS
 
 
 def _tiles(fps: np.ndarray, size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i in range(0, len(fps), size):
         for j in range(i, len(fps), size):
-            hit = np.nonzero(_verified(fps[i : i + size, None], fps[None, j : j + size]))
-            yield hit[0] + i, hit[1] + j
+            a, b = np.nonzero(_retained(fps[i : i + size, None], fps[None, j : j + size]))
+            hit = _verified(fps[a + i], fps[b + j])
+            yield a[hit] + i, b[hit] + j
 
 
 def _flips(fps: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -169,12 +184,13 @@ def _forest(kinds: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> tuple[np.nd
     while len(short):
         short = short[short + step < n]
         short = short[run[np.minimum(short + step, n - 1)] == run[short]]
-        hit = short[_verified(fps[short], fps[short + step])]
+        kept = short[_retained(fps[short], fps[short + step])]
+        hit = kept[_verified(fps[kept], fps[kept + step])]
         _hook(label, hit, hit + step)
         step += 1
     for k in np.flatnonzero(sizes > 64):
         own = fps[cut[k] : cut[k + 1]]
-        for i, j in _list_pairs(own, TRIPLES[kinds[cut[k]]]):
+        for i, j in _list_pairs(own, KINDS[kinds[cut[k]]]):
             _hook(label, i + cut[k], j + cut[k])
     moved = np.flatnonzero(label != np.arange(n))
     return fps[moved], fps[label[moved]]
@@ -207,13 +223,28 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(tuple(map(np.concatenate, zip(*held, strict=True))))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect all distinct fingerprints ``fp`` linked within MAX_BITS."""
+def _posted(fps: DataFrame, kinds: Iterable[int]) -> DataFrame:
+    """``kind, key, fp``: the posting lists of some kinds that each fingerprint is in."""
     postings = []
-    for k, triple in enumerate(TRIPLES):
-        mask = sum(255 << (56 - 8 * p) for p in triple)
+    for k in kinds:
+        mask = sum(255 << (56 - 8 * p) for p in KINDS[k])
         postings.append(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    rows = distinct.select(F.explode(F.array(*postings)).alias("p"), "fp").select("p.kind", "p.key", "fp")
+    return fps.select(F.explode(F.array(*postings)).alias("p"), "fp").select("p.kind", "p.key", "fp")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` that connect all distinct fingerprints ``fp`` linked within MAX_BITS."""
+    rows = _posted(distinct, range(len(TRIPLES)))
+    if distinct.count() > SPLIT:  # else no list is that long
+        long_ = written(rows.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("kind", "key"), "long-lists")
+        n_long = long_.count()
+        if n_long:
+            keys = F.broadcast(long_) if n_long <= BROADCAST_KEYS else long_
+            each = [rows.join(keys, ["kind", "key"], "left_anti")]
+            inside = rows.join(keys, ["kind", "key"], "left_semi")
+            for k, triple in enumerate(TRIPLES):
+                each.append(_posted(inside.where(F.col("kind") == k), [i for i in range(len(TRIPLES), len(KINDS)) if KINDS[i][:3] == triple]))
+            rows = reduce(DataFrame.unionByName, each)
     dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp")
     return dealt.mapInArrow(_links, "u long, v long")
 
@@ -230,9 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one per id; all columns stay.
-
-    Rows without an id are outside the comparison and stay.
-    """
-    stay = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col)
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """Of each component one row, all columns as they are: the first by id, and by text where
+    ids are repeated; rows without an id come before the others."""
+    place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    rows = numbered(places(docs), place[id_col], place[text_col])
+    stay = near_duplicates(rows, "_id", place[text_col]).where("_id = component_id").select("_id")
+    return rows.join(stay, "_id", "left_semi").select(*(F.col(c).alias(name) for name, c in place.items()))
