@@ -25,9 +25,10 @@ The windows of step 2 are dealt by content, which differs where surroundings do.
 
 Cases: null text is empty: no bytes, no spans.  Texts under 100 bytes keep everything.
 Rows without an id come first; rows that share an id are taken in order of their texts;
-of equal rows one, no matter which, counts as the earliest.  Texts of any length are
-scanned in segments.  An empty table gives an empty result.  Columns other than id and
-text pass through ``remove`` untouched; working columns have reserved names.
+of equal rows one, no matter which, counts as the earliest.  Ids may be of any type that
+sorts.  Texts of any length are scanned in segments.  An empty table gives an empty result.
+Columns other than id and text pass through ``remove`` untouched, whatever their names, as
+columns are renamed while at work.
 """
 
 from __future__ import annotations
@@ -37,12 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, written
+from .common import numbered, pieces, places, written
 
 WIDTH, GRAM = 100, 32
 SPAN = WIDTH - GRAM  # how far before its owner a window starts at most
@@ -364,33 +364,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own_ids[first]), pa.array(starts[first]), pa.array(starts[last] + WIDTH)], names=_SPANS.names)
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """``docs`` with ``_id``, unique and in order of ids, and the bytes of all texts."""
-    counts = docs.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes"))
-    n_bad, size = counts.agg(F.sum(F.when((F.col("n") > 1) | F.col("i").isNull(), 1)), F.sum("bytes")).first()
-    if not n_bad:
-        return docs.withColumn("_id", F.col(id_col).cast("long")), size or 0
-    schema = T.StructType([*docs.schema.fields, T.StructField("_id", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=schema.names)
-            at += batch.num_rows
-
-    by = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
-    return written(docs.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), "numbered"), size or 0
-
-
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All columns, ``_id``, and ``_spans``: what to remove (unmerged; null if nothing)."""
-    numbered, size = _numbered(docs, id_col, text_col)
+    rows, size = numbered(docs, id_col, text_col), docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_buckets = max(64, size // BUCKET_BYTES)
-    dealt = numbered.select("_id", F.col(text_col)).mapInArrow(_positions(n_buckets, text_col), _ENTRY).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("_id", F.col(text_col)).mapInArrow(_positions(n_buckets, text_col), _ENTRY).repartition("bucket").sortWithinPartitions("bucket")
     statuses = written(dealt.mapInArrow(_statuses, _STATUS), "statuses")
     left = statuses.where("not settled").groupBy("_id").agg(F.collect_set("at").alias("_left"))
     # both joins see the same columns and rows, so the texts are dealt once (a reused exchange)
-    texts = numbered.where("_id is not null").repartition("_id")
+    texts = rows.repartition("_id")
     cores = texts.join(left, "_id").mapInArrow(_cores(n_buckets, text_col), _CORE)
     windows = cores.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_windows, _SPANS)
     settled = statuses.where("settled").select("_id", (F.col("at") - SPAN).alias("start"), (F.col("at") + WIDTH).alias("end"))
@@ -426,15 +408,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, text_col):
+        for part, texts in pieces(batches, "c1"):
             rows = []
             for raw, found in zip(_bytes_of(texts), part.column("_spans").to_pylist(), strict=True):
                 spans = merged(found, len(raw))
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
             types = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column(id_col), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("c0"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.names)
 
-    return _with_spans(docs.select(id_col, text_col), id_col, text_col).mapInArrow(run, schema)
+    return _with_spans(docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1")), "c0", "c1").mapInArrow(run, schema)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -442,11 +424,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
 
     A text must stay text: a character of which a span holds only some bytes is kept.
     """
-    chars = chars_col if chars_col in docs.columns else None
-    schema = docs.schema
+    schema, at = docs.schema, docs.columns.index
+    id_place, text_place = f"c{at(id_col)}", f"c{at(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, text_col):
+        for part, texts in pieces(batches, text_place):
             new = []
             for text, raw, found in zip(texts, _bytes_of(texts), part.column("_spans").to_pylist(), strict=True):
                 spans = []
@@ -458,16 +440,16 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
                     spans.append((a, b))
                 new.append(_kept(raw, spans).decode("utf-8", "surrogatepass") if spans else text)
             arrays = []
-            for f in schema.fields:
-                column = part.column(f.name)
+            for i, f in enumerate(schema.fields):
+                column = part.column(f"c{i}")
                 if f.name == text_col:
                     column = pa.array(new, column.type)
-                elif f.name == chars:
+                elif f.name == chars_col:
                     column = pa.array([len(t) if t is not None else 0 for t in new], column.type)
                 arrays.append(column)
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return _with_spans(docs, id_col, text_col).mapInArrow(run, schema)
+    return _with_spans(places(docs), id_place, text_place).mapInArrow(run, schema)
 
 
 #: DuckDB SQL for ``digests`` over ``documents``: every window's first start, in hexadecimal
