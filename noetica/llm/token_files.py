@@ -48,6 +48,8 @@ SHARD = 1 << 21
 LEAST = (16, 4, 2)
 #: Words whose ids a worker keeps at most, in each of two generations.
 HELD = 400_000
+#: Longest word that is kept, in characters: so the store is bounded in bytes too.
+LONGEST = 64
 
 _HEAD = struct.Struct("<4s8q")
 
@@ -55,10 +57,11 @@ _HEAD = struct.Struct("<4s8q")
 class WordEncoder:
     """Encodings by the tokenizers library, kept for words between ASCII white space.
 
-    The library drops white space, never joins what it separates, and lower-cases, so a
-    text's ids are those of its lower-cased stretches in a row.  Of a stretch that is a
-    Latin word with marks after it, the word and the marks are the library's own two
-    pieces; such pieces go to its BPE model directly, all others through the whole of it.
+    The library drops white space and never joins what it separates, so a text's ids are
+    those of its stretches in a row.  Of a stretch that is a Latin word with marks after it,
+    the word, lower-cased, and the marks are the library's own two pieces; such pieces go to
+    its BPE model directly, all others through the whole of it, as they are written: its
+    special tokens are found in raw text only.
 
     Texts are split and their stretches numbered by Arrow, many texts at once; the store is
     asked once for each distinct word of them, and ids are gathered by number.
@@ -84,6 +87,9 @@ class WordEncoder:
         found = list(map(self.held.get, words))
         for i in [i for i, ids in enumerate(found) if ids is None]:
             w = words[i]
+            if len(w) > LONGEST:
+                found[i] = NO_WORD
+                continue
             ids = self.older.get(w)
             if ids is None:
                 ids = self._piece(w.lower()) if _WORD.fullmatch(w) else NO_WORD
@@ -99,7 +105,7 @@ class WordEncoder:
         cores = cores.dictionary_encode()
         core = cores.indices.to_numpy()
         table = self._words(cores.dictionary.to_pylist())
-        odd = np.fromiter((ids is NO_WORD for ids in table), bool, len(table))[core] | (n_marks > MARKS)
+        odd = (np.fromiter(map(len, table), np.int64, len(table)) == 0)[core] | (n_marks > MARKS)
         # two parts of each stretch by their places in the table: the word, and the marks
         part = np.zeros((len(core), 2), np.int64)
         part[:, 0], part[:, 1] = core, len(table)
@@ -122,7 +128,7 @@ class WordEncoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's end."""
-        lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
+        lists = pa.compute.ascii_split_whitespace(texts.fill_null(""))
         stretches = lists.flatten().dictionary_encode()
         ids, ends = self._stretches(stretches.dictionary)
         out, stops = _taken(ids, ends, stretches.indices.to_numpy())
