@@ -8,12 +8,12 @@ off backwards, an append extends the table, and an edit renews it only near the
 (``Prefixes``).
 
 ``Encoder.encode_pieces`` fills the tables of many pieces of one length side by side.
-Pieces are the matches of the vocabulary's pattern; encodings of frequent stretches between
-blanks are kept in a bounded store.
+Pieces are the matches of the vocabulary's pattern; encodings of frequent short stretches
+between blanks are kept in a store that is bounded in stretches and so in bytes.
 
 Cases: a null text is an empty one: no ids, digests of the empty string.  Texts, ties and
-repeated rows are encoded one by one, each in full; long pieces take a scalar path linear
-in their length.  An empty table gives an empty result.  Only the id and the text are read,
+repeated rows are encoded one by one, each in full; long pieces take a table of their own
+(``Prefixes``), whose candidates are found for thousands of starts at once.  An empty table gives an empty result.  Only the id and the text are read,
 except by ``tokenize``, which passes all columns through.
 """
 
@@ -38,6 +38,10 @@ from .common import pieces
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Stretches whose ids a worker keeps at most.
 HELD = 400_000
+#: Longest stretch that is kept, in characters.
+LONGEST = 64
+#: Starts of a long piece whose tokens are sought at once.
+STARTS = 1 << 14
 #: Longest piece of the side-by-side tables.
 WIDE = 32
 
@@ -134,9 +138,12 @@ class Encoder:
         self.names = [str(i) for i in range(len(self.tokens))]
         self.find = regex.compile(self.pattern).findall
         self.held: dict[str, bytes] = {}
+        self.parts = list(zip(self.left.tolist(), self.right.tolist(), strict=True))
+        self.merge_of = {a << 32 | b: rank for rank, (a, b) in enumerate(self.parts) if a >= 0}
+        self.fitting: dict[int, bool] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids_of", "names", "find", "held")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids_of", "names", "find", "held", "parts", "merge_of", "fitting")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -159,6 +166,28 @@ class Encoder:
             self.known_keys[slot[new[lost]]] = -1
         return out
 
+    def fits(self, first: int, second: int) -> bool:
+        """``compatible`` for one pair, kept in a bounded store."""
+        found = self.fitting.get(first << 32 | second)
+        if found is None:
+            if len(self.fitting) > HELD:
+                self.fitting.clear()
+            found = self.fitting[first << 32 | second] = self._fits(first, second)
+        return found
+
+    def _fits(self, a: int, b: int) -> bool:
+        limit = len(self.tokens)
+        while True:
+            if self.merge_of.get(a << 32 | b, limit) < limit:
+                return False
+            rank_a, rank_b = (x if self.parts[x][0] >= 0 else -1 for x in (a, b))
+            if rank_a > rank_b:
+                limit, a = a, self.parts[a][1]
+            elif rank_b >= 0:
+                limit, b = b + 1, self.parts[b][0]
+            else:
+                return True
+
     def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         a, b = first.astype(np.int64), second.astype(np.int64)
         out = np.ones(len(a), bool)
@@ -251,17 +280,18 @@ class Encoder:
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        new = {s for own in cut for s in own}.difference(self.held)
+        seen = {s for own in cut for s in own}
+        new = seen.difference(self.held)
         if len(self.held) + len(new) > HELD:
             self.held.clear()
-            new = {s for own in cut for s in own}
+            new = seen
         found = {s: self.find(s) for s in new}
         ids = self.encode_pieces({p.encode("utf-8", "surrogatepass") for own in found.values() for p in own})
-        held = self.held
-        for s, own in found.items():
-            held[s] = b"".join([ids[p.encode("utf-8", "surrogatepass")] for p in own])
-        get = held.__getitem__
-        return [b"".join(map(get, own)) for own in cut]
+        coded = {s: b"".join([ids[p.encode("utf-8", "surrogatepass")] for p in own]) for s, own in found.items()}
+        self.held.update((s, own) for s, own in coded.items() if len(s) <= LONGEST)
+        long_ = {s: own for s, own in coded.items() if len(s) > LONGEST}
+        get, get_long = self.held.get, long_.get
+        return [b"".join([get(s) or get_long(s, b"") for s in own]) for own in cut]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -287,9 +317,50 @@ class Prefixes:
         raise ValueError("a byte has no token")
 
     def _fits(self, first: int, second: int) -> bool:
-        return bool(self.encoder.compatible(np.array([first]), np.array([second]))[0])
+        return self.encoder.fits(first, second)
+
+    def _long(self, data: bytes) -> None:
+        """Append many bytes: the tokens that end at each are found for STARTS starts at once."""
+        old = len(self.data)
+        self.data += data
+        encoder, size, last, fits = self.encoder, len(self.data), self.last, self.encoder.fits
+        text = np.frombuffer(bytes(self.data), np.uint8)
+        # tokens (end, start, token) from starts before the ones at work, that end after them
+        ends = starts = tokens = np.empty(0, np.int64)
+        for first in range(max(0, old + 1 - encoder.longest), size, STARTS):
+            stop = min(size, first + STARTS)
+            place, state, found = np.arange(first, stop), np.zeros(stop - first, np.int64), [(ends, starts, tokens)]
+            for n in range(1, encoder.longest + 1):
+                inside = place + n <= size
+                place, state = place[inside], state[inside]
+                state = encoder.step((state << 8) | text[place + n - 1]).astype(np.int64)
+                alive = state >= 0
+                place, state = place[alive], state[alive]
+                if not len(place):
+                    break
+                token = encoder.token_of[state]
+                have = token >= 0
+                found.append((place[have] + n, place[have], token[have].astype(np.int64)))
+            ends, starts, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
+            now = (ends > old) & (ends <= stop)
+            later = ends > stop
+            order = np.lexsort((starts[now], ends[now]))
+            own_ends, own_starts, own_tokens = ends[now][order], starts[now][order].tolist(), tokens[now][order].tolist()
+            bounds = np.searchsorted(own_ends, np.arange(len(last), stop + 2)).tolist()
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                for k in range(low, high):
+                    a = own_starts[k]
+                    if a == 0 or fits(last[a], own_tokens[k]):
+                        last.append(own_tokens[k])
+                        break
+                else:
+                    raise ValueError("a byte has no token")
+            ends, starts, tokens = ends[later], starts[later], tokens[later]
 
     def append(self, data: bytes) -> None:
+        if len(data) > WIDE:
+            self._long(data)
+            return
         for byte in data:
             self.data.append(byte)
             self.last.append(self._at(len(self.data)))
