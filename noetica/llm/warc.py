@@ -6,11 +6,13 @@ have no block of their own.  Archives are written by Spark's text writer, the re
 separator as line separator, so files are committed like any output.
 
 The reader walks an archive record by record and checks each: version line, header lines,
-Content-Length, the closing blank lines, the payload digest, and, in compressed archives,
-the gzip member's checksum.  After a failed check it searches for the next gzip member or
+Content-Length, the closing blank lines, the block and payload digests, and, in compressed
+archives, the gzip member's checksum.  After a failed check it searches for the next gzip member or
 version line that passes them, goes on from there, and logs the bytes between as a
 quarantined gap.  Compressed members may hold one record or many; inside a member damage is
-handled alike, with offsets in the member's own bytes.
+handled alike, with offsets in the member's own bytes.  Gaps are rows of ``read`` like the records;
+``round_trip``, whose archives are its own, fails on any.  ``loose_revisits`` finds the
+revisits whose response is missing or has another digest.
 
 Cases: a null payload is an empty one.  Rows that repeat an id and a payload are one
 response each if theirs is the largest id, else revisits; a null id counts as the least, and
@@ -26,7 +28,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import batched, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +61,12 @@ class Record:
 
 
 @dataclass
-class Salvage:
-    """What an archive gave: records, and gaps as (offset, bytes, reason)."""
+class Gap:
+    """Bytes that no record was found in, and the check that failed at their start."""
 
-    records: list[Record] = field(default_factory=list)
-    gaps: list[tuple[int, int, str]] = field(default_factory=list)
+    offset: int
+    size: int
+    reason: str
 
 
 def parse_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
@@ -90,6 +94,10 @@ def parse_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
         return None, at, "block digest"
+    digest = headers.get("warc-payload-digest", "")
+    # the payload of a response to a request is what follows its own header; others are payload as a whole
+    if headers.get("warc-type") in ("response", "resource") and digest.startswith("sha1:") and "msgtype=" not in headers.get("content-type", "") and digest[5:] != base32_sha1(block):
+        return None, at, "payload digest"
     return Record(at, headers, block), stop + 4, ""
 
 
@@ -102,46 +110,53 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(member.unused_data)
 
 
-def salvage(data: bytes) -> Salvage:
-    """All records of an archive that pass the checks, and the gaps between them."""
-    found, at, size = Salvage(), 0, len(data)
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All records of an archive that pass the checks, and the gaps between them, in order."""
+    at, size = 0, len(data)
     bad_from, reason = -1, ""
-
-    def close(end: int) -> None:
-        nonlocal bad_from
-        if bad_from >= 0:
-            found.gaps.append((bad_from, end - bad_from, reason))
-            bad_from = -1
-
     while at < size:
-        why, next_at = "version line", at
+        found: Iterator[Record | Gap] = iter(())
         if data.startswith(b"\x1f\x8b\x08", at):
             try:
                 content, next_at = _inflate(data, at)
             except zlib.error:
-                why = "gzip member"
+                ok, why = False, "gzip member"
             else:
-                inner = salvage(content)
-                if inner.records or not content:
-                    close(at)
-                    found.records += [Record(at, r.headers, r.block) for r in inner.records]
-                    found.gaps += [(at, n, f"in member at {o}: {w}") for o, n, w in inner.gaps]
-                    at = next_at
-                    continue
-                why, next_at = "no record in member", at
+                found = _of_member(at, content)
+                first = next(found, None)
+                ok, why = first is not None or not content, "no record in member"
+                found = chain([first] if first else (), found)
         else:
             record, next_at, why = parse_record(data, at)
-            if record:
-                close(at)
-                found.records.append(record)
-                at = next_at
-                continue
+            ok = record is not None
+            found = iter([record] if record else ())
+        if ok:
+            if bad_from >= 0:
+                yield Gap(bad_from, at - bad_from, reason)
+                bad_from = -1
+            yield from found
+            at = next_at
+            continue
         if bad_from < 0:
             bad_from, reason = at, why
         later = _START.search(data, at + 1)
         at = later.start() if later else size
-    close(size)
-    return found
+    if bad_from >= 0:
+        yield Gap(bad_from, size - bad_from, reason)
+
+
+def _of_member(at: int, content: bytes) -> Iterator[Record | Gap]:
+    """Records and gaps of a gzip member; nothing if it has no record."""
+    inner = salvage(content)
+    before = []
+    for x in inner:
+        before.append(x)
+        if isinstance(x, Record):
+            break
+    else:
+        return
+    for x in chain(before, inner):
+        yield Record(at, x.headers, x.block) if isinstance(x, Record) else Gap(at, x.size, f"in member at {x.offset}: {x.reason}")
 
 
 # -- Spark
@@ -200,33 +215,39 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = salvage(content.as_buffer().to_pybytes())
-                rows = [(file, r.offset, None, None, list(r.headers.items()), r.block if blocks else None) for r in got.records]
-                rows += [(file, at, n, why, None, None) for at, n, why in got.gaps]
-                for at in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), types, strict=True)], names=_ROW.names)
+                found = salvage(content.as_buffer().to_pybytes())
+                rows = ((file, x.offset, x.size, x.reason, None, None) if isinstance(x, Gap) else (file, x.offset, None, None, list(x.headers.items()), x.block if blocks else None) for x in found)
+                for some in batched(rows, 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=_ROW.names)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select("path", "content").mapInArrow(run, _ROW)
 
 
+def _header(name: str):
+    return F.try_element_at("headers", F.lit(name))
+
+
+def loose_revisits(rows: DataFrame) -> DataFrame:
+    """Of the rows of ``read`` the revisits that refer to no response with their payload digest."""
+    answers = rows.where(_header("warc-type") == "response").select(_header("warc-record-id").alias("id"), _header("warc-payload-digest").alias("digest")).distinct()
+    revisits = rows.where(_header("warc-type") == "revisit")
+    return revisits.join(answers, (_header("warc-refers-to") == answers["id"]) & (_header("warc-payload-digest") == answers["digest"]), "left_anti")
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write all rows to archives in the shared folder, read them back, one row per record."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path, id_col, url_col, payload_col)
-    header = lambda name: F.try_element_at("headers", F.lit(name))
-    number = lambda name: F.regexp_extract(header(name), r"page:(-?\d+)>", 1).try_cast("long")
-    return (
-        read(spark, path, blocks=False)
-        .where("gap_bytes is null")
-        .select(
-            number("warc-record-id").alias(id_col),
-            header("warc-payload-length").try_cast("long").alias("payload_bytes"),
-            F.substring(header("warc-payload-digest"), 6, 32).alias("payload_digest"),
-            header("warc-type").alias("record_type"),
-            F.when(header("warc-type") == "revisit", number("warc-refers-to")).alias("refers_to"),
-        )
+    number = lambda name: F.regexp_extract(_header(name), r"page:(-?\d+)>", 1).try_cast("long")
+    damaged = F.raise_error(F.concat_ws(" ", F.lit("quarantined bytes in an archive just written:"), "file", F.col("offset").cast("string"), F.col("gap_bytes").cast("string"), "gap_reason"))
+    return read(spark, path, blocks=False).select(
+        F.when(F.col("gap_bytes").isNotNull(), damaged.cast("long")).otherwise(number("warc-record-id")).alias(id_col),
+        _header("warc-payload-length").try_cast("long").alias("payload_bytes"),
+        F.substring(_header("warc-payload-digest"), 6, 32).alias("payload_digest"),
+        _header("warc-type").alias("record_type"),
+        F.when(_header("warc-type") == "revisit", number("warc-refers-to")).alias("refers_to"),
     )
 
 

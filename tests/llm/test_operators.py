@@ -65,22 +65,46 @@ def record(payload: bytes, **headers) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines.items()) + b"\r\n" + payload + b"\r\n\r\n"
 
 
+def salvaged(data: bytes):
+    found = list(warc.salvage(data))
+    return [x for x in found if isinstance(x, warc.Record)], [x for x in found if isinstance(x, warc.Gap)]
+
+
 @pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
 def test_warc_salvage(pack):
     good = [pack(record(f"payload {i}".encode() * 20)) for i in range(5)]
     broken = bytearray(good[2])
     broken[len(broken) // 2] ^= 0xFF
     data = good[0] + b"junk" + good[1] + bytes(broken) + good[3] + good[4][: len(good[4]) // 2]
-    got = warc.salvage(data)
-    assert [r.block[:9] for r in got.records] == [b"payload 0", b"payload 1", b"payload 3"]
-    assert [(at, n) for at, n, _ in got.gaps] == [(len(good[0]), 4), (len(good[0]) + 4 + len(good[1]), len(broken)), (len(data) - len(good[4]) // 2, len(good[4]) // 2)]
-    assert warc.salvage(b"").records == [] and warc.salvage(b"nothing here").gaps[0][:2] == (0, 12)
+    records, gaps = salvaged(data)
+    assert [r.block[:9] for r in records] == [b"payload 0", b"payload 1", b"payload 3"]
+    assert [(g.offset, g.size) for g in gaps] == [(len(good[0]), 4), (len(good[0]) + 4 + len(good[1]), len(broken)), (len(data) - len(good[4]) // 2, len(good[4]) // 2)]
+    assert salvaged(b"") == ([], []) and salvaged(b"nothing here")[1][0].size == 12
 
 
 def test_warc_member_with_damaged_record():
     inner = record(b"first") + b"noise" + record(b"second")
-    got = warc.salvage(gzip.compress(inner))
-    assert [r.block for r in got.records] == [b"first", b"second"] and got.gaps[0][1] == 5
+    records, gaps = salvaged(gzip.compress(b"x" + inner))
+    assert [r.block for r in records] == [b"first", b"second"] and [g.size for g in gaps] == [1, 5]
+    assert salvaged(gzip.compress(b"no record"))[0] == []
+
+
+def test_warc_checks_payload_digests(spark, tmp_path):
+    wrong = record(b"body", **{"WARC-Payload-Digest": "sha1:" + warc.base32_sha1(b"other")})
+    assert salvaged(wrong + record(b"next"))[1][0].reason == "payload digest"
+    answer = record(b"body", **{"WARC-Record-ID": "<urn:x:1>", "WARC-Payload-Digest": "sha1:" + warc.base32_sha1(b"body")})
+    revisit = lambda to, of: record(b"", **{"WARC-Type": "revisit", "WARC-Refers-To": to, "WARC-Payload-Digest": "sha1:" + warc.base32_sha1(of)})
+    (tmp_path / "a.warc").write_bytes(answer + revisit("<urn:x:1>", b"body") + revisit("<urn:x:1>", b"else") + b"junk" + revisit("<urn:x:2>", b"body"))
+    rows = warc.read(spark, str(tmp_path))
+    assert warc.loose_revisits(rows).count() == 2 and rows.where("gap_bytes = 4").count() == 1 and rows.count() == 5
+
+
+def test_warc_round_trip_fails_on_gaps(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    plain = warc.write
+    monkeypatch.setattr(warc, "write", lambda pages, path, *a: (plain(pages, path, *a), spark.createDataFrame([("junk",)], "value string").write.mode("append").text(path)))
+    with pytest.raises(Exception, match="quarantined bytes"):
+        warc.round_trip(pages).collect()
 
 
 # -- top-k
