@@ -8,8 +8,10 @@ gets the language whose prototype has the largest cosine with it.
 
 Texts are lower-cased; each run of other characters than letters counts as one blank, and
 blanks frame the text.  Learning sums n-gram counts per language in every partition and
-bundles them there, so what is shuffled and collected is one vector per language and
-partition: it is bounded by the number of languages.
+bundles them there, so what is shuffled is one vector per language and partition.  One
+vector per language comes to the driver and to every task: at most MAX_LANGUAGES of them
+(there are some 8,000 languages); labels with more values than that are no languages and
+raise an error before anything is collected.
 
 Cases: a null text, or one without letters, gets ``und`` and score 0, as do all texts if
 nothing can be learned.  Ties go to the language that sorts first.  Repeated rows count
@@ -32,6 +34,8 @@ from .common import pieces
 
 DIMENSIONS = 512
 UNKNOWN = "und"
+#: Bound of the prototypes that are collected, 4 kB each.
+MAX_LANGUAGES = 20_000
 #: N-gram vectors that a worker holds at most; beyond it, it starts anew.
 HELD = 60_000
 #: Letters worked on at once.
@@ -150,12 +154,16 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 if size > 4 * BLOCK:
                     bundle()
                     size = 0
+                if len(sums) + len(held) > MAX_LANGUAGES:
+                    raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
         bundle()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
 
     parts = labelled.select(text_col, lang_col).where(F.col(lang_col).isNotNull()).mapInArrow(run, _LEARNED)
     each = parts.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    rows = each.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vector")).orderBy("lang").collect()
+    rows = each.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vector")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
     return {r["lang"]: np.array(r["vector"]) for r in rows}
 
 

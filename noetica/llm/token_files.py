@@ -187,33 +187,52 @@ def _every_other(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _by_pair(at: np.ndarray, key: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their pairs (and then of themselves), and the pairs in order."""
+    if int(key.max(initial=0)).bit_length() + shift <= 64:  # both fit one number: sorting values beats sorting indices
+        own = np.sort((key << np.uint64(shift)) | at.astype(np.uint64))
+        return (own & np.uint64((1 << shift) - 1)).astype(np.int32), own >> np.uint64(shift)
+    order = np.argsort(key, kind="stable")
+    return at[order], key[order]
+
+
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): nonterminal ``first + i`` stands for the pair ``rules[i]``.
 
     Symbols stay at their places, linked over the gaps.  A pair of old symbols never becomes
     more frequent, so a round counts only the places of pairs that were frequent in the one
-    before, and those beside its new symbols.
+    before, and those beside its new symbols.  Pairs whose hash is rarer than ``least`` are
+    rarer themselves and are left out before the rest is sorted.
     """
     n, rules, n_rules = len(ids), [], 0
     sequence, live = np.append(ids, 0).astype(np.uint32), np.ones(n, bool)
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     none = np.iinfo(np.int32).max
     rank = np.full(n + 2, none, np.int32)  # at the end and, by -1, before the start there is none
+    wide, shift = int(first + n).bit_length(), n.bit_length()
+    half = np.uint64((1 << wide) - 1)
     for least in LEAST:
-        at = np.flatnonzero(live)[:-1]
+        at = np.flatnonzero(live)[:-1].astype(np.int32)
         while len(at) >= least:
-            left, right = sequence[at], sequence[after[at]]
-            key = (left.astype(np.int64) << 32) | right
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-            pair = ordered[new]
-            number = np.empty(len(at), np.int32)
-            number[order] = np.cumsum(new) - 1
+            key = (sequence[at].astype(np.uint64) << np.uint64(wide)) | sequence[after[at]]
+            if len(at) > 1024:
+                bits = len(at).bit_length() + 1
+                slot = ((key * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+                often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
+                at, key = at[often], key[often]
+            at, key = _by_pair(at, key, shift)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(at) else np.empty(0, np.int64)
+            pair, sizes = key[starts], np.diff(np.append(starts, len(at)))
+            counts = sizes.copy()
             # of a run of one symbol, every other pair counts
-            counted, same = np.ones(len(at), bool), np.flatnonzero(left == right)
-            counted[same] = _every_other(at[same], after[at[same]])
-            counts = np.bincount(number[counted], minlength=len(pair))
+            same = (pair >> np.uint64(wide)) == (pair & half)
+            runs = np.flatnonzero(np.repeat(same, sizes))
+            if len(runs):
+                counted = _every_other(at[runs], after[at[runs]])
+                counts[same] = np.bincount(np.repeat(np.arange(same.sum()), sizes[same])[counted], minlength=int(same.sum()))
             # frequent pairs first; the rank decides between overlapping places
             some = np.flatnonzero(counts >= least)
             if not len(some):
@@ -221,8 +240,10 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
             some = some[np.argsort(-counts[some], kind="stable")]
             rank_of = np.full(len(pair), -1, np.int32)
             rank_of[some] = np.arange(len(some), dtype=np.int32)
-            pair, place = pair[some], rank_of[number]
-            at, place = at[place >= 0], place[place >= 0]
+            pair, place = pair[some], np.repeat(rank_of, sizes)
+            frequent = place >= 0
+            own = np.sort((at[frequent].astype(np.uint64) << np.uint64(32)) | place[frequent].astype(np.uint64))  # by place again
+            at, place = (own >> np.uint64(32)).astype(np.int32), own.astype(np.int32)
             rank[at] = place
             wins = (place <= rank[before[at]]) & (place <= rank[after[at]])
             rank[at] = none
@@ -233,7 +254,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
             used = np.bincount(place, minlength=len(pair)) >= least  # the first one always is
             keep = used[place]
             chosen, place = chosen[keep], place[keep]
-            rules.append(np.stack([pair[used] >> 32, pair[used] & 0xFFFFFFFF], axis=1))
+            rules.append(np.stack([pair[used] >> np.uint64(wide), pair[used] & half], axis=1).astype(np.int64))
             sequence[chosen] = first + n_rules + (np.cumsum(used) - 1)[place]
             n_rules += int(used.sum())
             gone = after[chosen]
@@ -243,7 +264,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
             beside = before[chosen]
             touched = np.zeros(n, bool)
             touched[at] = touched[chosen] = touched[beside[beside >= 0]] = True
-            at = np.flatnonzero(touched & live)
+            at = np.flatnonzero(touched & live).astype(np.int32)
             at = at[after[at] < n]
     return sequence[:n][live].astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 

@@ -236,6 +236,48 @@ def test_langid_held_out(spark):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def brute_vector(text):
+    """Bundle of the bound, rotated letter vectors of a text, one n-gram after the other."""
+    points = [32]
+    for c in (text or "").lower():
+        if c.isalpha():
+            points.append(ord(c))
+        elif points[-1] != 32:
+            points.append(32)
+    points.append(32)  # the frame, besides the blank that a run of other characters leaves
+    total = [0.0] * langid.DIMENSIONS
+    for a, b, c in zip(points, points[1:], points[2:], strict=False):
+        va, vb, vc = (langid._letter_vector(p) for p in (a, b, c))
+        for k in range(langid.DIMENSIONS):
+            total[k] += va[k - 2] * vb[k - 1] * vc[k]
+    return np.array(total)
+
+
+def test_langid_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6)))
+    alphabets = {"aa": "abcdehil", "bb": "krzwvuÄmé", "cc": "你好世界éaß"}
+    texts = [(i, " ".join(word(alphabets[lang]) for _ in range(6)) + rnd.choice(["", ".", "!! 12 ", "\n"]), lang) for i in range(4) for lang in alphabets]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(texts)] + [(90, "Ab1c", None), (91, "z", None), (92, "a\n\n-b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = langid.learn(docs)
+    want = {lang: sum(brute_vector(t) for _, t, x in rows if x == lang) for lang in alphabets}
+    assert set(learned) == set(want) and all(np.allclose(learned[x], want[x]) for x in want)
+    got = {r.doc_id: r for r in langid.identify(docs, learned).collect()}
+    for i, t, _ in rows:
+        own = brute_vector(t)
+        cosines = {x: float(own @ v / np.linalg.norm(own) / np.linalg.norm(v)) for x, v in want.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[i].lang_pred == best and abs(got[i].score - max(cosines[best], 0)) < 1e-5
+
+
+def test_langid_bounds_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    docs = spark.range(8).selectExpr("id doc_id", "'some text' text", "concat('l', id) lang").repartition(8)
+    with pytest.raises(Exception, match="more than 3 values"):
+        langid.learn(docs)
+
+
 # -- suffix dedup
 
 
