@@ -2,16 +2,16 @@
 
 Each line is judged by itself: it fails if it does not end like a sentence (but a long line
 with a sentence's end inside is prose that was cut off), looks like navigation (marks
-instead of words), shouts, is boilerplate by its phrases, or repeats an earlier line of its
-document.  ``clean`` takes a line for boilerplate if phrases, as whole words, make up
-MIN_PHRASE_PERCENT of its words; ``verdicts`` as its SQL does, wherever a phrase's letters occur.  Failed lines are removed; a document that loses more than
-``MAX_LOST_PERCENT`` of its word characters is rejected.  Base rules on the whole text
+instead of words), shouts, is boilerplate (phrases, as whole words, make up
+MIN_PHRASE_PERCENT of its words), or repeats an earlier line of its document.  Failed lines
+are removed; a document that loses more than ``MAX_LOST_PERCENT`` of its word characters is
+rejected.  Base rules on the whole text
 (too few words, too many repeated three-word windows) reject before that.
 
 Cases: a null text has no words and is rejected by the base rule (no words); so is an
 empty text.  Lines without a word are neither judged nor counted.  A row is judged by its
 own text alone, so ties and repeated rows get equal verdicts and an empty table gives an
-empty result.  Only ``text`` is read; other columns, whatever their names, pass through
+empty result; a very long text is judged as a whole, in time linear in its lines.  Only ``text`` is read; other columns, whatever their names, pass through
 ``clean`` untouched.
 """
 
@@ -43,16 +43,24 @@ SYMBOLS = "#*$%&|<>"
 ENDS = (".", "!", "?", '"', "'", ")", ":", ";", "…", "”", "’", "»")
 #: A line of so many words may end anyhow if a sentence ends inside it.
 PROSE_WORDS = 20
+#: Footers, consent notices and navigation of web pages, in the languages of the corpus.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies",
     "enable javascript", "click here", "read more", "sign up", "log in", "subscribe to", "share this", "skip to content",
     "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutz", "verwendet cookies", "javascript aktivieren", "hier klicken",
+    "weiterlesen", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen", "zum seitenanfang",
+    "tous droits réservés", "conditions d'utilisation", "mentions légales", "politique des cookies", "utilise des cookies", "activer javascript",
+    "cliquez ici", "lire la suite", "en savoir plus", "se connecter", "s'inscrire", "aller au contenu", "retour en haut",
+    "todos los derechos reservados", "condiciones de uso", "aviso legal", "política de privacidad", "utiliza cookies", "habilitar javascript",
+    "haga clic", "leer más", "iniciar sesión", "saltar al contenido", "volver arriba",
 )
 
 #: A line with such a share of its words in boilerplate phrases is boilerplate.
 MIN_PHRASE_PERCENT = 25
 
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+#: Whole words: a boundary lies between an ASCII letter, digit or underscore and anything else.
+_PHRASES = rf"\b(?:{'|'.join(BOILERPLATE)})\b"
 _UPPER_BYTES = bytes(range(65, 91))
 _LETTER_BYTES = _UPPER_BYTES + bytes(range(97, 123))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -86,7 +94,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def line_fails(line: bytes, n_words: int, as_sql: bool = False) -> bool:
+def line_fails(line: bytes, n_words: int) -> bool:
     """Whether a line with words, not seen before in its document, breaks a rule."""
     bare = line.strip()
     if not bare.endswith(_ENDS) and not (n_words >= PROSE_WORDS and _INNER_END.search(bare)):
@@ -100,22 +108,16 @@ def line_fails(line: bytes, n_words: int, as_sql: bool = False) -> bool:
     if letters > 20 and 2 * upper > letters:
         return True
     lower = bare.translate(_LOWER)
-    if not _BOILERPLATE_BYTES.search(lower):
-        return False
-    if as_sql:
-        return True
-    phrases = _WHOLE_PHRASES.findall(lower.decode("utf-8", "surrogatepass"))
-    return sum(len(p.split()) for p in phrases) * 100 >= MIN_PHRASE_PERCENT * n_words
+    return sum(p.count(b" ") + 1 for p in _PHRASE_BYTES.findall(lower)) * 100 >= MIN_PHRASE_PERCENT * n_words
 
 
 _ENDS = tuple(e.encode() for e in ENDS)
 _INNER_END = re.compile(rb"[.!?] ")
 _MARKS = [s.encode() for s in SYMBOLS]
-_BOILERPLATE_BYTES = re.compile(_BOILERPLATE.pattern.encode())
-_WHOLE_PHRASES = re.compile(rf"\b(?:{_BOILERPLATE.pattern})\b")
+_PHRASE_BYTES = re.compile(_PHRASES.encode())
 
 
-def judge(text: str | None, as_sql: bool = False) -> tuple[tuple, bytes]:
+def judge(text: str | None) -> tuple[tuple, bytes]:
     """The digest of one text, and the text without its failed lines (UTF-8)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -133,7 +135,7 @@ def judge(text: str | None, as_sql: bool = False) -> tuple[tuple, bytes]:
         dup = line in seen
         n_dup += dup
         seen.add(line)
-        if dup or line_fails(line, len(own), as_sql):
+        if dup or line_fails(line, len(own)):
             lines_out += 1
             lost += sum(len(w) - _continuations(w) for w in own)
         else:
@@ -165,7 +167,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, text_col):
-            columns = zip(*(judge(t, as_sql=True)[0] for t in texts), strict=True)
+            columns = zip(*(judge(t)[0] for t in texts), strict=True)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(id_col), *arrays], names=schema.names)
 
@@ -205,13 +207,12 @@ def _count_sql(x: str, characters: str) -> str:
 
 _MARK_CLASS = f"[{re.escape(SYMBOLS)}]"
 _END_CLASS = f"[{re.escape(''.join(ENDS))}]$"
-_PHRASES = "|".join(BOILERPLATE)
 _FAILS = f"""
   (not regexp_matches(bare, {sql_literal(_END_CLASS)}) and not (n >= {PROSE_WORDS} and regexp_matches(bare, '[.!?] ')))
   or {_count_sql("bare", _MARK_CLASS)} * 100 > {MAX_MARK_PERCENT} * n
   or ({_count_sql("bare", "!")} * 100 > {MAX_EXCLAIM_PERCENT} * n and n > 3)
   or ({_count_sql("bare", "[A-Za-z]")} > 20 and 2 * {_count_sql("bare", "[A-Z]")} > {_count_sql("bare", "[A-Za-z]")})
-  or regexp_matches(translate(bare, '{_LETTERS}', '{_LETTERS.lower()}'), {sql_literal(_PHRASES)})"""
+  or coalesce(list_sum(list_transform(regexp_extract_all(translate(bare, '{_LETTERS}', '{_LETTERS.lower()}'), {sql_literal(_PHRASES)}), lambda p: length(p) - length(replace(p, ' ', '')) + 1)), 0) * 100 >= {MIN_PHRASE_PERCENT} * n"""
 #: DuckDB SQL for ``verdicts`` over ``documents``; ids are taken to be unique.
 ORACLE_SQL = f"""
 with d as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),

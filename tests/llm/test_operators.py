@@ -475,6 +475,9 @@ def test_quality_phrases_in_prose(spark):
     kept = {r.doc_id: r.text for r in quality.clean(documents(spark, [*clean, "\n".join([prose[0], *footer])])).collect()}
     assert kept == {**dict(enumerate(clean)), 3: prose[0]}
     assert not quality.line_fails(b"The blog in Rome.", 4) and quality.line_fails(b"The log in page.", 4)
+    for phrase in quality.BOILERPLATE:
+        n = len(phrase.split())
+        assert quality.line_fails(f"{phrase.capitalize()}.".encode(), n) and not quality.line_fails(f"{phrase} {'word ' * 3 * n}more.".encode(), 4 * n + 1)
 
 
 # -- licences
@@ -552,7 +555,7 @@ def test_sql_equals_operator(spark, corpus, module, of):
     import duckdb
 
     prose = "\n".join(sentence(15) for _ in range(8))
-    texts = [*corpus, prose, prose + "\nHome | About | Login\nALL CAPS THAT SHOUT HERE AND THERE.\nWow! Yes! No! So!\nBut click here.", "é" * 150 + "x" + "é" * 150, "\x0bread more.\x0c\n" * 60]
+    texts = [*corpus, prose, prose + "\nHome | About | Login\nALL CAPS THAT SHOUT HERE AND THERE.\nWow! Yes! No! So!\nBut click here.\nThe backlog infers a blog in Rome and a design upstream.\nTous droits réservés, en savoir plus.\nÉread more_ élog in.\nIf you log in to the page you may read more of it there today.", "é" * 150 + "x" + "é" * 150, "\x0bread more.\x0c\n" * 60]
     docs = documents(spark, texts)
     held = docs.toArrow()
     con = duckdb.connect()
