@@ -502,7 +502,7 @@ def test_licenses_base_brute_force(spark, corpus):
 def test_licenses_templates():
     own = licenses.scanner()
     gpl = own.scan("intro words This work is licensed under the GNU General Public License, version 3. more")
-    assert "gpl-3" in gpl[5].split(",") and gpl[6] == 1.0
+    assert "gpl-3.0" in gpl[5].split(",") and gpl[6] == 1.0
     mit = licenses.TEMPLATES["mit"][1]
     assert "mit" in own.scan("foo " + mit.replace("without restriction", "without any restriction") + " bar")[5].split(",")
     assert own.scan("the license of the work is unknown")[5] == ""
@@ -515,25 +515,78 @@ _CC = "This work is licensed under a Creative Commons Attribution{} 4.0 Internat
 @pytest.mark.parametrize(
     "text, labels",
     [
-        (_HEADER.format("", 2), "gpl-2"),
-        (_HEADER.format("", 3), "gpl-3"),
+        (_HEADER.format("", 2), "gpl-2.0"),
+        (_HEADER.format("", 3), "gpl-3.0"),
         (_HEADER.format("", 1), ""),
-        (_HEADER.format("Affero ", 3), "agpl-3"),
-        (_HEADER.format("Lesser ", "2.1"), "lgpl"),
-        (_HEADER.format("Lesser ", 3), "lgpl"),
+        (_HEADER.format("Affero ", 3), "agpl-3.0"),
+        (_HEADER.format("Lesser ", "2.1"), "lgpl-2.1"),
+        (_HEADER.format("Lesser ", 3), "lgpl-3.0"),
         (_HEADER.format("Library ", 2), ""),
-        (_HEADER.format("", 3).replace("program is", "program, called x, is").replace("either", "in either"), "gpl-3"),
-        ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation", "lgpl"),
-        ("You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "gpl-2"),
-        *((f"Licensed under the GNU {name}General Public License, version {v}.", label) for name, v, label in [("", 3, "gpl-3"), ("", 2, "gpl-2"), ("Affero ", 3, "agpl-3"), ("Lesser ", 3, "lgpl"), ("Lesser ", "2.1", "lgpl")]),
-        *((_CC.format(x), label) for x, label in [("", "cc-by"), ("-NonCommercial", "cc-by-nc"), ("-ShareAlike", "cc-by-sa"), ("-NoDerivatives", "cc-by-nd"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd")]),
-        ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+        (_HEADER.format("", 3).replace("program is", "program, called x, is").replace("either", "in either"), "gpl-3.0"),
+        ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation", "lgpl-2.1"),
+        ("You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "gpl-2.0"),
+        *((f"Licensed under the GNU {name}General Public License, version {v}.", label) for name, v, label in [("", 3, "gpl-3.0"), ("", 2, "gpl-2.0"), ("Affero ", 3, "agpl-3.0"), ("Lesser ", 3, "lgpl-3.0"), ("Lesser ", "2.1", "lgpl-2.1")]),
+        *((_CC.format(x), label) for x, label in [("", "cc-by-4.0"), ("-NonCommercial", "cc-by-nc"), ("-ShareAlike", "cc-by-sa-4.0"), ("-NoDerivatives", "cc-by-nd-4.0"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa-4.0"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd-4.0")]),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd-4.0"),
     ],
 )
 def test_licenses_told_apart(text, labels):
     assert licenses.scanner().scan(f"# {text} Other words.")[5] == labels
 
 
+@pytest.mark.parametrize("label", ["bsd-2-clause", "bsd-3-clause", "mit", "isc", "0bsd", "zlib", "apache-2", "mpl-2.0"])
+def test_licenses_whole_texts(label):
+    text = max(licenses.TEMPLATES[label], key=len)
+    found = licenses.scanner().scan(f"/* Copyright (c) 2020 Someone. All rights reserved.\n{text.replace('. ', '.' + chr(10) + ' * ')}\n*/ int main() {{}}")
+    assert (found[5], found[6]) == (label, 1.0)
+
+
+def brute_spans(own, text_words):
+    """Best chain of each template by listing every chain of every match."""
+    templates = [[w for i in t for w, j in own.ids.items() if j == i] for t in own.templates]
+    parts = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    longest = [max((n for n in range(1, k + 1) if tuple(text_words[k - n : k]) in parts), default=0) for k in range(1, len(text_words) + 1)] + [0]
+    matches = [(k + 1 - n, n) for k, n in enumerate(longest[:-1]) if n >= own.least and longest[k + 1] <= n]
+    out = {}
+    for k, t in enumerate(templates):
+        telling = lambda ws: sum(w in licenses.NAMES or bool(licenses.VERSION.fullmatch(w)) for w in ws)
+        states = any(licenses.VERSION.fullmatch(w) for w in t)
+        places = [(a, e - n, n) for a, n in matches if n >= min(licenses.MIN_MATCH, len(t)) for e in range(n, len(t) + 1) if t[e - n : e] == text_words[a : a + n]]
+        best = None
+
+        def grow(chain, whole, covered, k=k, t=t, places=places, states=states, telling=telling):
+            nonlocal best
+            a, e, n = chain[-1]
+            full = whole and telling(t[e + n :]) == 0
+            good = (full and covered >= licenses.MIN_COVER * len(t), covered)
+            if best is None or good > best[0]:
+                best = (good, full)
+            for b, e2, n2 in places:
+                gap = text_words[a + n : b]
+                if 0 <= b - a - n <= licenses.MAX_GAP and 0 <= e2 - e - n <= licenses.MAX_GAP and telling(t[e + n : e2]) == 0 and not any(w in licenses.NAMES or (states and licenses.VERSION.fullmatch(w)) for w in gap):
+                    grow([*chain, (b, e2, n2)], whole, covered + n2)
+
+        for place in places:
+            grow([place], telling(t[: place[1]]) == 0, place[2])
+        if best:
+            out[k] = (best[0][0], best[0][1] / len(t))
+    return out
+
+
+def test_licenses_chains_brute_force(monkeypatch):
+    monkeypatch.setattr(licenses, "MAX_GAP", 3)
+    rnd = random.Random(6)
+    some = ["a", "b", "c", "d", "lesser", "2", "v3"]
+    for _ in range(60):
+        templates = {f"l{i}": (" ".join(rnd.choice(some[: rnd.choice([3, 5, 7])]) for _ in range(rnd.randint(2, 9))),) for i in range(3)}
+        own = licenses.Scanner(templates, {})
+        text = licenses.words(" ".join(rnd.choice([*some, "x"]) if rnd.random() < 0.5 else rnd.choice(list(templates.values()))[0] for _ in range(6)))[:22]
+        want = brute_spans(own, text)
+        got = own.spans(text)
+        assert {own.labels[k]: round(c, 9) for k, (_, c) in want.items()} == {label: round(share, 9) for label, _, share, _, _ in got}
+        assert {own.labels[k] for k, (good, _) in want.items() if good} == {label for label, whole, share, _, _ in got if whole and share >= licenses.MIN_COVER}
+
+
 def test_automaton_statistics():
     rnd = random.Random(4)
     sequences = [[rnd.randint(1, 3) for _ in range(12)] for _ in range(4)]
@@ -543,8 +596,9 @@ def test_automaton_statistics():
     for k, (length, state) in enumerate(own.statistics(text)):
         want = max((n for n in range(0, 13) if n == 0 or (n <= k + 1 and tuple(text[k + 1 - n : k + 1]) in subs)), default=0)
         assert length == want
-        for q, end in own.ends[state].items() if length else ():
-            assert sequences[q][end - length : end] == text[k + 1 - length : k + 1]
+        if length:
+            own_text = text[k + 1 - length : k + 1]
+            assert own.ends[state] == {q: {j for j in range(length, 13) if x[j - length : j] == own_text} for q, x in enumerate(sequences) if any(x[j - length : j] == own_text for j in range(length, 13))}
 
 
 # -- SQL
