@@ -2,8 +2,7 @@
 
 A byte goes if a string of WIDTH = 100 bytes that covers it also starts earlier (in a
 document of smaller id, or earlier in the same one).  Positions get ranks for strings of
-growing length, by sorting their keys in Spark; positions whose rank is unique drop out,
-until the length reaches the threshold:
+growing length; those whose rank is unique drop out, until the length reaches the threshold:
 
 1. 32 bytes, at synchronising positions: of the 69 positions where a 32-byte string lies
    inside a 100-byte window, the one with the least hash (the leftmost of equal ones) owns
@@ -11,17 +10,21 @@ until the length reaches the threshold:
    one position in 35.  With a position goes the rank of its surroundings, the 168 bytes
    that all its windows span.  A position whose surroundings appear earlier is settled: all
    of them go.  If the 32 bytes have one surroundings only, nothing else can match.
-2. 85 bytes: windows of the positions left, 16 neighbours at a time by their common core.
-3. 100 bytes: core rank paired with the rank of the bytes around it, per window; the first
-   of equal windows stays, the others mark what goes.
-
-Ranks are names: 128-bit hashes of the bytes, the same for equal strings wherever they
-lie, so no table of ranks is sent around.  Positions travel as packed arrays by hash
-bucket.  Every map task combines equal keys first and sends at most CONTEXTS surroundings
-of a 32-byte string to its bucket; those beyond are passed on to step 2 as they are, and
-like all whose state is known there they are spread over the buckets.  So a string found
-in a third of all documents costs a bucket a bounded number of entries for each map task.
-The windows of step 2 are dealt by content, which differs where surroundings do.
+2. The windows of the positions left, 16 neighbours at a time by their common core of 85
+   bytes.  Spark sorts the pairs (rank of 32 bytes, rank of 32 bytes at offset 32) and numbers
+   those that occur twice or more: ranks of 64 bytes.
+3. It sorts the pairs (rank of 64 bytes, rank of 64 bytes at offset 21): ranks of 85 bytes.
+4. 100 bytes: core rank paired with the bytes around it, per window; the first of equal
+   windows stays, the others mark what goes.
+
+The first ranks are names, 64-bit hashes of the bytes, the same for equal strings wherever
+they lie; positions of step 1 travel as packed arrays by hash bucket.  Every map task combines
+equal keys first and sends at most CONTEXTS surroundings of a 32-byte string to its bucket;
+those beyond are passed on to step 2 as they are, and like all whose state is known there they
+are spread over the buckets.  So a string found in a third of all documents costs a bucket a
+bounded number of entries for each map task.  Pairs are counted before they are shuffled.  A
+core of more than HOT_CORE places is dealt by window, each map task sending the first of its
+equal windows only.
 
 Cases: null text is empty: no bytes, no spans.  Texts under 100 bytes keep everything.
 Rows without an id come first; rows that share an id are taken in order of their texts;
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +51,12 @@ WIDTH, GRAM = 100, 32
 SPAN = WIDTH - GRAM  # how far before its owner a window starts at most
 CHUNK = 16
 CORE = WIDTH - (CHUNK - 1)
+#: Where the 32-byte ranks that make up a core start: pairs of 64 bytes, then of 85.
+OFFSETS = (0, GRAM, CORE - 2 * GRAM, CORE - GRAM)
+#: Cores at more places than this are dealt by window.
+HOT_CORE = 1 << 15
+#: Ranks up to this number (24 bytes each) are broadcast to the positions.
+BROADCAST_RANKS = 500_000
 #: Surroundings of one 32-byte string that a map task sends on.
 CONTEXTS = 8
 #: Positions that a map task combines at once.
@@ -274,26 +283,21 @@ def _statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(at[rows]), pa.array(flag)], names=_STATUS.names)
 
 
-_CORE = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("core", "check", "around", "id", "at", "range"))])
-_CORE_KINDS = ["<u8", "<u8", ("u1", 2 * CHUNK - 2), "<i8", "<i8", ("u1", 2)]
+_CORE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("r0", "r1", "r2", "r3")] + [T.StructField("around", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("_id", "at")] + [T.StructField(n, T.IntegerType()) for n in ("low", "high")]
+)
 
 
-def _cores(n_buckets: int, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            core, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-            numbers, columns = _packed((core % np.uint64(n_buckets)).astype(np.int64), [core, *rest], n_buckets)
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=_CORE.names)
+def _cores(text_col: str):
+    """Cores of the windows that positions in ``_left`` own, with their ranks of 32 bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, text_col):
             text = Text(_bytes_of(texts))
             ids = part.column("_id").to_numpy()
             wanted = np.zeros(text.size, bool)
-            for k, places in enumerate(part.column("_left").to_pylist()):
-                wanted[np.array(places, np.int64) + text.starts[k]] = True
+            for k, where in enumerate(part.column("_left").to_pylist()):
+                wanted[np.array(where, np.int64) + text.starts[k]] = True
             for p, owner, _ in text.owners():
                 mine = wanted[owner]
                 p, owner = p[mine], owner[mine]
@@ -312,56 +316,127 @@ def _cores(n_buckets: int, text_col: str):
                 for e in range(CHUNK - 1):
                     around[:, e] = text.bytes[at - 1 - e + _PAD]
                     around[:, CHUNK - 1 + e] = text.bytes[at + CORE + e + _PAD]
-                ends = np.stack([before[last] - CHUNK * chunk, before[first] - CHUNK * chunk], axis=1).astype(np.uint8)
                 doc = np.searchsorted(text.ends, owner, "right")
-                held.append((text.hashes(at, CORE, _C), text.hashes(at, CORE, _C2), around, ids[doc], at - text.starts[doc], ends))
-                size += len(at)
-            if size >= FLUSH // 4:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+                ranks = [pa.array(text.hashes(at + o, GRAM, _C).view(np.int64)) for o in OFFSETS]
+                offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * (2 * CHUNK - 2))
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(around.tobytes())])
+                ends = [pa.array((before[k] - CHUNK * chunk).astype(np.int32)) for k in (last, first)]
+                yield pa.RecordBatch.from_arrays([*ranks, bytes_, pa.array(ids[doc]), pa.array(at - text.starts[doc]), *ends], names=_CORE.names)
 
     return run
 
 
+def _reranked(pairs: DataFrame, name: str) -> DataFrame:
+    """``a, b, rank, n`` of the pairs of ranks that occur ``n`` > 1 times, numbered in their order."""
+    several = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    ranks = written(several.orderBy("a", "b").withColumn("rank", F.monotonically_increasing_id()), name)
+    return F.broadcast(ranks) if ranks.count() <= BROADCAST_RANKS else ranks
+
+
+def _ranked_cores(cores: DataFrame) -> DataFrame:
+    """``rank, n`` and what lies around, for the cores whose 85 bytes occur at ``n`` > 1 places."""
+    cores = written(cores, "cores")
+    halves = cores.select(F.explode(F.array(F.struct(F.col("r0").alias("a"), F.col("r1").alias("b")), F.struct(F.col("r2").alias("a"), F.col("r3").alias("b")))).alias("p")).select("p.*")
+    ranks = _reranked(halves, "ranks-64")
+    pair = lambda a, b, out: ranks.select(F.col("a").alias(a), F.col("b").alias(b), F.col("rank").alias(out))
+    kept = cores.join(pair("r0", "r1", "a"), ["r0", "r1"]).join(pair("r2", "r3", "b"), ["r2", "r3"]).select("a", "b", "around", "_id", "at", "low", "high")
+    kept = written(kept, "cores-64")
+    return kept.join(_reranked(kept.select("a", "b"), "ranks-85"), ["a", "b"]).select("rank", "n", "around", "_id", "at", "low", "high")
+
+
 _SPANS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_WINDOWS = T.StructType([*(T.StructField(n, T.LongType()) for n in ("rank", "key", "_id", "start")), T.StructField("e", T.IntegerType()), T.StructField("again", T.BooleanType())])
+
+
+def _window_keys(rank: np.ndarray, around: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of bytes before the core: which cores have the window, and its key."""
+    left, right = [rank.astype(np.uint64)], [np.zeros(len(rank), np.uint64)]
+    for e in range(CHUNK - 1):
+        left.append(_mix(left[-1] + np.uint64(e), around[:, e].astype(np.uint64), _C2[e % 4]))
+        right.append(_mix(right[-1] + np.uint64(e + 1), around[:, CHUNK - 1 + e].astype(np.uint64), _C[e % 4]))
+    for e in range(CHUNK):
+        have = np.flatnonzero((low <= e) & (e <= high))
+        yield e, have, _mix(left[e][have], right[CHUNK - 1 - e][have], _C2[2])
+
+
+def _again(rank: np.ndarray, key: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows in which equal ones are neighbours, and which of them had one before."""
+    order = np.lexsort((start, ids, rank, key))
+    again = np.zeros(len(order), bool)
+    again[1:] = (key[order[1:]] == key[order[:-1]]) & (rank[order[1:]] == rank[order[:-1]])
+    return order, again
+
+
+def _core_columns(rows: list[pa.RecordBatch]) -> list[np.ndarray]:
+    table = pa.Table.from_batches(rows).combine_chunks()
+    around = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint8).reshape(-1, 2 * CHUNK - 2)
+    rank, ids, at, low, high = (table[n].to_numpy() for n in ("rank", "_id", "at", "low", "high"))
+    return [rank, around, ids, at, low, high]
+
+
+def _spans_of(rank, around, ids, at, low, high) -> pa.RecordBatch:
+    """Spans of the windows that had an equal one before, neighbours joined."""
+    out = []
+    for e, have, key in _window_keys(rank, around, low, high):
+        order, again = _again(rank[have], key, ids[have], at[have] - e)
+        hit = have[order[again]]
+        out.append((ids[hit], at[hit] - e))
+    own_ids, starts = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((starts, own_ids))
+    own_ids, starts = own_ids[order], starts[order]
+    cut = np.ones(len(starts), bool)
+    cut[1:] = (own_ids[1:] != own_ids[:-1]) | (starts[1:] > starts[:-1] + WIDTH)
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(starts)) - 1 if len(first) else first
+    return pa.RecordBatch.from_arrays([pa.array(own_ids[first]), pa.array(starts[first]), pa.array(starts[last] + WIDTH)], names=_SPANS.names)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows that also start earlier."""
-    for core, check, around, ids, at, ends in _buckets(batches, _CORE_KINDS):
-        order = np.argsort(core, kind="stable")
-        same = core[order[1:]] == core[order[:-1]]
-        twice = np.zeros(len(core), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        some = np.flatnonzero(twice)
-        if not len(some):
+    """Spans to remove, from cores sorted by rank."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        core, check, around, ids, at, ends = core[some], check[some], around[some], ids[some], at[some], ends[some]
-        base = _mix(check, core, _C[3])
-        left, right = [base], [np.zeros(len(some), np.uint64)]
-        for e in range(CHUNK - 1):
-            left.append(_mix(left[-1] + np.uint64(e), around[:, e].astype(np.uint64), _C2[e % 4]))
-            right.append(_mix(right[-1] + np.uint64(e + 1), around[:, CHUNK - 1 + e].astype(np.uint64), _C[e % 4]))
-        out = []
-        for e in range(CHUNK):
-            have = np.flatnonzero((ends[:, 0] <= e) & (e <= ends[:, 1]))
-            key = _mix(left[e][have], right[CHUNK - 1 - e][have], _C2[2])
-            order = have[np.lexsort((at[have], ids[have], core[have], key))]
-            key = _mix(left[e][order], right[CHUNK - 1 - e][order], _C2[2])
-            again = np.flatnonzero((key[1:] == key[:-1]) & (core[order[1:]] == core[order[:-1]])) + 1
-            out.append((ids[order[again]], at[order[again]] - e))
-        own_ids, starts = (np.concatenate(c) for c in zip(*out, strict=True))
-        # neighbours make one span
-        order = np.lexsort((starts, own_ids))
-        own_ids, starts = own_ids[order], starts[order]
-        cut = np.ones(len(starts), bool)
-        cut[1:] = (own_ids[1:] != own_ids[:-1]) | (starts[1:] > starts[:-1] + WIDTH)
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(starts)) - 1 if len(first) else first
-        yield pa.RecordBatch.from_arrays([pa.array(own_ids[first]), pa.array(starts[first]), pa.array(starts[last] + WIDTH)], names=_SPANS.names)
+        rank = batch.column("rank").to_numpy()
+        cut = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on in the next batch
+        if cut or (held and held[-1].column("rank")[-1].as_py() != rank[0]):
+            held.append(batch.slice(0, cut))
+            yield _spans_of(*_core_columns(held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _spans_of(*_core_columns(held))
+
+
+def _combined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of hot cores: whether the map task has an equal one before."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rank, around, ids, at, low, high = _core_columns(held)
+        for e, have, key in _window_keys(rank, around, low, high):
+            order, again = _again(rank[have], key, ids[have], at[have] - e)
+            own = have[order]
+            yield pa.RecordBatch.from_arrays([pa.array(rank[own]), pa.array(key[order].view(np.int64)), pa.array(ids[own]), pa.array(at[own] - e), pa.array(np.full(len(own), e, np.int32)), pa.array(again)], names=_WINDOWS.names)
+
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= FLUSH // 8:
+            yield from out()
+            held, size = [], 0
+    if size:
+        yield from out()
+
+
+def _repeated_windows(cores: DataFrame) -> DataFrame:
+    """Spans of the windows that also start earlier, from ranked cores."""
+    cold = cores.where(F.col("n") <= HOT_CORE).drop("n").repartition("rank").sortWithinPartitions("rank").mapInArrow(_windows, _SPANS)
+    hot = cores.where(F.col("n") > HOT_CORE).drop("n").mapInArrow(_combined_windows, _WINDOWS)
+    first = F.row_number().over(Window.partitionBy("rank", "key", "e").orderBy("_id", "start"))
+    met = hot.where("not again").withColumn("nth", first).where("nth > 1").unionByName(hot.where("again").withColumn("nth", F.lit(2)))
+    return cold.unionByName(met.select("_id", "start", (F.col("start") + WIDTH).alias("end")))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -373,8 +448,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left = statuses.where("not settled").groupBy("_id").agg(F.collect_set("at").alias("_left"))
     # both joins see the same columns and rows, so the texts are dealt once (a reused exchange)
     texts = rows.repartition("_id")
-    cores = texts.join(left, "_id").mapInArrow(_cores(n_buckets, text_col), _CORE)
-    windows = cores.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_windows, _SPANS)
+    windows = _repeated_windows(_ranked_cores(texts.join(left, "_id").mapInArrow(_cores(text_col), _CORE)))
     settled = statuses.where("settled").select("_id", (F.col("at") - SPAN).alias("start"), (F.col("at") + WIDTH).alias("end"))
     spans = windows.unionByName(settled).groupBy("_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     return texts.join(spans, "_id", "left")

@@ -313,7 +313,7 @@ def test_suffix_dedup_repeated_ids(spark):
     assert got == [(False, 0), (False, len(t.encode())), (False, len(t.encode())), (True, 0)]
 
 
-def test_suffix_dedup_map_side_limits(monkeypatch):
+def test_suffix_dedup_map_side_limits(spark, monkeypatch):
     """Few surroundings sent, small segments: the same bytes are found."""
     monkeypatch.setattr(suffix_dedup, "CONTEXTS", 1)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
@@ -328,24 +328,30 @@ def test_suffix_dedup_map_side_limits(monkeypatch):
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["bucket"])
         return [pa.RecordBatch.from_pylist(rows)] if rows else []
 
-    def run(parts):
-        entries = [b for p in parts for b in suffix_dedup._positions(8, "text")([p])]
-        status = [r for b in suffix_dedup._statuses(in_order(entries)) for r in b.to_pylist()]
-        left = {i: [s["at"] for s in status if s["_id"] == i and not s["settled"]] for i in range(30)}
-        cores = []
-        for p in parts:
-            p = p.append_column("_left", pa.array([left[i] for i in p.column("_id").to_pylist()], pa.list_(pa.int64())))
-            cores += list(suffix_dedup._cores(8, "text")([p]))
-        spans = [(r["_id"], r["start"], r["end"]) for b in suffix_dedup._windows(in_order(cores)) for r in b.to_pylist()]
-        spans += [(s["_id"], s["at"] - suffix_dedup.SPAN, s["at"] + 100) for s in status if s["settled"]]
-        out = {}
-        for i, t in enumerate(texts):
-            raw = t.encode()
-            found = suffix_dedup.merged([{"start": a, "end": b} for k, a, b in spans if k == i], len(raw))
-            out[i] = (len(raw), sum(b - a for a, b in found), len(found), hashlib.sha256(suffix_dedup._kept(raw, found)).hexdigest())
-        return out
-
-    assert run([batch.slice(0, 10), batch.slice(10, 10), batch.slice(20)]) == brute_removed(list(enumerate(texts)))
+    parts = [batch.slice(0, 10), batch.slice(10, 10), batch.slice(20)]
+    entries = [b for p in parts for b in suffix_dedup._positions(8, "text")([p])]
+    status = [r for b in suffix_dedup._statuses(in_order(entries)) for r in b.to_pylist()]
+    left = {i: [s["at"] for s in status if s["_id"] == i and not s["settled"]] for i in range(30)}
+    cores = []
+    for p in parts:
+        p = p.append_column("_left", pa.array([left[i] for i in p.column("_id").to_pylist()], pa.list_(pa.int64())))
+        cores += list(suffix_dedup._cores("text")([p]))
+    assert sum(c.num_rows for c in cores)
+    ranked = suffix_dedup._ranked_cores(spark.createDataFrame(pa.Table.from_batches(cores), suffix_dedup._CORE))
+    found = suffix_dedup._repeated_windows(ranked).collect()
+    spans = [tuple(r) for r in found] + [(s["_id"], s["at"] - suffix_dedup.SPAN, s["at"] + 100) for s in status if s["settled"]]
+    for hot, ranks in ((0, 1 << 30), (3, 0), (1 << 15, 0)):  # all cores by window, some, none; ranks broadcast or not
+        monkeypatch.setattr(suffix_dedup, "HOT_CORE", hot)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_RANKS", ranks)
+        again = suffix_dedup._repeated_windows(suffix_dedup._ranked_cores(spark.createDataFrame(pa.Table.from_batches(cores), suffix_dedup._CORE))).collect()
+        bytes_of = lambda rows: {(r[0], b) for r in rows for b in range(r[1], r[2])}
+        assert bytes_of(again) == bytes_of(found)
+    out = {}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        own = suffix_dedup.merged([{"start": a, "end": b} for k, a, b in spans if k == i], len(raw))
+        out[i] = (len(raw), sum(b - a for a, b in own), len(own), hashlib.sha256(suffix_dedup._kept(raw, own)).hexdigest())
+    assert out == brute_removed(list(enumerate(texts)))
 
 
 def test_suffix_dedup_remove_keeps_text(spark):
