@@ -11,20 +11,21 @@ growing length; those whose rank is unique drop out, until the length reaches th
    that all its windows span.  A position whose surroundings appear earlier is settled: all
    of them go.  If the 32 bytes have one surroundings only, nothing else can match.
 2. The windows of the positions left, 16 neighbours at a time by their common core of 85
-   bytes.  Spark sorts the pairs (rank of 32 bytes, rank of 32 bytes at offset 32) and numbers
-   those that occur twice or more: ranks of 64 bytes.
-3. It sorts the pairs (rank of 64 bytes, rank of 64 bytes at offset 21): ranks of 85 bytes.
-4. 100 bytes: core rank paired with the bytes around it, per window; the first of equal
-   windows stays, the others mark what goes.
-
-The first ranks are names, 64-bit hashes of the bytes, the same for equal strings wherever
-they lie; positions of step 1 travel as packed arrays by hash bucket.  Every map task combines
-equal keys first and sends at most CONTEXTS surroundings of a 32-byte string to its bucket;
-those beyond are passed on to step 2 as they are, and like all whose state is known there they
-are spread over the buckets.  So a string found in a third of all documents costs a bucket a
-bounded number of entries for each map task.  Pairs are counted before they are shuffled.  A
-core of more than HOT_CORE places is dealt by window, each map task sending the first of its
-equal windows only.
+   bytes.  Spark sorts the positions by (rank of 32 bytes, rank of 32 bytes at offset 32);
+   those with a pair of their own drop out, the others get the rank of 64 bytes.
+3. It sorts what is left by (rank of 64 bytes, rank of 32 bytes at offset 53): 85 bytes.
+4. 100 bytes: core paired with the bytes around it, per window; the first of equal windows
+   stays, the others mark what goes.
+
+Ranks are names, 64-bit hashes of the bytes or of the pair, the same for equal strings
+wherever they lie, so no table of ranks is sent around.  Positions of step 1 travel as packed
+arrays by hash bucket.  Every map task combines equal keys first and sends at most CONTEXTS
+surroundings of a 32-byte string to its bucket; those beyond are passed on to step 2 as they
+are, and like all whose state is known there they are spread over the buckets.  So a string
+found in a third of all documents costs a bucket a bounded number of entries for each map
+task.  The sorts of steps 2 and 3 are by ranges of (rank, rank, id), so a core found in a third of all
+documents lies in many partitions; a partition's first and last core may go on in another, so
+of their equal windows the first is sent on, and those meet by window.
 
 Cases: null text is empty: no bytes, no spans.  Texts under 100 bytes keep everything.
 Rows without an id come first; rows that share an id are taken in order of their texts;
@@ -51,12 +52,8 @@ WIDTH, GRAM = 100, 32
 SPAN = WIDTH - GRAM  # how far before its owner a window starts at most
 CHUNK = 16
 CORE = WIDTH - (CHUNK - 1)
-#: Where the 32-byte ranks that make up a core start: pairs of 64 bytes, then of 85.
-OFFSETS = (0, GRAM, CORE - 2 * GRAM, CORE - GRAM)
-#: Cores at more places than this are dealt by window.
-HOT_CORE = 1 << 15
-#: Ranks up to this number (24 bytes each) are broadcast to the positions.
-BROADCAST_RANKS = 500_000
+#: Where the 32-byte ranks that make up a core start.
+OFFSETS = (0, GRAM, CORE - GRAM)
 #: Surroundings of one 32-byte string that a map task sends on.
 CONTEXTS = 8
 #: Positions that a map task combines at once.
@@ -284,14 +281,29 @@ def _statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _CORE = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("r0", "r1", "r2", "r3")] + [T.StructField("around", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("_id", "at")] + [T.StructField(n, T.IntegerType()) for n in ("low", "high")]
+    [T.StructField(n, T.LongType()) for n in ("a", "b", "last")] + [T.StructField("around", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("_id", "at")] + [T.StructField(n, T.IntegerType()) for n in ("low", "high")]
 )
 
 
+_KEPT = T.StructType([T.StructField("rank", T.LongType()), *_CORE.fields[2:]])
+
+
 def _cores(text_col: str):
     """Cores of the windows that positions in ``_left`` own, with their ranks of 32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            order = np.lexsort(columns[1::-1])  # equal cores are neighbours, which compresses well
+            columns = [c[order] for c in columns]
+            n = len(order)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (2 * CHUNK - 2)).buffers()[1]
+            around = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(columns[3].tobytes())])
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), around, *map(pa.array, columns[4:])], names=_CORE.names)
+
         for part, texts in pieces(batches, text_col):
             text = Text(_bytes_of(texts))
             ids = part.column("_id").to_numpy()
@@ -317,126 +329,141 @@ def _cores(text_col: str):
                     around[:, e] = text.bytes[at - 1 - e + _PAD]
                     around[:, CHUNK - 1 + e] = text.bytes[at + CORE + e + _PAD]
                 doc = np.searchsorted(text.ends, owner, "right")
-                ranks = [pa.array(text.hashes(at + o, GRAM, _C).view(np.int64)) for o in OFFSETS]
-                offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * (2 * CHUNK - 2))
-                bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(around.tobytes())])
-                ends = [pa.array((before[k] - CHUNK * chunk).astype(np.int32)) for k in (last, first)]
-                yield pa.RecordBatch.from_arrays([*ranks, bytes_, pa.array(ids[doc]), pa.array(at - text.starts[doc]), *ends], names=_CORE.names)
+                ranks = [text.hashes(at + o, GRAM, _C).view(np.int64) for o in OFFSETS]
+                ends = [(before[k] - CHUNK * chunk).astype(np.int32) for k in (last, first)]
+                held.append([*ranks, around, ids[doc], at - text.starts[doc], *ends])
+                size += len(at)
+            if size >= FLUSH // 8:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
     return run
 
 
-def _reranked(pairs: DataFrame, name: str) -> DataFrame:
-    """``a, b, rank, n`` of the pairs of ranks that occur ``n`` > 1 times, numbered in their order."""
-    several = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    ranks = written(several.orderBy("a", "b").withColumn("rank", F.monotonically_increasing_id()), name)
-    return F.broadcast(ranks) if ranks.count() <= BROADCAST_RANKS else ranks
+def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their pair ``a, b`` those whose pair is not their own, with its rank.
 
+    The first and the last pair of a partition may go on in another, so they stay.
+    """
+    before: tuple[int, int] | None = None  # the last pair met
+    waiting: pa.RecordBatch | None = None  # its row, if it was the first one
 
-def _ranked_cores(cores: DataFrame) -> DataFrame:
-    """``rank, n`` and what lies around, for the cores whose 85 bytes occur at ``n`` > 1 places."""
-    cores = written(cores, "cores")
-    halves = cores.select(F.explode(F.array(F.struct(F.col("r0").alias("a"), F.col("r1").alias("b")), F.struct(F.col("r2").alias("a"), F.col("r3").alias("b")))).alias("p")).select("p.*")
-    ranks = _reranked(halves, "ranks-64")
-    pair = lambda a, b, out: ranks.select(F.col("a").alias(a), F.col("b").alias(b), F.col("rank").alias(out))
-    kept = cores.join(pair("r0", "r1", "a"), ["r0", "r1"]).join(pair("r2", "r3", "b"), ["r2", "r3"]).select("a", "b", "around", "_id", "at", "low", "high")
-    kept = written(kept, "cores-64")
-    return kept.join(_reranked(kept.select("a", "b"), "ranks-85"), ["a", "b"]).select("rank", "n", "around", "_id", "at", "low", "high")
+    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (rows.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+        rank = _mix(_mix(a, b, _C2[0]), a, _C2[1]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rank), *rows.columns[2:]], names=_KEPT.names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[0] = before != (a[0], b[0])
+        keep = ~new
+        keep[:-1] |= ~new[1:]
+        keep[0] |= before is None
+        if waiting is not None and not new[0]:
+            yield out(waiting)
+        waiting = None if keep[-1] else batch.slice(len(a) - 1)
+        before = (a[-1], b[-1])
+        if keep.any():
+            yield out(batch.filter(pa.array(keep)))
+    if waiting is not None:
+        yield out(waiting)
 
 
 _SPANS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_WINDOWS = T.StructType([*(T.StructField(n, T.LongType()) for n in ("rank", "key", "_id", "start")), T.StructField("e", T.IntegerType()), T.StructField("again", T.BooleanType())])
+#: Spans to remove (``core`` is null), or windows that are the first of their core in a partition.
+_MET = T.StructType([*_SPANS.fields, T.StructField("core", T.LongType()), T.StructField("key", T.LongType())])
 
 
-def _window_keys(rank: np.ndarray, around: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _window_keys(core: np.ndarray, around: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each number of bytes before the core: which cores have the window, and its key."""
-    left, right = [rank.astype(np.uint64)], [np.zeros(len(rank), np.uint64)]
+    left, right = [core.astype(np.uint64)], [np.zeros(len(core), np.uint64)]
     for e in range(CHUNK - 1):
         left.append(_mix(left[-1] + np.uint64(e), around[:, e].astype(np.uint64), _C2[e % 4]))
         right.append(_mix(right[-1] + np.uint64(e + 1), around[:, CHUNK - 1 + e].astype(np.uint64), _C[e % 4]))
     for e in range(CHUNK):
         have = np.flatnonzero((low <= e) & (e <= high))
-        yield e, have, _mix(left[e][have], right[CHUNK - 1 - e][have], _C2[2])
-
+        yield e, have, _mix(left[e][have], right[CHUNK - 1 - e][have] + np.uint64(e), _C2[2])
 
-def _again(rank: np.ndarray, key: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of windows in which equal ones are neighbours, and which of them had one before."""
-    order = np.lexsort((start, ids, rank, key))
-    again = np.zeros(len(order), bool)
-    again[1:] = (key[order[1:]] == key[order[:-1]]) & (rank[order[1:]] == rank[order[:-1]])
-    return order, again
 
-
-def _core_columns(rows: list[pa.RecordBatch]) -> list[np.ndarray]:
+def _met(rows: list[pa.RecordBatch], whole: bool) -> pa.RecordBatch:
+    """Spans of the windows that have an equal one before; unless the cores are ``whole`` here,
+    also the windows that have none."""
     table = pa.Table.from_batches(rows).combine_chunks()
     around = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint8).reshape(-1, 2 * CHUNK - 2)
-    rank, ids, at, low, high = (table[n].to_numpy() for n in ("rank", "_id", "at", "low", "high"))
-    return [rank, around, ids, at, low, high]
-
-
-def _spans_of(rank, around, ids, at, low, high) -> pa.RecordBatch:
-    """Spans of the windows that had an equal one before, neighbours joined."""
-    out = []
-    for e, have, key in _window_keys(rank, around, low, high):
-        order, again = _again(rank[have], key, ids[have], at[have] - e)
-        hit = have[order[again]]
-        out.append((ids[hit], at[hit] - e))
-    own_ids, starts = (np.concatenate(c) for c in zip(*out, strict=True))
+    rank, last, ids, at, low, high = (table[n].to_numpy() for n in ("rank", "last", "_id", "at", "low", "high"))
+    core = _mix(rank.view(np.uint64), last.view(np.uint64), _C[3])
+    spans, firsts = [], []
+    for e, have, key in _window_keys(core, around, low, high):
+        order = np.lexsort((at[have], ids[have], core[have], key))
+        own, key = have[order], key[order]
+        again = np.zeros(len(own), bool)
+        again[1:] = (key[1:] == key[:-1]) & (core[own[1:]] == core[own[:-1]])
+        spans.append((ids[own[again]], at[own[again]] - e))
+        if not whole:
+            new = own[~again]
+            firsts.append((ids[new], at[new] - e, core[new].view(np.int64), key[~again].view(np.int64)))
+    own_ids, starts = (np.concatenate(c) for c in zip(*spans, strict=True))
+    # neighbours make one span
     order = np.lexsort((starts, own_ids))
     own_ids, starts = own_ids[order], starts[order]
     cut = np.ones(len(starts), bool)
     cut[1:] = (own_ids[1:] != own_ids[:-1]) | (starts[1:] > starts[:-1] + WIDTH)
     first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(starts)) - 1 if len(first) else first
-    return pa.RecordBatch.from_arrays([pa.array(own_ids[first]), pa.array(starts[first]), pa.array(starts[last] + WIDTH)], names=_SPANS.names)
+    last_ = np.append(first[1:], len(starts)) - 1 if len(first) else first
+    found = [own_ids[first], starts[first], starts[last_] + WIDTH]
+    nothing = pa.nulls(len(first), pa.int64())
+    if whole:
+        return pa.RecordBatch.from_arrays([*map(pa.array, found), nothing, nothing], names=_MET.names)
+    more = [np.concatenate(c) for c in zip(*firsts, strict=True)]
+    columns = [np.concatenate(c) for c in zip(found, (more[0], more[1], more[1] + WIDTH), strict=True)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.concat_arrays([nothing, pa.array(c)]) for c in more[2:])], names=_MET.names)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans to remove, from cores sorted by rank."""
+    """What windows meet, from cores sorted by rank and last rank."""
     held: list[pa.RecordBatch] = []
+    size, whole, before = 0, False, None  # the partition's first core may have begun in another
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        rank = batch.column("rank").to_numpy()
-        cut = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on in the next batch
-        if cut or (held and held[-1].column("rank")[-1].as_py() != rank[0]):
-            held.append(batch.slice(0, cut))
-            yield _spans_of(*_core_columns(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield _spans_of(*_core_columns(held))
-
-
-def _combined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of hot cores: whether the map task has an equal one before."""
-    held: list[pa.RecordBatch] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rank, around, ids, at, low, high = _core_columns(held)
-        for e, have, key in _window_keys(rank, around, low, high):
-            order, again = _again(rank[have], key, ids[have], at[have] - e)
-            own = have[order]
-            yield pa.RecordBatch.from_arrays([pa.array(rank[own]), pa.array(key[order].view(np.int64)), pa.array(ids[own]), pa.array(at[own] - e), pa.array(np.full(len(own), e, np.int32)), pa.array(again)], names=_WINDOWS.names)
-
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= FLUSH // 8:
-            yield from out()
+        rank, last = batch.column("rank").to_numpy(), batch.column("last").to_numpy()
+        new = np.ones(n, bool)
+        new[1:] = (rank[1:] != rank[:-1]) | (last[1:] != last[:-1])
+        new[0] = before is not None and before != (rank[0], last[0])
+        before, starts = (rank[-1], last[-1]), np.flatnonzero(new[1:]) + 1
+        starts = np.concatenate(([0] if new[0] else [], starts)).astype(int).tolist()
+        at = 0
+        for cut in dict.fromkeys([*starts[:1], *starts[-1:]]):  # the end of the core at work, then of all others but the last
+            held.append(batch.slice(at, cut - at))
+            if size + cut - at:
+                yield _met(held, whole)
+            held, size, whole, at = [], 0, True, cut
+        held.append(batch.slice(at))
+        size += n - at
+        if not whole and size >= FLUSH // 8:
+            yield _met(held, False)
             held, size = [], 0
     if size:
-        yield from out()
+        yield _met(held, False)
 
 
 def _repeated_windows(cores: DataFrame) -> DataFrame:
-    """Spans of the windows that also start earlier, from ranked cores."""
-    cold = cores.where(F.col("n") <= HOT_CORE).drop("n").repartition("rank").sortWithinPartitions("rank").mapInArrow(_windows, _SPANS)
-    hot = cores.where(F.col("n") > HOT_CORE).drop("n").mapInArrow(_combined_windows, _WINDOWS)
-    first = F.row_number().over(Window.partitionBy("rank", "key", "e").orderBy("_id", "start"))
-    met = hot.where("not again").withColumn("nth", first).where("nth > 1").unionByName(hot.where("again").withColumn("nth", F.lit(2)))
-    return cold.unionByName(met.select("_id", "start", (F.col("start") + WIDTH).alias("end")))
+    """Spans of the windows that also start earlier."""
+    pairs = written(cores, "cores")
+    by = ["a", "b", "_id"]
+    kept = written(pairs.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_reranked, _KEPT), "cores-64")
+    by = ["rank", "last", "_id"]
+    met = written(kept.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_windows, _MET), "windows")
+    nth = F.row_number().over(Window.partitionBy("core", "key").orderBy("_id", "start"))
+    again = met.where("core is not null").withColumn("nth", nth).where("nth > 1")
+    return met.where("core is null").select(*_SPANS.names).unionByName(again.select(*_SPANS.names))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -448,7 +475,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left = statuses.where("not settled").groupBy("_id").agg(F.collect_set("at").alias("_left"))
     # both joins see the same columns and rows, so the texts are dealt once (a reused exchange)
     texts = rows.repartition("_id")
-    windows = _repeated_windows(_ranked_cores(texts.join(left, "_id").mapInArrow(_cores(text_col), _CORE)))
+    windows = _repeated_windows(texts.join(left, "_id").mapInArrow(_cores(text_col), _CORE))
     settled = statuses.where("settled").select("_id", (F.col("at") - SPAN).alias("start"), (F.col("at") + WIDTH).alias("end"))
     spans = windows.unionByName(settled).groupBy("_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     return texts.join(spans, "_id", "left")

@@ -337,15 +337,17 @@ def test_suffix_dedup_map_side_limits(spark, monkeypatch):
         p = p.append_column("_left", pa.array([left[i] for i in p.column("_id").to_pylist()], pa.list_(pa.int64())))
         cores += list(suffix_dedup._cores("text")([p]))
     assert sum(c.num_rows for c in cores)
-    ranked = suffix_dedup._ranked_cores(spark.createDataFrame(pa.Table.from_batches(cores), suffix_dedup._CORE))
-    found = suffix_dedup._repeated_windows(ranked).collect()
+    table = spark.createDataFrame(pa.Table.from_batches(cores), suffix_dedup._CORE)
+    found = suffix_dedup._repeated_windows(table).collect()
     spans = [tuple(r) for r in found] + [(s["_id"], s["at"] - suffix_dedup.SPAN, s["at"] + 100) for s in status if s["settled"]]
-    for hot, ranks in ((0, 1 << 30), (3, 0), (1 << 15, 0)):  # all cores by window, some, none; ranks broadcast or not
-        monkeypatch.setattr(suffix_dedup, "HOT_CORE", hot)
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_RANKS", ranks)
-        again = suffix_dedup._repeated_windows(suffix_dedup._ranked_cores(spark.createDataFrame(pa.Table.from_batches(cores), suffix_dedup._CORE))).collect()
-        bytes_of = lambda rows: {(r[0], b) for r in rows for b in range(r[1], r[2])}
-        assert bytes_of(again) == bytes_of(found)
+    bytes_of = lambda rows: {(r[0], b) for r in rows for b in range(r[1], r[2])}
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 40)  # a core's windows in pieces
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for n in (1, 2, 40):  # a core in one partition, or in many
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert bytes_of(suffix_dedup._repeated_windows(table).collect()) == bytes_of(found)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
     out = {}
     for i, t in enumerate(texts):
         raw = t.encode()
