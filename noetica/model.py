@@ -26,6 +26,7 @@ TYPE, SAME_AS, DIFFERENT_FROM = f"<{RDF}type>", f"<{OWL}sameAs>", f"<{OWL}differ
 NEGATION = f"{PERSONAL}negation/"
 QUAD = ("s", "p", "o", "g")
 QUADS_DDL = "s string, p string, o string, g string"
+INTEGERS = ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger")
 NUMERIC = ("integer", "decimal", "double", "float", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger")
 
 
@@ -84,6 +85,32 @@ def number_of(term: Column) -> Column:
     return F.when(datatype_of(term).isin([XSD + n for n in NUMERIC]), lexical(term).try_cast("double"))
 
 
+def integer_of(term: Column) -> Column:
+    """The value of a literal of a whole type as a decimal, null for any other term."""
+    return F.when(datatype_of(term).isin([XSD + n for n in INTEGERS]), lexical(term).try_cast("decimal(38,0)"))
+
+
+# -- tables without doubles
+
+
+def disjoint(quads: DataFrame) -> DataFrame:
+    """``quads`` marked as holding no triple twice, be it in two graphs; queries then need no
+    distinct.  The mark is on this very DataFrame: what is derived from it does not carry it."""
+    out = quads.select("*")
+    out.__dict__["_disjoint"] = True
+    return out
+
+
+def are_disjoint(quads: DataFrame) -> bool:
+    return bool(quads.__dict__.get("_disjoint"))
+
+
+def checked_disjoint(quads: DataFrame) -> DataFrame:
+    """``quads``, marked if that holds: one aggregation over all triples."""
+    twice = quads.groupBy("s", "p", "o").agg(F.count("*").alias("n")).where("n > 1")
+    return disjoint(quads) if twice.isEmpty() else quads
+
+
 # -- negation
 
 
@@ -162,7 +189,8 @@ def table_quads(tables: dict[str, DataFrame]) -> DataFrame:
     """Agents, places and messages seen in the relational tables.
 
     One branch per predicate, with the predicate as a literal: a filter on ``p`` then prunes
-    whole scans at planning time.
+    whole scans at planning time.  Keys are unique and every graph has its own subjects or
+    predicates, so the table is marked disjoint.
     """
     c, n, r, o, s, li = (tables[x] for x in ("customer", "nation", "region", "orders", "supplier", "lineitem"))
 
@@ -170,7 +198,7 @@ def table_quads(tables: dict[str, DataFrame]) -> DataFrame:
         return df.select(iri(F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string"))).alias("s"), F.lit(p).alias("p"), obj.alias("o"), F.lit(f"<urn:g:{graph}>").alias("g"))
 
     ref = lambda kind, key: iri(F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string")))
-    return union_all(
+    return disjoint(union_all(
         [
             branch(c, "c_custkey", "c", TYPE, F.lit(schema("Person")), "customer"),
             branch(c, "c_custkey", "c", schema("name"), literal(F.col("c_name")), "customer"),
@@ -189,4 +217,4 @@ def table_quads(tables: dict[str, DataFrame]) -> DataFrame:
             branch(o, "o_orderkey", "o", schema("keywords"), literal(F.col("o_orderpriority")), "orders"),
             branch(li.select("l_orderkey", "l_suppkey").distinct(), "l_orderkey", "o", schema("recipient"), ref("s", "l_suppkey"), "lineitem"),
         ]
-    )
+    ))

@@ -7,7 +7,7 @@ import heapq
 from collections.abc import Callable, Hashable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import saved
@@ -53,6 +53,47 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+#: Rounds after which ``reachable`` goes over to the doubling closure.
+SINGLE_ROUNDS = 8
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The pairs ``(src, dst)`` of the closure that start in ``seeds.node``.
+
+    The frontier moves by one edge a round, so only what the seeds reach is touched.  Where
+    paths are longer than SINGLE_ROUNDS, the nodes left are joined to the doubling closure.
+    """
+    edges = saved(edges.select("src", "dst").distinct(), "edges")
+    start = seeds.select("node").distinct()
+    known = frontier = saved(edges.join(start, edges["src"] == start["node"], "left_semi"), "reached")
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
+    rounds = 0
+    while not frontier.isEmpty():
+        if rounds == SINGLE_ROUNDS:
+            ends = frontier.select("dst").distinct()
+            step = transitive_closure(edges).join(ends, F.col("src") == ends["dst"], "left_semi").select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
+        reached = frontier.join(step, "dst").select("src", F.col("_next").alias("dst")).distinct()
+        frontier = saved(reached.join(known, ["src", "dst"], "left_anti"), "reached")
+        known = known.unionByName(frontier)
+        if rounds == SINGLE_ROUNDS:
+            break
+        rounds += 1
+    return known
+
+
+#: Blocks in which ``all_pairs`` deals its right side.
+BLOCKS = 64
+
+
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``: what a query without a common variable
+    asks for.  The right side is dealt into blocks and the left side sent to each, an
+    equi-join on the block; the smaller side should be the left one."""
+    blocks = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]), F.lit(BLOCKS)).cast("int"))
+    return blocks.join(dealt, "_block").drop("_block")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_distance: float | None = None) -> DataFrame:
     """``(source, node, distance, parent)`` from each ``sources.node``; weights ``w`` are not negative.
 
@@ -76,6 +117,46 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_distance: float | N
     return best
 
 
+def settled_at(paths: DataFrame, stops: DataFrame) -> DataFrame:
+    """Of ``shortest_paths`` what a search that ends at its first stop has settled.
+
+    ``stops``: (source, node), any number of nodes for a source.  Of each source the nodes stay
+    that are no farther than its nearest stop; sources that meet none keep all of theirs.
+    """
+    nearest = paths.join(stops.select("source", "node").distinct(), ["source", "node"]).groupBy("source").agg(F.min("distance").alias("_stop"))
+    return paths.join(nearest, "source", "left").where("_stop is null or distance <= _stop").drop("_stop")
+
+
+def path_nodes(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, node, path``: the nodes from the source to each of ``targets(source, node)``.
+
+    Paths are unfolded from their ends by the parents of ``shortest_paths``, all at once.
+    """
+    step = paths.select("source", F.col("node").alias("_at"), F.col("parent").alias("_up"))
+    walks = saved(targets.join(paths.select("source", "node"), ["source", "node"]).select("source", "node", F.col("node").alias("_at"), F.array("node").alias("path")), "walks")
+    done = None
+    while not walks.isEmpty():
+        moved = walks.join(step, ["source", "_at"])
+        ended = moved.where("_up is null").select("source", "node", "path")
+        done = ended if done is None else done.unionByName(ended)
+        walks = saved(moved.where("_up is not null").select("source", "node", F.col("_up").alias("_at"), F.concat(F.array("_up"), "path").alias("path")), "walks")
+    return done if done is not None else walks.select("source", "node", "path")
+
+
+def joined_paths(first: Column, second: Column) -> Column:
+    """Two paths in a row; null unless the second begins where the first ends."""
+    return F.when(F.element_at(first, -1) == F.get(second, 0), F.concat(first, F.slice(second, 2, F.greatest(F.size(second) - 1, F.lit(0)))))
+
+
+def path_head(path: Column, n: int) -> Column:
+    return F.slice(path, 1, n)
+
+
+def path_tail(path: Column, n: int) -> Column:
+    """The path without its first ``n`` nodes."""
+    return F.slice(path, n + 1, F.greatest(F.size(path) - n, F.lit(0)))
+
+
 # -- small graphs, inside a task
 
 

@@ -13,7 +13,7 @@ from .views import quads, tables
 
 def _run(text: str, numbers: tuple[str, ...] = (), floats: tuple[str, ...] = ()):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = select(quads(spark, sf_dir), text, disjoint=True)
+        df = select(quads(spark, sf_dir), text)
         return df.select(*[(F.round(F.col(c).cast("double"), 4) if c in floats else F.col(c).cast("bigint" if c in numbers else "string")).alias(c) for c in df.columns])
 
     return run
@@ -147,15 +147,111 @@ _sparql(
 )
 
 
+_sparql(
+    "optional_unbound_join",
+    "SELECT ?n ?r ?x WHERE { ?n a schema:Country OPTIONAL { ?n schema:containedInPlace ?r FILTER(?r = <urn:r:2>) } { ?r a schema:Place ; schema:name ?x } }",
+    "select 'urn:n:' || n_nationkey n, 'urn:r:' || r_regionkey r, r_name x from nation, region where n_regionkey <> 2 or r_regionkey = 2",
+)
+_sparql(
+    "values_undef_join",
+    "SELECT ?n ?r WHERE { VALUES (?n ?r) { (<urn:n:1> UNDEF) (UNDEF <urn:r:2>) (<urn:n:3> <urn:r:4>) } ?n schema:containedInPlace ?r }",
+    "select 'urn:n:' || n_nationkey n, 'urn:r:' || n_regionkey r from nation where n_nationkey = 1 union all select 'urn:n:' || n_nationkey, 'urn:r:' || n_regionkey from nation where n_regionkey = 2 union all select 'urn:n:' || n_nationkey, 'urn:r:' || n_regionkey from nation where n_nationkey = 3 and n_regionkey = 4",
+)
+_sparql(
+    "optional_after_optional",
+    "SELECT ?n ?r ?x WHERE { ?n a schema:Country OPTIONAL { ?n schema:containedInPlace ?r FILTER(?r = <urn:r:1>) } OPTIONAL { ?r schema:name ?x . ?r a schema:Place } }",
+    "select 'urn:n:' || n_nationkey n, 'urn:r:' || r_regionkey r, r_name x from nation, region where n_regionkey <> 1 or r_regionkey = 1",
+)
+_sparql(
+    "minus_unbound",
+    "SELECT ?n ?r WHERE { ?n a schema:Country OPTIONAL { ?n schema:containedInPlace ?r FILTER(?r != <urn:r:3>) } MINUS { ?r schema:name \"ASIA\" } }",
+    "select 'urn:n:' || n_nationkey n, case when n_regionkey <> 3 then 'urn:r:' || n_regionkey end r from nation where n_regionkey = 3 or n_regionkey not in (select r_regionkey from region where r_name = 'ASIA')",
+)
+_sparql(
+    "exists_or",
+    "SELECT ?c WHERE { ?c a schema:Person FILTER(?c = <urn:c:1> || EXISTS { ?o schema:sender ?c ; schema:keywords \"1-URGENT\" } || !EXISTS { ?p schema:sender ?c }) }",
+    "select 'urn:c:' || c_custkey c from customer where c_custkey = 1 or c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT') or c_custkey not in (select o_custkey from orders)",
+)
+_sparql(
+    "exists_bound",
+    "SELECT ?n ?e WHERE { ?n a schema:Country BIND(EXISTS { ?s schema:homeLocation ?n . ?s a schema:Organization } AS ?e) }",
+    "select 'urn:n:' || n_nationkey n, case when n_nationkey in (select s_nationkey from supplier) then 'true' else 'false' end e from nation",
+)
+_sparql(
+    "count_distinct_all",
+    "SELECT (COUNT(DISTINCT *) AS ?n) WHERE { ?c a schema:Person OPTIONAL { ?o schema:sender ?c ; schema:price ?p FILTER(?p > 400000) } }",
+    "select count(*) n from customer left join orders on o_custkey = c_custkey and o_totalprice > 400000",
+    numbers=("n",),
+)
+_sparql("count_global", "SELECT (COUNT(*) AS ?n) WHERE { ?c a schema:Person }", "select count(*) n from customer", numbers=("n",))
+_sparql(
+    "sum_integers",
+    "SELECT (SUM(?x) AS ?total) (SUM(?x + 1) AS ?more) WHERE { VALUES ?x { 9007199254740993 1 } }",
+    "select '9007199254740994' total, '9007199254740996' more",
+)
+_sparql(
+    "closure_in_graphs",
+    "SELECT ?g ?x ?y WHERE { GRAPH ?g { ?x schema:containedInPlace+ ?y } }",
+    "select 'urn:g:nation' g, 'urn:n:' || n_nationkey x, 'urn:r:' || n_regionkey y from nation",
+)
+_sparql(
+    "closure_from_term",
+    "SELECT ?y WHERE { <urn:c:1> (schema:homeLocation|schema:containedInPlace)+ ?y }",
+    "select 'urn:n:' || c_nationkey y from customer where c_custkey = 1 union all select 'urn:r:' || n_regionkey from customer join nation on n_nationkey = c_nationkey where c_custkey = 1",
+)
+_sparql(
+    "closure_to_term",
+    "SELECT ?x WHERE { ?x (schema:homeLocation|schema:containedInPlace)* <urn:r:2> }",
+    "select 'urn:r:2' x union all select 'urn:n:' || n_nationkey from nation where n_regionkey = 2 union all select 'urn:c:' || c_custkey from customer join nation on n_nationkey = c_nationkey where n_regionkey = 2 union all select 'urn:s:' || s_suppkey from supplier join nation on n_nationkey = s_nationkey where n_regionkey = 2",
+)
+
+
+@query("default_graph_union", "select count(*) n from customer")
+def default_graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that stand in two graphs count once."""
+    q = quads(spark, sf_dir)
+    twice = q.where(F.col("p") == TYPE).unionByName(q.where(F.col("p") == TYPE).withColumn("g", F.lit("<urn:copy>")))
+    return select(twice, "SELECT (COUNT(*) AS ?n) WHERE { ?c a schema:Person }").select(F.col("n").cast("bigint").alias("n"))
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of three types at blank nodes and IRIs, with times."""
+    o = tables(spark, sf_dir)["orders"]
+    k = F.col("o_orderkey")
+    node = F.when(k % 2 == 0, F.concat(F.lit("_:o"), k.cast("string"))).otherwise(F.concat(F.lit("<urn:o:"), k.cast("string"), F.lit(">")))
+    value = F.when(k % 3 == 0, literal(k % 10, "integer")).when(k % 3 == 1, F.concat(F.lit('"'), (k % 10).cast("string"), F.lit('.0"^^<http://www.w3.org/2001/XMLSchema#decimal>'))).otherwise(literal((k % 10).cast("double"), "double"))
+    time = literal(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "dateTime")
+    row = lambda p, x: o.select(node.alias("s"), F.lit(p).alias("p"), x.alias("o"), F.lit("<urn:g>").alias("g"))
+    return row("<urn:value>", value).unionByName(row("<urn:at>", time))
+
+
+@query("blank_and_numeric", "select count(*) n, sum(case when o_orderkey % 3 = 0 then 1 else 0 end)::bigint whole from orders where o_orderkey % 2 = 0 and o_orderkey % 10 = 4")
+def blank_and_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = select(_measures(spark, sf_dir), "SELECT (COUNT(*) AS ?n) (SUM(IF(DATATYPE(?v) = xsd:integer, 1, 0)) AS ?whole) WHERE { ?s <urn:value> ?v FILTER(isBlank(?s) && ?v = 4) }")
+    return df.select(F.col("n").cast("bigint").alias("n"), F.col("whole").cast("bigint").alias("whole"))
+
+
+@query("time_functions", "select year(o_orderdate)::bigint y, month(o_orderdate)::bigint m, day(o_orderdate)::bigint d, hour(o_orderdate)::bigint h, count(*) n from orders group by 1, 2, 3, 4")
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = select(_measures(spark, sf_dir), "SELECT ?y ?m ?d ?h (COUNT(*) AS ?n) WHERE { ?s <urn:at> ?t BIND(YEAR(?t) AS ?y) BIND(MONTH(?t) AS ?m) BIND(DAY(?t) AS ?d) BIND(HOURS(?t) AS ?h) } GROUP BY ?y ?m ?d ?h")
+    return df.select(*[F.col(c).cast("bigint").alias(c) for c in df.columns])
+
+
+@query("own_functions", "select 'urn:o:' || o_orderkey s, (epoch_ms(date_trunc('second', o_orderdate)) - epoch_ms(timestamp '2020-01-01')) ms from orders where o_orderkey % 2 = 1")
+def own_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'SELECT ?s (<urn:noetica:personal#durationInMillis>("2020-01-01T00:00:00Z"^^xsd:dateTime, ?t) AS ?ms) WHERE { ?s <urn:at> ?t FILTER(isIRI(?s)) }'
+    return select(_measures(spark, sf_dir), text).select("s", F.col("ms").cast("bigint").alias("ms"))
+
+
 @query("ask_exists", "select exists(select 1 from orders where o_totalprice > 500000) as answer")
 def ask_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Engine(quads(spark, sf_dir), disjoint=True).solutions("SELECT ?o WHERE { ?o schema:price ?p FILTER(?p > 500000) } LIMIT 1")
+    found = Engine(quads(spark, sf_dir)).solutions("SELECT ?o WHERE { ?o schema:price ?p FILTER(?p > 500000) } LIMIT 1")
     return found.agg((F.count("*") > 0).alias("answer"))
 
 
 @query("construct_quads", "select distinct '<urn:c:' || o_custkey || '>' s, '<urn:knows>' p, '<urn:s:' || l_suppkey || '>' o from orders join lineitem on o_orderkey = l_orderkey")
 def construct_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construct(quads(spark, sf_dir), "CONSTRUCT { ?c <urn:knows> ?s } WHERE { ?o schema:sender ?c ; schema:recipient ?s }", disjoint=True)
+    return construct(quads(spark, sf_dir), "CONSTRUCT { ?c <urn:knows> ?s } WHERE { ?o schema:sender ?c ; schema:recipient ?s }")
 
 
 @query("describe_resource", "select '<urn:n:3>' s, * from (select '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' p, '<http://schema.org/Country>' o union all select '<http://schema.org/name>', '\"' || n_name || '\"@en' from nation where n_nationkey = 3 union all select '<http://schema.org/containedInPlace>', '<urn:r:' || n_regionkey || '>' from nation where n_nationkey = 3)")
@@ -165,7 +261,7 @@ def describe_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prebound_variables", "select 'urn:c:' || o_custkey c, count(*) n from orders where o_custkey in (1, 4, 7) group by 1")
 def prebound_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = select(quads(spark, sf_dir), "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o schema:sender ?c } GROUP BY ?c", disjoint=True, bind={"?c": ["<urn:c:1>", "<urn:c:4>", "<urn:c:7>"]})
+    df = select(quads(spark, sf_dir), "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o schema:sender ?c } GROUP BY ?c", bind={"?c": ["<urn:c:1>", "<urn:c:4>", "<urn:c:7>"]})
     return df.select("c", F.col("n").cast("bigint").alias("n"))
 
 
@@ -241,7 +337,7 @@ def update_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sparql_update_diff", "select '<urn:o:' || o_orderkey || '>' s, '\"' || o_orderpriority || '\"' o, -1 op from orders where o_totalprice > 400000 union all select '<urn:o:' || o_orderkey || '>', '\"top\"', 1 from orders where o_totalprice > 400000")
 def sparql_update_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = 'DELETE { GRAPH <urn:g:orders> { ?o schema:keywords ?k } } INSERT { GRAPH <urn:g:orders> { ?o schema:keywords "top" } } WHERE { ?o schema:keywords ?k ; schema:price ?p FILTER(?p > 400000) }'
-    return Engine(quads(spark, sf_dir), disjoint=True).update(text).select("s", "o", "op")
+    return Engine(quads(spark, sf_dir)).update(text).select("s", "o", "op")
 
 
 @query("set_operations", "select c_nationkey k from customer intersect select s_nationkey from supplier except select n_nationkey from nation where n_regionkey = 0")

@@ -1,19 +1,25 @@
 """SPARQL algebra to DataFrames: one builder per node, the rest is Catalyst's.
 
 Solutions are DataFrames with a column of terms per variable.  Variables that may be
-unbound are tracked: joins on those that are always bound are plain equi-joins.
+unbound are tracked.  Joins on those that are always bound are plain equi-joins; where a
+shared variable may be unbound, the rows are parted by which are, and each two parts meet in
+an equi-join on what is bound in both.  What has nothing in common meets by blocks
+(``all_pairs``), so no plan holds a Cartesian product.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...checkpoints import saved
 from ...functions.time import duration_iso, duration_millis
-from ...model import PERSONAL, QUAD, XSD, datatype_of, is_blank, is_iri, is_literal, lang_of, lexical, literal, number_of
-from ...operators.graph import transitive_closure
+from ...model import PERSONAL, QUAD, XSD, are_disjoint, datatype_of, integer_of, is_blank, is_iri, is_literal, lang_of, lexical, literal, number_of
+from ...operators.graph import all_pairs, reachable, transitive_closure
 from .parser import Parser, Query, SparqlError
 
 
@@ -34,6 +40,10 @@ def col(variable: str) -> Column:
 class Value:
     kind: str  # term, num, bool, str
     column: Column
+    exact: Column | None = None  # of a number: its value as a whole decimal, null if it is none
+
+    def whole(self) -> Column | None:
+        return integer_of(self.column) if self.kind == "term" else self.exact
 
     def num(self) -> Column:
         if self.kind == "num":
@@ -65,18 +75,40 @@ class Value:
         if self.kind == "bool":
             return literal(self.column, "boolean")
         whole = self.column == F.floor(self.column)
-        return F.when(whole, literal(self.column.try_cast("bigint"), "integer")).otherwise(literal(self.column, "decimal"))
+        plain = F.when(whole, literal(self.column.try_cast("bigint"), "integer")).otherwise(literal(self.column, "decimal"))
+        return plain if self.exact is None else F.when(self.exact.isNotNull(), literal(self.exact, "integer")).otherwise(plain)
+
+
+#: Variables that may be unbound up to which rows are parted by them.
+PARTS = 4
+
+
+def renamed(df: DataFrame, variables: list[str], prefix: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").alias(prefix + c if "?" + c in variables else c) for c in df.columns])
+
+
+def split(df: DataFrame, variables: list[str], maybe: frozenset[str]) -> list[tuple[DataFrame, set[str]]]:
+    """``df`` parted by which of the variables that may be unbound are, with those bound."""
+    unsure = [v for v in variables if v in maybe]
+    out = []
+    for pattern in product((True, False), repeat=len(unsure)):
+        part = df
+        for v, bound in zip(unsure, pattern, strict=True):
+            part = part.where(col(v).isNotNull() if bound else col(v).isNull())
+        out.append((part, {v for v in variables if v not in maybe} | {v for v, bound in zip(unsure, pattern, strict=True) if bound}))
+    return out
 
 
 class Engine:
     """Queries over a quad table.
 
-    ``disjoint`` says that no triple stands in two graphs, so the union of graphs needs no
-    distinct.
+    ``disjoint`` says that no triple stands twice, be it in two graphs, so the union of graphs
+    needs no distinct; by default the table says so itself (``model.disjoint``).
     """
 
-    def __init__(self, quads: DataFrame, prefixes: dict[str, str] | None = None, disjoint: bool = False):
-        self.quads, self.prefixes, self.disjoint = quads.select(*QUAD), prefixes, disjoint
+    def __init__(self, quads: DataFrame, prefixes: dict[str, str] | None = None, disjoint: bool | None = None):
+        self.disjoint = are_disjoint(quads) if disjoint is None else disjoint
+        self.quads, self.prefixes = quads.select(*QUAD), prefixes
         self.counter = 0
 
     # -- entry points
@@ -144,10 +176,12 @@ class Engine:
             return self.quads
         return self.quads.where(F.col("g") == graph).select("s", "p", "o")
 
-    def pattern(self, t: tuple, graph: str | None) -> Rows:
+    def pattern(self, t: tuple, graph: str | None, met: Rows | None = None) -> Rows:
+        """Solutions of a triple pattern; a closure starts from a bound end, be it a term or a
+        variable that ``met`` binds."""
         s, p, o = t
         if isinstance(p, tuple):
-            pairs = self.path(p, graph)
+            pairs = self.path(p, graph, self.seed(s, met), self.seed(o, met)) if p[0] in ("plus", "star") else self.path(p, graph)
             source, places = pairs, [("x", s), ("y", o)]
             if p[0] in ("star", "maybe"):
                 for here, there in ((s, o), (o, s)):
@@ -176,6 +210,14 @@ class Engine:
             df = df.distinct()
         return Rows(df, list(variables))
 
+    @staticmethod
+    def seed(term: str, met: Rows | None) -> DataFrame | str | None:
+        if not term.startswith("?"):
+            return term
+        if met is not None and term in met.variables and term not in met.maybe:
+            return met.df.select(col(term).alias("node"))
+        return None
+
     def on_bgp(self, node: tuple, graph: str | None) -> Rows:
         left = list(node[1])
         if not left:
@@ -190,35 +232,108 @@ class Engine:
         while left:
             t = min(left, key=lambda x: rank(x, seen))
             left.remove(t)
-            rows = self.pattern(t, graph)
+            rows = self.pattern(t, graph, out)
             seen |= set(rows.variables)
             out = rows if out is None else self.joined(out, rows)
         return out
 
+    def meet(self, left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column | None = None) -> DataFrame:
+        """A join on variables bound in both; those of ``right`` have the prefix ``_r``."""
+        on = reduce(lambda x, y: x & y, (col(v) == F.col(f"`_r{v[1:]}`") for v in keys)) if keys else None
+        if on is None and condition is None and how in ("left_semi", "left_anti"):
+            # whether there is any row at all: one row decides it
+            some = F.broadcast(right.limit(1).agg(F.count(F.lit(1)).alias("_some")))
+            return left.crossJoin(some).where(F.col("_some") == (1 if how == "left_semi" else 0)).drop("_some")
+        if on is None and how == "inner":
+            met = all_pairs(left, right)
+            return met if condition is None else met.where(condition)
+        return left.join(right, on if condition is None else on & condition, how)
+
     def joined(self, a: Rows, b: Rows, how: str = "inner", condition=None) -> Rows:
         shared = [v for v in a.variables if v in b.variables]
-        right = b.df
-        names = {}
-        for v in shared:
-            names[v] = self.fresh()
-            right = right.withColumnRenamed(v[1:], names[v])
-        on = F.lit(True)
-        for v in shared:
-            same = col(v) == F.col(names[v])
-            if v in a.maybe | b.maybe:
-                same = same | col(v).isNull() | F.col(names[v]).isNull()
-            on = on & same
-        if condition is not None:
-            extra = {v: F.coalesce(col(v), F.col(names[v])) if v in names else col(v) for v in {*a.variables, *b.variables}}
-            on = on & self.value(condition, extra).bool()
-        df = a.df.join(right, on, how) if shared or condition is not None or how != "inner" else a.df.crossJoin(right)
         variables = [*a.variables, *(v for v in b.variables if v not in a.variables)]
-        columns = [(F.coalesce(col(v), F.col(names[v])) if v in names and v in a.maybe else col(v)).alias(v[1:]) for v in variables]
-        df = df.select(*columns) if columns else df
+        right_of = lambda v: F.col(f"`_r{v[1:]}`")
+        scope = {v: F.coalesce(col(v), right_of(v)) if v in shared else col(v) for v in variables}
+        wanted = self.value(condition, scope).bool() if condition is not None else None
+        columns = [(scope[v] if v in a.maybe else col(v)).alias(v[1:]) for v in variables]
+        alone = [(col(v) if v in a.variables else F.lit(None).cast("string")).alias(v[1:]) for v in variables]
+        unsure = [v for v in shared if v in a.maybe | b.maybe]
+        left_parts, right_parts = [(a.df, set(shared) - set(unsure))], [(renamed(b.df, shared, "_r"), set(shared) - set(unsure))]
+        rest = F.lit(True)
+        if len(unsure) <= PARTS:
+            left_parts = split(a.df, shared, a.maybe)
+            right_parts = [(renamed(df, shared, "_r"), bound) for df, bound in split(b.df, shared, b.maybe)]
+        else:
+            for v in unsure:
+                rest = rest & ((col(v) == right_of(v)) | col(v).isNull() | right_of(v).isNull())
+        if wanted is not None or len(unsure) > PARTS:
+            rest = rest if wanted is None else rest & wanted
+        else:
+            rest = None
+        out = []
+        for left, bound in left_parts:
+            keys = [(df, [v for v in shared if v in bound & other]) for df, other in right_parts]
+            if how == "left" and len(keys) == 1 and keys[0][1]:
+                met = self.meet(left, *keys[0], "left", rest)
+                out.append(met.select(*columns) if columns else met)
+                continue
+            number = how == "left" and any(not k for _, k in keys)
+            own = saved(left.withColumn("_row", F.monotonically_increasing_id()), "optional") if number else left
+            found = [self.meet(own, df, k, "inner", rest) for df, k in keys]
+            out += [met.select(*columns) if columns else met for met in found]
+            if how == "left" and number:
+                hit = reduce(DataFrame.unionByName, [met.select("_row") for met in found]).distinct()
+                out.append(own.join(hit, "_row", "left_anti").select(*alone))
+            elif how == "left":
+                for df, k in keys:
+                    own = self.meet(own, df, k, "left_anti", rest)
+                out.append(own.select(*alone))
+        df = reduce(DataFrame.unionByName, out)
         if how == "left":
-            return Rows(df, variables, a.maybe | {v for v in b.variables if v not in a.variables} | (a.maybe & b.maybe))
+            return Rows(df, variables, a.maybe | {v for v in b.variables if v not in a.variables})
         return Rows(df, variables, (a.maybe - set(shared)) | (b.maybe - set(shared)) | (a.maybe & b.maybe))
 
+    def having(self, rows: Rows, inner: Rows, some: bool, disjoint: bool = False) -> DataFrame:
+        """Rows with (or without) a compatible one in ``inner``; with ``disjoint`` (MINUS) one
+        that shares no bound variable does not count."""
+        shared = [v for v in rows.variables if v in inner.variables]
+        right_parts = [(renamed(df.select(*[col(v) for v in shared]), shared, "_r") if shared else df, bound) for df, bound in split(inner.df, shared, inner.maybe)]
+        out = []
+        for left, bound in split(rows.df, shared, rows.maybe):
+            parts = [(df, keys) for df, other in right_parts if (keys := [v for v in shared if v in bound & other]) or not disjoint]
+            if some and len(parts) == 1:
+                out.append(self.meet(left, *parts[0], "left_semi"))
+                continue
+            missing = left
+            for k, (df, keys) in enumerate(parts):
+                if some:  # what an earlier part did not give
+                    out.append(self.meet(missing, df, keys, "left_semi"))
+                if not some or k + 1 < len(parts):
+                    missing = self.meet(missing, df, keys, "left_anti")
+            if not some:
+                out.append(missing)
+        return reduce(DataFrame.unionByName, out)
+
+    def with_exists(self, rows: Rows, e, graph: str | None):
+        """The rows with a column for each EXISTS inside an expression, and the expression on those."""
+        if not isinstance(e, tuple):
+            if isinstance(e, list):
+                out = []
+                for x in e:
+                    rows, y = self.with_exists(rows, x, graph)
+                    out.append(y)
+                return rows, out
+            return rows, e
+        if e and e[0] == "exists":
+            inner, name = self.build(e[1], graph), self.fresh()
+            found = [self.having(rows, inner, some).withColumn(name, F.lit(some == e[2])) for some in (True, False)]
+            return replace(rows, df=found[0].unionByName(found[1])), ("column", "bool", name)
+        out = []
+        for x in e:
+            rows, y = self.with_exists(rows, x, graph)
+            out.append(y)
+        return rows, tuple(out)
+
     def on_join(self, node: tuple, graph: str | None) -> Rows:
         return self.joined(self.build(node[1], graph), self.build(node[2], graph))
 
@@ -233,19 +348,9 @@ class Engine:
 
     def on_minus(self, node: tuple, graph: str | None) -> Rows:
         a, b = self.build(node[1], graph), self.build(node[2], graph)
-        shared = [v for v in a.variables if v in b.variables]
-        if not shared:
+        if not set(a.variables) & set(b.variables):
             return a
-        right, on, some = b.df, F.lit(True), F.lit(False)
-        for v in shared:
-            name = self.fresh()
-            right = right.withColumnRenamed(v[1:], name)
-            if v in a.maybe | b.maybe:
-                on = on & ((col(v) == F.col(name)) | col(v).isNull() | F.col(name).isNull())
-                some = some | (col(v).isNotNull() & F.col(name).isNotNull())
-            else:
-                on, some = on & (col(v) == F.col(name)), F.lit(True)
-        return replace(a, df=a.df.join(right, on & some, "left_anti"))
+        return replace(a, df=self.having(a, b, False, disjoint=True))
 
     def on_graph(self, node: tuple, graph: str | None) -> Rows:
         return self.build(node[2], node[1])
@@ -254,34 +359,32 @@ class Engine:
         rows, e = self.build(node[1], graph), node[2]
         parts = []
 
-        def split(x) -> None:
+        def cut(x) -> None:
             if x[0] == "and":
-                split(x[1])
-                split(x[2])
+                cut(x[1])
+                cut(x[2])
             else:
                 parts.append(x)
 
-        split(e)
+        cut(e)
         for x in parts:
             if x[0] == "not" and x[1][0] == "exists":
                 x = ("exists", x[1][1], not x[1][2])
             if x[0] == "exists":
-                inner = self.build(x[1], graph)
-                right, on = inner.df, F.lit(True)
-                for v in [v for v in rows.variables if v in inner.variables]:
-                    name = self.fresh()
-                    right = right.withColumnRenamed(v[1:], name)
-                    same = col(v) == F.col(name)
-                    on = on & (same | col(v).isNull() | F.col(name).isNull() if v in rows.maybe | inner.maybe else same)
-                rows = replace(rows, df=rows.df.join(right, on, "left_semi" if x[2] else "left_anti"))
+                rows = replace(rows, df=self.having(rows, self.build(x[1], graph), x[2]))
             else:
-                rows = replace(rows, df=rows.df.where(self.value(x, {v: col(v) for v in rows.variables}).bool()))
+                names = rows.df.columns
+                more, x = self.with_exists(rows, x, graph)
+                rows = replace(rows, df=more.df.where(self.value(x, {v: col(v) for v in rows.variables}).bool()).select(*[F.col(f"`{c}`") for c in names]))
         return rows
 
     def on_extend(self, node: tuple, graph: str | None) -> Rows:
         rows = self.build(node[1], graph)
-        term = self.value(node[3], {v: col(v) for v in rows.variables}).term()
-        return Rows(rows.df.withColumn(node[2][1:], term), [*rows.variables, node[2]], rows.maybe | {node[2]})
+        names = rows.df.columns
+        more, e = self.with_exists(rows, node[3], graph)
+        term = self.value(e, {v: col(v) for v in rows.variables}).term().alias(node[2][1:])
+        sure = node[3][0] == "term" or (node[3][0] == "var" and node[3][1] in rows.variables and node[3][1] not in rows.maybe)
+        return Rows(more.df.select(*[F.col(f"`{c}`") for c in names], term), [*rows.variables, node[2]], rows.maybe if sure else rows.maybe | {node[2]})
 
     def on_values(self, node: tuple, graph: str | None) -> Rows:
         names, rows = node[1], node[2]
@@ -293,8 +396,9 @@ class Engine:
 
     # -- property paths
 
-    def path(self, p, graph: str | None) -> DataFrame:
-        """Pairs ``x, y`` (and ``g`` where the graph is a variable)."""
+    def path(self, p, graph: str | None, start: DataFrame | str | None = None, end: DataFrame | str | None = None) -> DataFrame:
+        """Pairs ``x, y`` (and ``g`` where the graph is a variable); closures from ``start`` or to
+        ``end`` only, where these are given."""
         if isinstance(p, str):
             return self.links(F.col("p") == p, graph)
         kind, inner = p
@@ -319,18 +423,34 @@ class Engine:
                 other = self.links(~F.col("p").isin(back), graph).select(F.col("y").alias("x"), F.col("x").alias("y"), *g)
                 out = other if out is None else out.unionByName(other)
             return out
-        if g:
-            raise SparqlError("closures need a fixed graph")
         step = self.path(inner, graph).distinct()
         if kind == "maybe":
             closed = step
         else:
-            closed = transitive_closure(step.select(F.col("x").alias("src"), F.col("y").alias("dst"))).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+            # within a graph: a node is then its graph and itself
+            node = (lambda c: F.struct("g", F.col(c).alias("n"))) if g else F.col
+            edges = step.select(node("x").alias("src"), node("y").alias("dst"))
+            if not g and (start is not None or end is not None):
+                closed = self.closure_from(edges, start, end)
+            else:
+                closed = transitive_closure(edges)
+            closed = closed.select(F.col("src.g").alias("g"), F.col("src.n").alias("x"), F.col("dst.n").alias("y")) if g else closed.select(F.col("src").alias("x"), F.col("dst").alias("y"))
         if kind == "plus":
             return closed
         triples = self.triples(graph)
-        nodes = triples.select(F.col("s").alias("x")).union(triples.select("o")).distinct()
-        return closed.unionByName(nodes.select("x", F.col("x").alias("y"))).distinct()
+        nodes = triples.select(*g, F.col("s").alias("x")).union(triples.select(*g, "o")).distinct()
+        return closed.unionByName(nodes.select(*g, "x", F.col("x").alias("y"))).distinct()
+
+    def closure_from(self, edges: DataFrame, start: DataFrame | str | None, end: DataFrame | str | None) -> DataFrame:
+        """Pairs of a closure with one end among the nodes given; a term goes before a variable."""
+        backwards = start is None or (isinstance(end, str) and not isinstance(start, str))
+        seeds = end if backwards else start
+        if isinstance(seeds, str):
+            seeds = edges.sparkSession.range(1).select(F.lit(seeds).alias("node"))
+        if backwards:
+            edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = reachable(edges, seeds)
+        return found.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else found
 
     def links(self, which: Column, graph: str | None) -> DataFrame:
         df = self.quads.where(which)
@@ -404,12 +524,16 @@ class Engine:
         _, name, distinct, inner, separator = e
         if name == "COUNT":
             if inner is None:
-                return (F.count_distinct(*scope.values()) if distinct and scope else F.count(F.lit(1))).cast("double"), "num"
+                return (F.count_distinct(F.struct(*scope.values())) if distinct and scope else F.count(F.lit(1))).cast("double"), "num"
             term = self.value(inner, scope).term()
             return (F.count_distinct(term) if distinct else F.count(term)).cast("double"), "num"
         value = self.value(inner, scope)
         if name in ("SUM", "AVG"):
-            number = value.num()
+            number, whole = value.num(), value.whole() if name == "SUM" else None
+            if whole is not None:  # whole numbers alone have a whole sum, whatever its size
+                add = F.sum_distinct if distinct else F.sum
+                exact = F.when(F.count(number) == F.count(whole), F.coalesce(add(whole), F.lit(0).cast("decimal(38,0)")))
+                return F.when(exact.isNotNull(), literal(exact, "integer")).otherwise(Value("num", add(number)).term()), "term"
             f = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg}.get((name, distinct))
             if f is None:
                 return F.try_divide(F.sum_distinct(number), F.count_distinct(number)), "num"
@@ -445,8 +569,11 @@ class Engine:
         if kind in ("=", "!=", "<", ">", "<=", ">="):
             return Value("bool", self.compare(kind, self.value(e[1], scope), self.value(e[2], scope)))
         if kind in ("+", "-", "*", "/"):
-            a, b = self.value(e[1], scope).num(), self.value(e[2], scope).num()
-            return Value("num", {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b)}[kind]())
+            left, right = self.value(e[1], scope), self.value(e[2], scope)
+            a, b, m, n = left.num(), right.num(), left.whole(), right.whole()
+            apply = {"+": (lambda: a + b, F.try_add), "-": (lambda: a - b, F.try_subtract), "*": (lambda: a * b, F.try_multiply), "/": (lambda: F.try_divide(a, b), None)}[kind]
+            exact = apply[1](m, n).try_cast("decimal(38,0)") if apply[1] and m is not None and n is not None else None
+            return Value("num", apply[0](), exact)
         if kind == "call":
             return self.call(e[1], e[2], scope)
         raise SparqlError(f"{kind} cannot stand here")
@@ -560,7 +687,7 @@ class Engine:
         return out.where("s is not null and p is not null and o is not null and s not like '\"%' and p like '<%'")
 
 
-def select(quads: DataFrame, text: str, disjoint: bool = False, decode: bool = True, bind: dict[str, list[str]] | None = None) -> DataFrame:
+def select(quads: DataFrame, text: str, disjoint: bool | None = None, decode: bool = True, bind: dict[str, list[str]] | None = None) -> DataFrame:
     """Solutions of a SELECT; with ``decode`` as plain strings instead of terms."""
     df = Engine(quads, disjoint=disjoint).solutions(text, bind)
     return df.select(*[lexical(F.col(f"`{c}`")).alias(c) for c in df.columns]) if decode else df
@@ -570,7 +697,7 @@ def ask(quads: DataFrame, text: str) -> bool:
     return Engine(quads).ask(text)
 
 
-def construct(quads: DataFrame, text: str, disjoint: bool = False) -> DataFrame:
+def construct(quads: DataFrame, text: str, disjoint: bool | None = None) -> DataFrame:
     return Engine(quads, disjoint=disjoint).construct(text)
 
 
