@@ -283,10 +283,37 @@ def parse_social(data: bytes, iri: str) -> list[Quad]:
     return out
 
 
+def parse_social_profile(data: bytes, iri: str) -> list[Quad]:
+    """A profile of a social graph: names, addresses, birthday, home town, web page and picture."""
+    g, own = f"<{iri}>", json.loads(data)
+    s = f"<urn:social:{own['id']}>"
+    out: list[Quad] = [(s, TYPE, f"<{PERSONAL}Agent>", g)]
+    for key, p in (("name", "name"), ("first_name", "givenName"), ("middle_name", "additionalName"), ("last_name", "familyName"), ("bio", "description"), ("gender", "gender")):
+        if own.get(key):
+            out.append((s, _p(p), term(own[key]), g))
+    if "@" in (own.get("email") or ""):
+        node = f"<mailto:{own['email'].lower()}>"
+        out += [(s, _p("email"), node, g), (node, TYPE, f"<{PERSONAL}EmailAddress>", g), (node, _p("name"), term(own["email"]), g)]
+    if m := re.fullmatch(r"(\d{2})/(\d{2})(?:/(\d{4}))?", own.get("birthday") or ""):
+        out.append((s, _p("birthDate"), term(f"{m[3]}-{m[1]}-{m[2]}", "date") if m[3] else term(f"--{m[1]}-{m[2]}", "gMonthDay"), g))
+    for key, p in (("hometown", "birthPlace"), ("location", "homeLocation")):
+        place = own.get(key) or {}
+        if place.get("name"):
+            node = f"<urn:social:{place['id']}>" if place.get("id") else name_id("place", place["name"])
+            out += [(s, _p(p), node, g), (node, TYPE, _p("Place"), g), (node, _p("name"), term(place["name"]), g)]
+    for url in (own.get("link"), *(own.get("website") or "").split()):
+        if url and re.match(r"\w+:\S+$", url):
+            out.append((s, _p("url"), f"<{url}>", g))
+    picture = ((own.get("picture") or {}).get("data") or {}).get("url")
+    if picture:
+        out.append((s, _p("image"), f"<{picture}>", g))
+    return out
+
+
 def same_as(a: str, b: str, g: str) -> list[Quad]:
     return [(a, SAME_AS, b, g), (b, SAME_AS, a, g)]
 
 
 #: Parsers by media type; plug-ins add theirs.
-PARSERS: dict[str, Callable[[bytes, str], list[Quad]]] = {"text/vcard": parse_vcard, "text/calendar": parse_ical, "message/rfc822": parse_email, "application/social+json": parse_social}
-EXTENSIONS = {".vcf": "text/vcard", ".vcard": "text/vcard", ".ics": "text/calendar", ".eml": "message/rfc822", ".social.json": "application/social+json"}
+PARSERS: dict[str, Callable[[bytes, str], list[Quad]]] = {"text/vcard": parse_vcard, "text/calendar": parse_ical, "message/rfc822": parse_email, "application/social+json": parse_social, "application/social-profile+json": parse_social_profile}
+EXTENSIONS = {".vcf": "text/vcard", ".vcard": "text/vcard", ".ics": "text/calendar", ".eml": "message/rfc822", ".social.json": "application/social+json", ".profile.json": "application/social-profile+json"}
