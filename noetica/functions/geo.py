@@ -238,3 +238,73 @@ def arc_envelope(points: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndar
                     if np.cross(a, t) @ n >= 0 and np.cross(t, b) @ n >= 0:
                         found.append(t)
     return np.min(found, axis=0), np.max(found, axis=0)
+
+
+# -- trails, envelopes, well-known text
+
+
+def project_on_segment(p: tuple[Column, Column], a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The point of a planar segment nearest to ``p``."""
+    d = (b[0] - a[0], b[1] - a[1])
+    along = F.coalesce(F.try_divide((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1], d[0] * d[0] + d[1] * d[1]), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return a[0] + t * d[0], a[1] + t * d[1]
+
+
+def project_on_trail(x: Column, y: Column, trail: Column) -> Column:
+    """``distance, x, y`` of the point of a planar polyline (array of x, y) nearest to a point;
+    null if it has no point.  Of equally near ones the one with the smaller coordinates."""
+    ends = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(trail) - 2)), lambda i: F.struct(F.get(trail, i).alias("a"), F.coalesce(F.get(trail, i + 1), F.get(trail, i)).alias("b")))
+
+    def near(s: Column) -> Column:
+        px, py = project_on_segment((x, y), (s["a"]["x"], s["a"]["y"]), (s["b"]["x"], s["b"]["y"]))
+        return F.struct(F.hypot(x - px, y - py).alias("distance"), px.alias("x"), py.alias("y"))
+
+    return F.when(F.size(trail) > 0, F.array_min(F.transform(ends, near)))
+
+
+def trail_distance(lon: Column, lat: Column, trail: Column) -> Column:
+    """Metres from a point to a polyline (array of lon, lat) on the sphere; null without a point.
+
+    Each arc is taken in the plane that touches the sphere at the point, so arcs should be
+    short against the radius.
+    """
+    scale = F.cos(F.radians(lat))
+    flat = F.transform(trail, lambda q: F.struct((F.radians(q["lon"] - lon) * scale).alias("x"), F.radians(q["lat"] - lat).alias("y")))
+    return project_on_trail(F.lit(0.0), F.lit(0.0), flat)["distance"] * RADIUS
+
+
+def envelope_of(points: Column) -> Column:
+    """``low, high`` of an array of coordinate arrays; null if it is empty or their lengths differ."""
+    first = F.get(points, 0)
+    fits = (F.size(points) > 0) & F.forall(points, lambda p: F.size(p) == F.size(first))
+    bound = lambda f: F.aggregate(points, first, lambda a, p: F.zip_with(a, p, f))
+    return F.when(fits, F.struct(bound(lambda x, y: F.least(x, y)).alias("low"), bound(lambda x, y: F.greatest(x, y)).alias("high")))
+
+
+def envelope_include(e: Column, point: Column) -> Column:
+    """An envelope grown to hold a point; null if their dimensions differ."""
+    return F.when(F.size(e["low"]) == F.size(point), F.struct(F.zip_with(e["low"], point, lambda x, y: F.least(x, y)).alias("low"), F.zip_with(e["high"], point, lambda x, y: F.greatest(x, y)).alias("high")))
+
+
+def envelope_expand(e: Column, by: Column) -> Column:
+    """An envelope grown by a length on every side; null if nothing would be left."""
+    grown = F.struct(F.transform(e["low"], lambda x: x - by).alias("low"), F.transform(e["high"], lambda x: x + by).alias("high"))
+    return F.when(F.forall(F.zip_with(grown["low"], grown["high"], lambda a, b: a <= b), lambda x: x), grown)
+
+
+def envelope_contains(e: Column, point: Column) -> Column:
+    inside = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: x <= y), lambda x: x)
+    return (F.size(e["low"]) == F.size(point)) & inside(e["low"], point) & inside(point, e["high"])
+
+
+def parse_wkt_point(text: Column) -> Column:
+    """``lon, lat`` of a POINT in well-known text, with or without a reference system before it."""
+    part = lambda i: F.regexp_extract(text, r"(?i)^\s*(?:<[^>]*>\s*)?POINT\s*\(\s*(-?[\d.]+(?:e-?\d+)?)\s+(-?[\d.]+(?:e-?\d+)?)\s*\)\s*$", i).try_cast("double")
+    return F.when(part(1).isNotNull() & part(2).isNotNull(), F.struct(part(1).alias("lon"), part(2).alias("lat")))
+
+
+def wkt_distance(a: Column, b: Column) -> Column:
+    """Metres between two points in well-known text, null for anything else."""
+    p, q = parse_wkt_point(a), parse_wkt_point(b)
+    return haversine(p["lon"], p["lat"], q["lon"], q["lat"])

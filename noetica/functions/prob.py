@@ -40,6 +40,34 @@ def soft_tf_idf(pairs: Column) -> Column:
     return F.least(F.coalesce(F.try_divide(good, total), F.lit(0.0)), F.lit(1.0))
 
 
+def weighted_draws(elements: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``draw, element``: ``n`` draws with the chances that ``elements(element, weight)`` give.
+
+    Draw ``i`` takes a number below the sum of weights from 52 bits of an MD5 of seed and ``i``;
+    the element whose range of cumulated weights (in order of two digits of its MD5, then of
+    itself) holds it is drawn.
+    Whole weights; ranges meet draws by blocks of the sum, so no side is held by one task.
+    """
+    spark = elements.sparkSession
+    # cumulated within parts of the elements, then over those: the last window has few rows
+    parts = elements.where("weight > 0").withColumn("_part", F.substring(F.md5(F.col("element").cast("string")), 1, 2))
+    sums = parts.groupBy("_part").agg(F.sum("weight").alias("_all"))
+    sums = sums.withColumn("_before", F.sum("_all").over(Window.orderBy("_part")) - F.col("_all"))
+    ranges = parts.join(sums, "_part").withColumn("_to", F.col("_before") + F.sum("weight").over(Window.partitionBy("_part").orderBy("element")))
+    ranges = ranges.select("element", (F.col("_to") - F.col("weight")).alias("_from"), "_to")
+    total = F.lit(elements.where("weight > 0").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"))), 1, 13)
+    at = F.floor(F.conv(digits, 16, 10).cast("double") / float(1 << 52) * total).cast("long")
+    block = F.greatest(F.lit(1), F.ceil(total / BLOCKS)).cast("long")
+    draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / block))
+    spread = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
+    return draws.join(spread, "_block").where("_from <= _at and _at < _to").select("draw", "element")
+
+
+#: Blocks of the sum of weights in which draws meet elements.
+BLOCKS = 4096
+
+
 class Draws:
     """Seeded draws: bounded longs, weighted elements, uniform and weighted ordered pairs."""
 

@@ -6,7 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,9 +151,24 @@ def image_type(x: Column) -> Column:
     return F.when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("47494638"), "gif").when(head.startswith("424D"), "bmp").when(head.startswith("49492A00") | head.startswith("4D4D002A"), "tiff")
 
 
+#: Latin letters that Unicode does not decompose, and what they are folded to.
+STROKED, PLAIN = "ĐĦŁØŦđħıłøŧ", "DHLOTdhilot"
+_MARKED = [c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1]
+ACCENTED, FOLDED = "".join(_MARKED) + STROKED, "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED) + PLAIN
+PAIRS = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "TH", "þ": "th"}
+
+
+def folded(x: Column) -> Column:
+    """Latin letters without their marks, by the JVM alone; combining marks go too."""
+    x = F.regexp_replace(F.translate(x, ACCENTED, FOLDED), r"\p{M}+", "")
+    for letter, plain in PAIRS.items():
+        x = F.replace(x, F.lit(letter), F.lit(plain))
+    return x
+
+
 def grams(x: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
-    """Distinct n-grams of the lower-cased tokens' letters and digits."""
-    words = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Distinct n-grams of the lower-cased tokens' letters and digits, accents folded."""
+    words = F.filter(F.split(F.lower(folded(x)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
     def cut(w: Column, n: int) -> Column:
         return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -161,7 +176,14 @@ def grams(x: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(*(cut(w, n) for n in sizes)))))
 
 
+def provider_kinds(emails: DataFrame, providers: DataFrame) -> DataFrame:
+    """``emails`` with ``kind`` of their ``domain`` by a list of providers ``(domain, kind)``."""
+    listed = providers.select(F.lower("domain").alias("_domain"), "kind").groupBy("_domain").agg(F.min("kind").alias("kind"))
+    return emails.join(listed, F.lower(emails["domain"]) == listed["_domain"], "left").drop("_domain")
+
+
 def provider_kind(domain: Column) -> Column:
+    """By the short lists of this module; ``provider_kinds`` takes a list of any length."""
     d = F.lower(domain)
     return F.when(d.isin(*FREE_DOMAINS), "free").when(d.isin(*DISPOSABLE_DOMAINS), "disposable")
 

@@ -20,6 +20,37 @@ def duration_iso(start: Column, end: Column) -> Column:
     return F.when(ms < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
+#: ``duration_iso`` of timestamps ``a`` and ``b`` as SQL text.
+DURATION_SQL = (
+    "concat(if(unix_millis(b) < unix_millis(a), '-', ''), format_string('P0Y0M%dDT%dH%dM%d.%03dS', abs(unix_millis(b) - unix_millis(a)) div 86400000, abs(unix_millis(b) - unix_millis(a)) % 86400000 div 3600000, "
+    "abs(unix_millis(b) - unix_millis(a)) % 3600000 div 60000, abs(unix_millis(b) - unix_millis(a)) % 60000 div 1000, abs(unix_millis(b) - unix_millis(a)) % 1000))"
+)
+
+
+def scaled(duration: Column, by: Column) -> Column:
+    """A day-time interval times a number."""
+    return F.make_dt_interval(secs=seconds_of(duration) * by)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """How often interval ``b`` goes into ``a``; null if ``b`` is nothing."""
+    return F.try_divide(seconds_of(a), seconds_of(b))
+
+
+def shorter(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def longer(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def seconds_of(duration: Column) -> Column:
+    """Seconds of a day-time interval, with their fraction."""
+    part = lambda unit: F.extract(F.lit(unit), duration)
+    return (part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60 + part("SECOND")).cast("decimal(28,6)")
+
+
 def epoch_millis(text: Column) -> Column:
     """Milliseconds of a date (its midnight) or time in ISO form, null for anything else."""
     return F.unix_millis(F.try_to_timestamp(text))

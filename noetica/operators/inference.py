@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import saved
-from ..model import DIFFERENT_FROM, OWL, RDF, RDFS, SAME_AS, TYPE, is_blank, is_iri
-from .graph import connected_components, transitive_closure
+from ..model import DIFFERENT_FROM, OWL, RDF, RDFS, SAME_AS, TYPE, apply_diff, is_blank, is_iri
+from .graph import connected_components, reachable, transitive_closure
 
 INVERSE_OF, SYMMETRIC, TRANSITIVE = f"<{OWL}inverseOf>", f"<{OWL}SymmetricProperty>", f"<{OWL}TransitiveProperty>"
 SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE = (f"<{RDFS}{x}>" for x in ("subClassOf", "subPropertyOf", "domain", "range"))
@@ -91,6 +91,26 @@ def shared_identifier_stars(quads: DataFrame, predicates: list[str]) -> DataFram
     return own.withColumn("least", F.min("s").over(Window.partitionBy("p", "o"))).where("s <> least").select(F.col("s").alias("src"), F.col("least").alias("dst")).distinct()
 
 
+def shared_identifier_changes(quads: DataFrame, diff: DataFrame, predicates: list[str]) -> DataFrame:
+    """``a, b, op``: pairs of ``shared_identifier_stars`` that a diff of quads adds or removes.
+
+    ``quads`` are those before the diff.  Only values that the diff touches are looked at: the
+    star of a value is taken before and after it.
+    """
+    wanted = lambda df: df.where(F.col("p").isin(predicates))
+    values = wanted(diff).select("p", "o").distinct()
+    before = wanted(quads).join(values, ["p", "o"], "left_semi").select("s", "p", "o", "g").distinct()
+    after = apply_diff(before, wanted(diff))
+    # a link that another, untouched value gives as well stays
+    links = lambda df: df.select("s", "p", "o").distinct().withColumn("least", F.min("s").over(Window.partitionBy("p", "o"))).where("s <> least")
+    touched = links(before).select(F.col("s").alias("a"), F.col("least").alias("b")).unionByName(links(after).select(F.col("s").alias("a"), F.col("least").alias("b"))).distinct()
+    rest = wanted(quads).join(values, ["p", "o"], "left_anti")
+    of = lambda c, out: rest.join(touched.select(F.col(c).alias("s")).distinct(), "s", "left_semi").select(F.col("s").alias(c), "p", F.col("o").alias(out))
+    other = touched.join(of("a", "o"), "a").join(of("b", "o"), ["b", "p", "o"]).select("a", "b").distinct()
+    was, now = (links(df).select(F.col("s").alias("a"), F.col("least").alias("b")).distinct().join(other, ["a", "b"], "left_anti") for df in (before, after))
+    return now.join(was, ["a", "b"], "left_anti").withColumn("op", F.lit(1)).unionByName(was.join(now, ["a", "b"], "left_anti").withColumn("op", F.lit(-1)))
+
+
 def differing(same: DataFrame, different: DataFrame) -> DataFrame:
     """``(a, b)`` whose classes of sameness hold members said to differ; both are ``(src, dst)``."""
     classes = connected_components(same)
@@ -127,6 +147,29 @@ def primary_facets(same: DataFrame, descriptions: DataFrame, members: DataFrame)
     return own.withColumn("rank", rank).where("rank = 1").select("component", F.col("node").alias("facet"), "n")
 
 
+def primary_facet_changes(quads: DataFrame, diff: DataFrame, types: list[str], facet: str, graph: str) -> DataFrame:
+    """The diff that elects primary facets anew where ``diff`` touched a resource.
+
+    ``quads`` are those after the diff.  The classes of sameness (by sameAs) that touched
+    resources are in are found from these resources outwards; in each, of the members of one of
+    ``types`` the one with most quads is the facet (ties to the smaller name).  Facets of
+    ``graph`` that are no longer right are taken back, others are left alone.
+    """
+    touched = diff.select(F.col("s").alias("node")).union(diff.where((F.col("p") == SAME_AS) & is_iri(F.col("o"))).select("o")).distinct()
+    same = quads.where(F.col("p") == SAME_AS).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    gone = diff.where((F.col("p") == SAME_AS) & (F.col("op") < 0)).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    both = same.unionByName(gone)
+    both = both.union(both.select("dst", "src"))
+    reached = reachable(both, touched).select(F.col("dst").alias("node")).union(touched).distinct()
+    members = saved(quads.where((F.col("p") == TYPE) & F.col("o").isin(types)).select(F.col("s").alias("node")).distinct().join(reached, "node", "left_semi"), "members")
+    own = same.join(reached.select(F.col("node").alias("src")), "src", "left_semi")
+    described = quads.join(members.select(F.col("node").alias("s")), "s", "left_semi").where(~((F.col("p") == TYPE) & (F.col("o") == facet))).select(F.col("s").alias("node"))
+    elected = primary_facets(own, described, members).select(F.col("facet").alias("s"), F.lit(TYPE).alias("p"), F.lit(facet).alias("o"), F.lit(graph).alias("g"))
+    old = quads.where((F.col("p") == TYPE) & (F.col("o") == facet) & (F.col("g") == graph)).join(reached.select(F.col("node").alias("s")), "s", "left_semi").select("s", "p", "o", "g")
+    key = ["s", "p", "o", "g"]
+    return elected.join(old, key, "left_anti").withColumn("op", F.lit(1)).unionByName(old.join(elected, key, "left_anti").withColumn("op", F.lit(-1)))
+
+
 def representatives(classes: DataFrame) -> DataFrame:
     """Per component its first member that is no blank node (a blank one if there is none)."""
     return classes.groupBy("component").agg(F.min(F.struct(is_blank(F.col("node")).alias("blank"), F.col("node").alias("node")))["node"].alias("representative"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checkpoints import saved
-from ..functions.text import grams, jaro_winkler_of, normalise, tokens
+from ..functions.text import grams, jaro_winkler_of, normalise, provider_kind, tokens
+from ..model import DIFFERENT_FROM, SAME_AS
 from .alignment import align
 from .graph import assignment, connected_components, dijkstra, shortest_paths
 
@@ -89,26 +90,55 @@ def soft_tf_idf_of(left: list[str], right: list[str], idf: dict[str, float], sim
 
 
 def score_pairs(pairs: DataFrame, weights: DataFrame, idf: DataFrame) -> DataFrame:
-    """``a, b, score``: weighted mean of the soft TF-IDF of their names."""
-    terms = weights.select("agent", "name", "weight", tokens(normalise(F.col("name"))).alias("terms"))
-    each = terms.select("agent", "name", "weight", F.posexplode_outer("terms").alias("k", "term")).join(idf, "term", "left")
-    named = each.groupBy("agent", "name", "weight").agg(F.array_sort(F.collect_list(F.struct("k", "term", F.coalesce("idf", F.lit(0.0)).alias("idf")))).alias("terms"))
-    own = named.groupBy("agent").agg(F.collect_list(F.struct("weight", "terms")).alias("names"))
-    rows = pairs.join(own.select(F.col("agent").alias("a"), F.col("names").alias("left")), "a").join(own.select(F.col("agent").alias("b"), F.col("names").alias("right")), "b")
+    """``a, b, score``: weighted mean of the soft TF-IDF of their names.
+
+    Names meet as rows, and each two different names are compared once, however many agents
+    have them; the agents' weights are joined to the result.
+    """
+    names = weights.select("name").distinct().select("name", F.posexplode_outer(tokens(normalise(F.col("name")))).alias("k", "term")).join(idf, "term", "left")
+    named = saved(names.groupBy("name").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("k", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"))))).alias("terms")), "names")
+    own = lambda side, name, w: weights.select(F.col("agent").alias(side), F.col("name").alias(name), F.col("weight").alias(w))
+    met = saved(pairs.join(own("a", "n1", "w1"), "a").join(own("b", "n2", "w2"), "b").select("a", "b", "n1", "n2", (F.col("w1") * F.col("w2")).alias("w")), "met")
+    different = met.select("n1", "n2").distinct()
+    rows = different.join(named.select(F.col("name").alias("n1"), F.col("terms").alias("left")), "n1").join(named.select(F.col("name").alias("n2"), F.col("terms").alias("right")), "n2")
+
+    def score(batches):
+        for pdf in batches:
+            out = []
+            for x, y in zip(pdf["left"], pdf["right"], strict=True):
+                idfs = {t["term"]: t["idf"] for t in [*x, *y]}
+                out.append(soft_tf_idf_of([t["term"] for t in x], [t["term"] for t in y], idfs))
+            yield pd.DataFrame({"n1": pdf["n1"], "n2": pdf["n2"], "s": out})
+
+    compared = rows.select("n1", "n2", "left", "right").mapInPandas(score, "n1 string, n2 string, s double")
+    sums = met.join(compared, ["n1", "n2"]).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("s")).alias("good"), F.sum("w").alias("total"))
+    return sums.select("a", "b", F.least(F.coalesce(F.try_divide("good", "total"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
+def term_weighted_scores(pairs: DataFrame, terms: DataFrame, idf: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """``a, b, score`` by the agents' terms, each counted once with its own weight.
+
+    ``terms``: agent, term, weight.  The terms of both agents are matched, and a match counts
+    with its similarity by the tf-idf (weight times idf) of both terms; unmatched terms count
+    against it.
+    """
+    rated = terms.join(idf, "term").select("agent", F.struct("term", (F.col("weight") * F.col("idf")).alias("tfidf")).alias("t"))
+    own = saved(rated.groupBy("agent").agg(F.array_sort(F.collect_list("t")).alias("terms")), "terms")
+    rows = pairs.join(own.select(F.col("agent").alias("a"), F.col("terms").alias("left")), "a").join(own.select(F.col("agent").alias("b"), F.col("terms").alias("right")), "b")
 
     def score(batches):
         for pdf in batches:
             out = []
-            for ls, rs in zip(pdf["left"], pdf["right"], strict=True):
-                good = total = 0.0
-                for x in ls:
-                    for y in rs:
-                        idfs = {t["term"]: t["idf"] for t in [*x["terms"], *y["terms"]] if t["term"] is not None}
-                        w = x["weight"] * y["weight"]
-                        words = [[t["term"] for t in z["terms"] if t["term"] is not None] for z in (x, y)]
-                        good += w * soft_tf_idf_of(*words, idfs)
-                        total += w
-                out.append(min(good / total, 1.0) if total else 0.0)
+            for x, y in zip(pdf["left"], pdf["right"], strict=True):
+                left, right = [t["term"] for t in x], [t["term"] for t in y]
+                good, total, seen_l, seen_r = 0.0, 0.0, set(), set()
+                for ls, rs, s in match_terms(left, right, threshold=threshold):
+                    w = sum(x[i]["tfidf"] for i in ls) + sum(y[j]["tfidf"] for j in rs)
+                    good, total = good + w * s, total + w
+                    seen_l |= set(ls)
+                    seen_r |= set(rs)
+                total += sum(t["tfidf"] for i, t in enumerate(x) if i not in seen_l) + sum(t["tfidf"] for j, t in enumerate(y) if j not in seen_r)
+                out.append(min(good / total, 1.0) if total > 0 else 0.0)
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": out})
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -126,6 +156,23 @@ def match_agents(names: DataFrame, different: DataFrame | None = None, threshold
     return scores
 
 
+def persisted(scores: DataFrame, quads: DataFrame, threshold: float = PERSIST, graph: str = "<urn:agent-match>") -> DataFrame:
+    """The diff that stores matches: sameAs both ways for pairs of ``threshold`` or more, unless
+    the base says that they differ or has the link; links of ``graph`` that no score carries go.
+
+    ``scores``: a, b, score with IRIs; of several scores of a pair the largest counts.
+    """
+    good = max_merge(scores).where(F.col("score") >= threshold)
+    link = lambda s, o: good.select(F.col(s).alias("s"), F.lit(SAME_AS).alias("p"), F.col(o).alias("o"), F.lit(graph).alias("g"))
+    links = link("a", "b").unionByName(link("b", "a"))
+    differ = quads.where(F.col("p") == DIFFERENT_FROM)
+    differ = differ.select("s", "o").union(differ.select("o", "s")).distinct()
+    links = links.join(differ, ["s", "o"], "left_anti").select("s", "p", "o", "g")
+    old = quads.where((F.col("p") == SAME_AS) & (F.col("g") == graph)).select("s", "p", "o", "g")
+    key = ["s", "p", "o", "g"]
+    return links.join(old, key, "left_anti").withColumn("op", F.lit(1)).unionByName(old.join(links, key, "left_anti").withColumn("op", F.lit(-1)))
+
+
 def max_merge(scores: DataFrame) -> DataFrame:
     return scores.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
@@ -139,6 +186,39 @@ def threshold_classes(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return found.select(F.col("node.threshold").alias("threshold"), F.col("node.node").alias("node"), F.col("component.node").alias("component"))
 
 
+def sweep_classes(nodes: DataFrame, shared: DataFrame, scores: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``level, node, component`` of every node: by shared identifiers only (level 2), by those
+    and the scores from each threshold on (the threshold), and all in one class (level 0).
+
+    ``nodes``: node; ``shared``: src, dst; ``scores``: a, b, score.
+    """
+    base = shared.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(2.0).alias("score"))
+    found = threshold_classes(base.unionByName(scores.select("a", "b", F.col("score").cast("double").alias("score"))), [2.0, *thresholds])
+    levels = F.explode(F.array(*(F.lit(float(t)) for t in (2.0, *thresholds)))).alias("level")
+    each = nodes.select("node", levels).join(found.withColumnRenamed("threshold", "level"), ["level", "node"], "left").select("level", "node", F.coalesce("component", "node").alias("component"))
+    least = nodes.agg(F.min("node").alias("component"))
+    return each.unionByName(nodes.crossJoin(F.broadcast(least)).select(F.lit(0.0).alias("level"), "node", "component"))
+
+
+def class_sizes(classes: DataFrame, emails: DataFrame | None = None) -> DataFrame:
+    """``level, class_size, n_classes``: how many classes have how many members, or, with
+    ``emails(node, email)``, how many different addresses."""
+    rows = classes.select("level", "component", F.col("node").alias("x")) if emails is None else classes.join(emails, "node").select("level", "component", F.col("email").alias("x"))
+    return rows.groupBy("level", "component").agg(F.count_distinct("x").alias("class_size")).groupBy("level", "class_size").agg(F.count("*").alias("n_classes"))
+
+
+def part_distribution(parts: DataFrame) -> DataFrame:
+    """``kinds, n``: how many agents have which types of name parts; ``parts``: agent, part_type."""
+    kinds = parts.groupBy("agent").agg(F.array_join(F.array_sort(F.collect_set("part_type")), "+").alias("kinds"))
+    return kinds.groupBy("kinds").agg(F.count("*").alias("n"))
+
+
+def pattern_rollup(patterns: DataFrame) -> DataFrame:
+    """``domain, pattern, n, cost``: counts and mean costs by domain and pattern, by domain, and
+    of all; ``patterns``: domain, pattern, cost."""
+    return patterns.rollup("domain", "pattern").agg(F.count("*").alias("n"), F.avg("cost").alias("cost"))
+
+
 def sample_truth(samples: DataFrame, classes: DataFrame) -> DataFrame:
     """Samples ``(a, b)`` with whether both are of one class."""
     left = classes.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -183,8 +263,13 @@ def _local_parts(parts: pd.Series, local: pd.Series) -> pd.Series:
 
 
 def local_part_matches(agents: DataFrame) -> DataFrame:
-    """``agents(agent, parts array<string>, local, domain)`` with the parts found in the local part."""
-    return agents.withColumn("found", _local_parts("parts", "local"))
+    """``agents(agent, parts array<string>, local, domain)`` with the parts found in the local part.
+
+    Addresses of providers and throw-away ones say nothing about the pattern of an organisation
+    and are left out.
+    """
+    own = agents.where(provider_kind(F.col("domain")).isNull()) if "domain" in agents.columns else agents
+    return own.withColumn("found", _local_parts("parts", "local"))
 
 
 def local_part_patterns(matches: DataFrame) -> DataFrame:

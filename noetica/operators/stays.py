@@ -6,17 +6,16 @@ groups are independent and run side by side.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import saved
 from ..functions.geo import RADIUS, ellipsoid_inverse
 from ..functions.prob import hellinger_of
-from .graph import connected_components
 from .relational import near_pairs
 
 LAMBDA, MIN_STAY, LOOKUP, MOVE_LOOKUP = 0.95, 15 * 60.0, 60 * 60.0, 120 * 60.0
@@ -32,26 +31,71 @@ def ellipsoid_of(lon1, lat1, lon2, lat2):
     return ellipsoid_inverse(lon1, lat1, lon2, lat2)[0]
 
 
-@dataclass
-class Cluster:
-    """Open cluster: members, and the sums that give its most likely centre and variance."""
+#: Metres of a radian along any line of the ellipsoid (or of its sphere): no less, no more.
+RADIAN_LOW, RADIAN_HIGH = 6_335_439.0 * 0.999, 6_399_594.0 * 1.001
+#: Degrees up to which these bounds are used.
+NEAR = 1.0
 
-    number: int
-    first: float
-    last: float
-    lon: list[float] = field(default_factory=list)
-    lat: list[float] = field(default_factory=list)
-    var: list[float] = field(default_factory=list)
-    ids: list = field(default_factory=list)
 
-    def centre(self) -> tuple[float, float, float]:
-        p = 1 / np.array(self.var)
-        return float(p @ self.lon / p.sum()), float(p @ self.lat / p.sum()), len(p) / float(p.sum())
+def _far(distance: float, v1: float, v2: float, threshold: float) -> bool:
+    """Whether two normals are farther apart than a threshold (Hellinger)."""
+    z = 2 * math.sqrt(v1 * v2) / (v1 + v2) * math.exp(-distance * distance / (4 * (v1 + v2)))
+    return 1 - z > threshold * threshold
 
-    def with_(self, lon: float, lat: float, var: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, float]:
-        lons, lats, vs = np.array([lon, *self.lon]), np.array([lat, *self.lat]), np.array([var, *self.var])
-        p = 1 / vs
-        return lons, lats, vs, float(p @ lons / p.sum()), float(p @ lats / p.sum()), len(p) / float(p.sum())
+
+class Cluster:
+    """Open cluster: members in growing buffers, and the sums that give its most likely centre
+    and variance."""
+
+    def __init__(self, number: int, first: float, last: float, lon: list[float] = (), lat: list[float] = (), var: list[float] = (), ids: list = ()):
+        self.number, self.first, self.last, self.ids = number, first, last, []
+        self.size, self.p, self.x, self.y = 0, 0.0, 0.0, 0.0
+        self.members = np.empty((3, 8))
+        for i, *m in zip(ids, lon, lat, var, strict=True):
+            self.add(i, *m)
+
+    def add(self, id_, lon: float, lat: float, var: float) -> None:
+        if self.size == self.members.shape[1]:
+            self.members = np.concatenate([self.members, np.empty_like(self.members)], axis=1)
+        self.members[:, self.size] = lon, lat, var
+        self.size += 1
+        self.ids.append(id_)
+        self.p, self.x, self.y = self.p + 1 / var, self.x + lon / var, self.y + lat / var
+
+    def centre(self) -> tuple[float, float, float]:
+        return self.x / self.p, self.y / self.p, self.size / self.p
+
+    def state(self) -> dict:
+        lon, lat, var = self.members[:, : self.size].tolist()
+        return {"number": self.number, "first": self.first, "last": self.last, "lon": lon, "lat": lat, "var": var, "ids": self.ids}
+
+    def takes(self, lon: float, lat: float, var: float, threshold: float, distance) -> bool:
+        """Whether all members, with a new one, stay within the threshold of their new centre.
+
+        Bounds of the distance decide most cases; what they leave open is measured.
+        """
+        p = self.p + 1 / var
+        x, y, v = (self.x + lon / var) / p, (self.y + lat / var) / p, (self.size + 1) / p
+        # the new member first: it fails most often
+        dx, dy, top = abs(lon - x), abs(lat - y), max(abs(lat), abs(y))
+        near = dx <= NEAR and dy <= NEAR and top < 89
+        if near:
+            dx, dy = math.radians(dx), math.radians(dy)
+            if _far(RADIAN_LOW * math.hypot(dy, math.cos(math.radians(top)) * dx), v, var, threshold):
+                return False
+        if not near or _far(RADIAN_HIGH * math.hypot(dy, math.cos(math.radians(min(abs(lat), abs(y)))) * dx), v, var, threshold):
+            if _far(float(distance(np.array([lon]), np.array([lat]), x, y)[0]), v, var, threshold):
+                return False
+        lons, lats, vs = self.members[:, : self.size]
+        dx, dy = np.abs(lons - x), np.abs(lats - y)
+        if dx.max() <= NEAR and dy.max() <= NEAR and top < 89:
+            wide = math.cos(math.radians(max(0.0, abs(y) - float(dy.max()))))
+            square = (RADIAN_HIGH * math.pi / 180) ** 2 * (dy * dy + wide * wide * dx * dx)
+            z = 2 * np.sqrt(v * vs) / (v + vs) * np.exp(-square / (4 * (v + vs)))
+            if (1 - z).max() <= threshold * threshold:
+                return True
+        n = self.size
+        return bool((hellinger_of(distance(lons, lats, np.full(n, x), np.full(n, y)), v, vs) <= threshold).all())
 
 
 class SequentialClustering:
@@ -73,20 +117,13 @@ class SequentialClustering:
             kept, closed = within, beyond
         var = max(acc, 1e-9) ** 2
         for c in kept:
-            lons, lats, vs, x, y, v = c.with_(lon, lat, var)
-            # the new member first: it fails most often
-            if hellinger_of(self.distance(lons[:1], lats[:1], x, y), v, vs[:1])[0] > self.threshold:
-                continue
-            if (hellinger_of(self.distance(lons, lats, np.full(len(lons), x), np.full(len(lons), y)), v, vs) <= self.threshold).all():
+            if c.takes(lon, lat, var, self.threshold, self.distance):
                 break
         else:
             c = Cluster(self.number, t, t)
             self.number += 1
             kept = [*kept, c]
-        c.lon.append(lon)
-        c.lat.append(lat)
-        c.var.append(var)
-        c.ids.append(id_)
+        c.add(id_, lon, lat, var)
         c.last = t
         self.open = sorted(kept, key=lambda k: (-k.last, -k.number))
         return closed
@@ -208,6 +245,14 @@ def stays(locations: DataFrame, key: str = "user_id", stages: int = 3, min_secon
     return locations.select(key, "id", "ts", "lon", "lat", "acc").where(F.col("ts").isNotNull()).groupBy(key).applyInPandas(run, schema)
 
 
+def with_clusters(locations: DataFrame, items: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Every location with its cluster's span and centre, all null where it has none.
+
+    ``items``: (cluster, id) of members; ``clusters``: (cluster, c_from, c_to, c_lon, c_lat, c_acc).
+    """
+    return locations.join(items.join(clusters, "cluster").drop("cluster"), "id", "left")
+
+
 def greedy_clusters(points: np.ndarray, radius: float) -> list[list[int]]:
     """Global clustering of (lon, lat): the point with most neighbours takes all within a radius."""
     left, out = set(range(len(points))), []
@@ -221,26 +266,32 @@ def greedy_clusters(points: np.ndarray, radius: float) -> list[list[int]]:
 
 
 def global_clusters(points: DataFrame, metres: float, id_col: str = "id") -> DataFrame:
-    """``(id, cluster)`` by ``greedy_clusters``; the least id names a cluster.
+    """``(id, cluster)`` as ``greedy_clusters`` gives them; the least id names a cluster.
 
-    Points that near pairs do not connect never share a cluster, so each connected component
-    is clustered by itself; lone points are found without any Python.
+    A round picks at once every point with more neighbours left than any point whose
+    neighbours it shares (ties to the smaller id): the greedy order would take it before those,
+    as counts only fall, and what it takes changes no count of a point farther away.  So no
+    group of points, however wide, has to be in one task.
     """
     own = points.select(F.col(id_col).alias("id"), "lon", "lat")
-    pairs = saved(near_pairs(own, metres), "near")
-    parts = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = own.join(parts, own["id"] == parts["node"], "left").select("id", "lon", "lat", "component")
-    kind = points.schema[id_col].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        cluster = np.empty(len(group), object)
-        for members in greedy_clusters(group[["lon", "lat"]].to_numpy(), metres):
-            cluster[members] = group["id"].iloc[min(members)]
-        return pd.DataFrame({"id": group["id"], "cluster": cluster})
-
-    met = placed.where("component is not null").groupBy("component").applyInPandas(run, f"id {kind}, cluster {kind}")
-    return met.unionByName(placed.where("component is null").select("id", F.col("id").alias("cluster")))
+    pairs = saved(near_pairs(own, metres), "near").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # each point is a neighbour of its own
+    alone = own.select("id").join(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "id", "left_anti")
+    near = saved(pairs.union(pairs.select("v", "u")).union(pairs.select("u", "u")).union(pairs.select("v", "v")).distinct(), "near")
+    clusters = alone.select("id", F.col("id").alias("cluster"))
+    while not near.isEmpty():
+        counts = near.groupBy("u").agg(F.count("*").alias("n"))
+        # ranks sort by fewer neighbours left out, then by id, so the least one is the best
+        ranked = counts.select(F.col("u").alias("v"), F.struct((-F.col("n")).alias("less"), F.col("u").alias("id")).alias("rank"))
+        for _ in range(2):  # the best within one step, then within two
+            best = near.join(ranked, "v").groupBy("u").agg(F.min("rank").alias("rank"))
+            ranked = best.select(F.col("u").alias("v"), "rank")
+        seeds = best.where(F.col("rank.id") == F.col("u")).select(F.col("u").alias("seed"))
+        taken = saved(near.join(seeds, near["u"] == seeds["seed"]).select("seed", F.col("v").alias("id")), "taken")
+        clusters = clusters.unionByName(taken.withColumn("cluster", F.min("id").over(Window.partitionBy("seed"))).select("id", "cluster"))
+        gone = taken.select("id")
+        near = saved(near.join(gone.select(F.col("id").alias("u")), "u", "left_anti").join(gone.select(F.col("id").alias("v")), "v", "left_anti"), "near")
+    return clusters
 
 
 def agglomerative_clusters(points: np.ndarray, radius: float) -> list[list[int]]:

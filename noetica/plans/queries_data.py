@@ -485,7 +485,7 @@ def agent_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.match_agents(agents.unionByName(doubles), different)
 
 
-@query("paris")
+@query("paris", "with c as (select c_custkey k, c_custkey % 2 = 0 even from customer), n as (select 1 - 0.97007 * 0.9 pn, 1 - 0.80435 * (1 - 0.9) neg) select 'a' || k x, 'b' || k x2, round(case when even then (1 - (1 - 0.99) * pn) * neg else (1 - pn) * (1 - 0.87314) * neg end::double, 6) score from c, n union all select 'b' || k, 'a' || k, round(case when even then (1 - (1 - 0.99) * pn) * neg else (1 - pn) * neg end::double, 6) from c, n")
 def paris(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables(spark, sf_dir)["customer"]
     key = F.col("c_custkey")
@@ -538,7 +538,7 @@ def weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["event_type"], int(k)) for r, k in zip(counts, n, strict=True)], "event_type string, drawn long")
 
 
-@query("stratified_samples")
+@query("stratified_samples", f"with {_SAME}, s as (select src a, dst b, ((src * 7 + dst) % 100) / 100.0 score from same), l as (select *, floor(score * 4) / 4 threshold from s) select threshold::double threshold, a, b, score::double score from l qualify row_number() over (partition by threshold order by md5('42|' || a || '|' || b)) <= 10")
 def stratified_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _same(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"), (((F.col("src") * 7 + F.col("dst")) % 100) / 100).alias("score"))
     return resolve.stratified_samples(s, [0.0, 0.25, 0.5, 0.75], 10)

@@ -48,4 +48,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_data, queries_sparql  # noqa: F401
+    from . import queries_data, queries_more, queries_sparql  # noqa: F401
