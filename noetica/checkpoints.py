@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,11 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_with_state(df: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, tuple]:
+    """``saved``, and the number of rows and a checksum of them, taken while they are written."""
+    seen = Observation()
+    marks = [F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum")]
+    out = saved(df.observe(seen, *marks), name)
+    return out, (seen.get["n"], seen.get["sum"])

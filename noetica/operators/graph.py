@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import saved
+from ..checkpoints import saved, saved_with_state
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,21 +18,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: their number grows with the logarithm of the size.
     """
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    now = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components")
-    last = state(now)
+    now, last = saved_with_state(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components", ["u", "v"])
     while last[0]:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        now = saved(small, "components")
-        if (new := state(now)) == last:
+        now, new = saved_with_state(small, "components", ["u", "v"])
+        if new == last:
             break
         last = new
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -76,12 +76,23 @@ def near_pairs(points: DataFrame, metres: float, id_col: str = "id") -> DataFram
 def blocking_pairs(queries: DataFrame, entries: DataFrame, percent: int = 70) -> DataFrame:
     """``(q, e, n_common)``: entries that share ``floor(percent/100 * n)`` of a query's n grams.
 
-    Both sides have ``id`` and ``text``.  A pair needs at least one common gram.
+    Both sides have ``id`` (unique) and ``text``.  A pair needs at least one common gram.
+
+    An entry that shares ``need`` of n grams misses n - need of them at most, so it has one of
+    any n - need + 1: of each query only that many grams, those in the fewest entries, are
+    looked up.  So a gram that nearly all entries have brings pairs together only where a query
+    has no rarer ones.  The pairs that meet are then counted by all their grams.
     """
-    q = queries.select(F.col("id").alias("q"), grams(F.col("text")).alias("gs"))
-    q = q.select("q", F.greatest(F.lit(1), F.floor(F.size("gs") * percent / 100)).alias("need"), F.explode("gs").alias("gram"))
-    e = entries.select(F.col("id").alias("e"), F.explode(grams(F.col("text"))).alias("gram"))
-    return q.join(e, "gram").groupBy("q", "e").agg(F.count("*").alias("n_common"), F.first("need").alias("need")).where("n_common >= need").select("q", "e", "n_common")
+    q = queries.select(F.col("id").alias("q"), grams(F.col("text")).alias("q_grams")).withColumn("need", F.greatest(F.lit(1), F.floor(F.size("q_grams") * percent / 100)))
+    e = entries.select(F.col("id").alias("e"), grams(F.col("text")).alias("e_grams"))
+    found = e.select("e", F.explode("e_grams").alias("gram"))
+    counts = found.groupBy("gram").agg(F.count("*").alias("n_entries"))
+    asked = q.select("q", (F.size("q_grams") - F.col("need") + 1).alias("n_asked"), F.explode("q_grams").alias("gram")).join(counts, "gram", "left")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.col("n_entries").asc_nulls_first(), "gram"))
+    rare = asked.withColumn("nth", nth).where("nth <= n_asked and n_entries is not null").select("q", "gram")
+    met = rare.join(found, "gram").select("q", "e").distinct()
+    counted = met.join(q, "q").join(e, "e").select("q", "e", F.size(F.array_intersect("q_grams", "e_grams")).cast("long").alias("n_common"), "need")
+    return counted.where("n_common >= need").select("q", "e", "n_common")
 
 
 def merge_ranked(first: pd.DataFrame, second: pd.DataFrame, distance: str = "distance", limit: float = 10_000.0) -> pd.DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checkpoints import saved
-from ..functions.text import grams, jaro_winkler_of, normalise, provider_kind, tokens
+from ..functions.text import jaro_winkler_of, normalise, provider_kind, tokens
 from ..model import DIFFERENT_FROM, SAME_AS
 from .alignment import align
 from .graph import assignment, connected_components, dijkstra, shortest_paths
+from .relational import blocking_pairs
 
 CONTACT_FLOOR, CANDIDATE_PERCENT, EVALUATE, PERSIST = 0.5, 70, 0.9, 0.9
 
@@ -48,10 +49,8 @@ def term_idf(terms: DataFrame) -> DataFrame:
 
 def candidate_pairs(terms: DataFrame, percent: int = CANDIDATE_PERCENT) -> DataFrame:
     """Agents ``a < b`` with similar terms: blocking on the distinct terms, not on the agents."""
-    distinct = terms.select("term").distinct().select("term", grams(F.col("term")).alias("gs"))
-    q = distinct.select(F.col("term").alias("t1"), F.greatest(F.lit(1), F.floor(F.size("gs") * percent / 100)).alias("need"), F.explode("gs").alias("gram"))
-    e = distinct.select(F.col("term").alias("t2"), F.explode("gs").alias("gram"))
-    near = q.join(e, "gram").groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("t1", "t2")
+    distinct = saved(terms.select(F.col("term").alias("id"), F.col("term").alias("text")).distinct(), "distinct-terms")
+    near = blocking_pairs(distinct, distinct, percent).select(F.col("q").alias("t1"), F.col("e").alias("t2"))
     near = near.unionByName(terms.select(F.col("term").alias("t1"), F.col("term").alias("t2")).distinct()).distinct()
     a, b = terms.select(F.col("agent").alias("a"), F.col("term").alias("t1")), terms.select(F.col("agent").alias("b"), F.col("term").alias("t2"))
     met = near.join(a, "t1").join(b, "t2").where("a <> b")

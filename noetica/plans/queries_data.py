@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -398,9 +397,9 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(*_roads(spark, sf_dir), 60.0).select("node", "distance")
 
 
-@query("shortest_paths_whole")
+@query("shortest_paths_whole", "with recursive n as (select count(*) n from part), e as (select p_partkey a, (p_partkey * 5 + 2) % n b, 1 + p_size % 7 w from part, n union all select p_partkey, (p_partkey + 1) % n, 9 from part, n), d(node, cost) using key (node) as (select 0::bigint, 0::bigint union select node, min(cost) from (select b node, d.cost + w cost from d join e on node = a where d.cost + w < coalesce((select r.cost from recurring.d r where r.node = b), 9223372036854775807)) group by node) select node, cost::double distance from d")
 def shortest_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all parts, without a bound; recursive SQL would list every walk."""
+    """Distances of all parts, without a bound: the SQL keeps the least cost of each node only."""
     return graph.shortest_paths(*_roads(spark, sf_dir)).select("node", "distance")
 
 
@@ -523,19 +522,17 @@ def geo_uri_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locations(spark, sf_dir).withColumn("b", back).select("id", ((F.col("b.lon") == F.col("lon")) & (F.col("b.lat") == F.col("lat")) & (F.col("b.uncertainty") == F.col("acc"))).alias("same"))
 
 
-@query("text_alignment")
+@query("text_alignment", "with w as (select p_partkey, string_split(upper(p_name), ' ') ws from part), u as (select p_partkey, ws, unnest(range(1, len(ws) + 1)) i from w) select p_partkey, ws[i] part, coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x) + 1)), 0)::int lo, (coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x) + 1)), 0) + length(ws[i]) - 1)::int hi from u")
 def text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables(spark, sf_dir)["part"].select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit("."))).alias("local"), F.array_sort(F.split(F.upper("p_name"), " ")).alias("parts"))
     found = resolve.local_part_matches(p)
     return found.select("p_partkey", F.explode("found").alias("m")).select("p_partkey", "m.part", "m.lo", "m.hi")
 
 
-@query("weighted_samples")
+@query("weighted_samples", "with e as (select event_type element, count(*) weight from events group by 1), r as (select element, sum(weight) over (order by substr(md5(element), 1, 2), element) t, weight from e), d as (select floor((('0x' || substr(md5('7|' || i), 1, 13))::bigint::double / 4503599627370496) * (select sum(weight) from e))::bigint x from range(10000) s(i)) select element event_type, count(*) drawn from d join r on x >= t - weight and x < t group by 1")
 def weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tables(spark, sf_dir)["events"].groupBy("event_type").count().orderBy("event_type").collect()
-    drawn = prob.Draws(7).weighted(np.array([r["count"] for r in counts]), 10_000)
-    n = np.bincount(drawn, minlength=len(counts))
-    return spark.createDataFrame([(r["event_type"], int(k)) for r, k in zip(counts, n, strict=True)], "event_type string, drawn long")
+    e = tables(spark, sf_dir)["events"].groupBy(F.col("event_type").alias("element")).agg(F.count("*").alias("weight"))
+    return prob.weighted_draws(e, 10_000, 7).groupBy(F.col("element").alias("event_type")).agg(F.count("*").alias("drawn"))
 
 
 @query("stratified_samples", f"with {_SAME}, s as (select src a, dst b, ((src * 7 + dst) % 100) / 100.0 score from same), l as (select *, floor(score * 4) / 4 threshold from s) select threshold::double threshold, a, b, score::double score from l qualify row_number() over (partition by threshold order by md5('42|' || a || '|' || b)) <= 10")
@@ -609,12 +606,23 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("part_types", "with recursive e as (select 'n' || p_name a, 'b' || p_brand b, min(1 + p_size % 5) w from part group by 1, 2), both_ as (select a, b, w from e union all select b, a, w from e), k as (select 'b' || min(p_brand) part, 'family' as type from part union all select 'b' || max(p_brand), 'given' from part), d as (select type, part, 0::bigint c from k union select type, b, c + w from d join both_ on a = part where c + w <= 12), m as (select part, type, min(c)::double distance from d group by 1, 2) select part, type, distance from m qualify row_number() over (partition by part order by distance, type) = 1")
 def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types up to the bound of the SQL."""
+    return resolve.part_types(*_evidence(spark, sf_dir), 12.0)
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = tables(spark, sf_dir)["part"]
     name, brand = F.concat(F.lit("n"), F.col("p_name")), F.concat(F.lit("b"), F.col("p_brand"))
     evidence = p.groupBy(name.alias("a"), brand.alias("b")).agg(F.min(1 + F.col("p_size") % 5).alias("cost"))
     ends = p.agg(F.min(brand).alias("family"), F.max(brand).alias("given"))
     known = ends.select(F.explode(F.array(F.struct(F.col("family").alias("part"), F.lit("family").alias("type")), F.struct(F.col("given").alias("part"), F.lit("given").alias("type")))).alias("x")).select("x.*")
-    return resolve.part_types(evidence, known, 12.0)
+    return evidence, known
+
+
+@query("part_types_whole", "with recursive e as (select 'n' || p_name a, 'b' || p_brand b, min(1 + p_size % 5) w from part group by 1, 2), both_ as (select a, b, w from e union all select b, a, w from e), k as (select 'b' || min(p_brand) part, 'family' as type from part union all select 'b' || max(p_brand), 'given' from part), d(type, part, c) using key (type, part) as (select type, part, 0::bigint from k union select type, part, min(c) from (select d.type, b part, d.c + w c from d join both_ on a = d.part where d.c + w < coalesce((select r.c from recurring.d r where r.type = d.type and r.part = b), 9223372036854775807)) group by type, part) select part, type, c::double distance from d qualify row_number() over (partition by part order by c, type) = 1")
+def part_types_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of all parts that evidence joins to a known one, at any cost."""
+    return resolve.part_types(*_evidence(spark, sf_dir))
 
 
 @query("deduplicate_parts")
