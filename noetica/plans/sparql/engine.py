@@ -106,9 +106,11 @@ class Engine:
     needs no distinct; by default the table says so itself (``model.disjoint``).
     """
 
-    def __init__(self, quads: DataFrame, prefixes: dict[str, str] | None = None, disjoint: bool | None = None):
+    def __init__(self, quads: DataFrame, prefixes: dict[str, str] | None = None, disjoint: bool | None = None, services: dict[str, DataFrame] | None = None):
         self.disjoint = are_disjoint(quads) if disjoint is None else disjoint
         self.quads, self.prefixes = quads.select(*QUAD), prefixes
+        #: Quad tables by the IRIs (with brackets) that SERVICE names them by.
+        self.services = services or {}
         self.counter = 0
 
     # -- entry points
@@ -355,6 +357,19 @@ class Engine:
     def on_graph(self, node: tuple, graph: str | None) -> Rows:
         return self.build(node[2], node[1])
 
+    def on_service(self, node: tuple, graph: str | None) -> Rows:
+        """The pattern over another quad table; one solution without bindings if it is unknown and SILENT."""
+        _, name, silent, inner = node
+        if name not in self.services:
+            if silent:
+                return self.on_bgp(("bgp", []), None)
+            raise SparqlError(f"unknown service {name}")
+        other = Engine(self.services[name], self.prefixes, services=self.services)
+        other.counter = self.counter + 1000  # names of its own
+        rows = other.build(inner, None)
+        self.counter = other.counter
+        return rows
+
     def on_filter(self, node: tuple, graph: str | None) -> Rows:
         rows, e = self.build(node[1], graph), node[2]
         parts = []
@@ -687,9 +702,9 @@ class Engine:
         return out.where("s is not null and p is not null and o is not null and s not like '\"%' and p like '<%'")
 
 
-def select(quads: DataFrame, text: str, disjoint: bool | None = None, decode: bool = True, bind: dict[str, list[str]] | None = None) -> DataFrame:
+def select(quads: DataFrame, text: str, disjoint: bool | None = None, decode: bool = True, bind: dict[str, list[str]] | None = None, services: dict[str, DataFrame] | None = None) -> DataFrame:
     """Solutions of a SELECT; with ``decode`` as plain strings instead of terms."""
-    df = Engine(quads, disjoint=disjoint).solutions(text, bind)
+    df = Engine(quads, disjoint=disjoint, services=services).solutions(text, bind)
     return df.select(*[lexical(F.col(f"`{c}`")).alias(c) for c in df.columns]) if decode else df
 
 
