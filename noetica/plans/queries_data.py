@@ -506,16 +506,11 @@ def stays_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays.stays(locations(spark, sf_dir), "user_id", stages=1)
 
 
-@query("jaro_winkler")
+@query("jaro_winkler", "select p_partkey, round(case when j < 0.7 then j else j + least(0.1, 1.0::double / greatest(length(a), length(b))) * k * (1 - j) end, 6) sim from (select *, (select count(*) from range(1, least(length(a), length(b)) + 1) t(i) where substr(a, 1, i) = substr(b, 1, i)) k from (select p_partkey, p_name a, lower(p_type) b, jaro_similarity(p_name, lower(p_type)) j from part))")
 def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir)["part"].select("p_partkey", F.round(text.jaro_winkler(F.col("p_name"), F.lower("p_type")), 6).alias("sim"))
 
 
-@query("ellipsoid_distance")
-def ellipsoid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("id", F.round(geo.ellipsoid_distance("lon1", "lat1", "lon2", "lat2"), 3).alias("d"))
-
-
 @query("geo_uri_round_trip", f"with {LOCATIONS} select id, true same from locations")
 def geo_uri_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = geo.parse_geo_uri(geo.geo_uri(F.col("lon"), F.col("lat"), uncertainty=F.col("acc")))

@@ -566,6 +566,6 @@ def _vincenty() -> str:
     return f"with {_P}, {', '.join(out)} select p.id, round(coalesce(d, 0), 3) d from p left join h using (id)"
 
 
-@query("ellipsoid_distances", _vincenty())
-def ellipsoid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("ellipsoid_distance", _vincenty())
+def ellipsoid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("id", F.round(geo.ellipsoid_distance("lon1", "lat1", "lon2", "lat2"), 3).alias("d"))
