@@ -19,6 +19,7 @@ from .queries_data import _P, _SAME, _pairs, _same
 from .queries_sparql import _NEW, _names
 from .registry import query
 from .sparql import Engine
+from .updates import USER_GRAPH, apply_update
 from .views import HAVERSINE, LOCATIONS, locations, quads, tables
 
 R = repr(geo.RADIUS)
@@ -569,3 +570,37 @@ def _vincenty() -> str:
 @query("ellipsoid_distance", _vincenty())
 def ellipsoid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("id", F.round(geo.ellipsoid_distance("lon1", "lat1", "lon2", "lat2"), 3).alias("d"))
+
+
+@query("small_geometry", "select event_id, round(greatest(-10, least(10, value / 10 - 25)), 6) foot, round((user_id % 50)::double, 6) meet, case when user_id % 2 = 0 then 0.0 end parallel, round(cos(radians(1 + user_id % 80)), 9) low_x, 1.0 high_x, round(sin(radians(1 + user_id % 80)), 9) high_z from events")
+def small_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feet of points on an arc of the equator, lines that meet or do not, boxes of arcs across the equator."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, v, u in zip(pdf["event_id"], pdf["value"], pdf["user_id"], strict=True):
+                lon, _ = geo.project_on_arc(v / 10 - 25, float(u % 50), -10.0, 0.0, 10.0, 0.0)
+                x, y = geo.turn_offset((0.0, 0.0), 0.0, (v, float(u % 50)), 90.0)
+                other = geo.turn_offset((0.0, 0.0), 0.0, (v + 1, 0.0), 90.0 if u % 2 == 0 else 180.0)
+                low, high = geo.arc_envelope([(0.0, -1.0 - u % 80), (0.0, 1.0 + u % 80)])
+                rows.append((i, round(lon, 6), round(x + y, 6), None if other is None else round(other[0], 6) + 0.0, round(low[0], 9), round(high[0], 9), round(high[2], 9)))
+            yield pd.DataFrame(rows, columns=["event_id", "foot", "meet", "parallel", "low_x", "high_x", "high_z"])
+
+    return tables(spark, sf_dir)["events"].select("event_id", "value", "user_id").mapInPandas(run, "event_id long, foot double, meet double, parallel double, low_x double, high_x double, high_z double")
+
+
+@query("update_routing", f"select '<urn:o:' || o_orderkey || '>' s, '\"top\"' o, '<urn:g:orders>' g from orders where o_totalprice > 400000 union all select '<urn:c:' || c_custkey || '>', '\"' || c_name || '\"', '{USER_GRAPH}' from customer where c_custkey % 50 = 0")
+def update_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions without a graph go to all that describe the subject, of which one source takes
+    its own; a removal that no source does is denied in the user's graph."""
+
+    def source(asked: DataFrame) -> DataFrame:
+        return asked.select(*QUAD, "side", ((F.col("side") == "added") & (F.col("g") == "<urn:g:orders>")).alias("ok"), F.lit("not mine").alias("error"))
+
+    base = quads(spark, sf_dir)
+    added = Engine(base).update("INSERT { ?o schema:keywords \"top\" } WHERE { ?o schema:price ?p FILTER(?p > 400000) }").drop("seq")
+    c = tables(spark, sf_dir)["customer"].where("c_custkey % 50 = 0")
+    removed = c.select(_iri("c", "c_custkey").alias("s"), F.lit(schema("name")).alias("p"), literal(F.col("c_name")).alias("o"), F.lit("<urn:g:customer>").alias("g"), F.lit(-1).alias("op"))
+    after, _ = apply_update(base, added.unionByName(removed), [source])
+    return after.select(*QUAD).join(base.select(*QUAD), list(QUAD), "left_anti").select("s", "o", "g")

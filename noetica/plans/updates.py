@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..model import PERSONAL, QUAD, apply_diff, merge_results, negate
 
 USER_GRAPH = f"<{PERSONAL}userGraph>"
@@ -29,7 +30,7 @@ def apply_update(quads: DataFrame, diff: DataFrame, sources: list[Callable[[Data
     an addition as it is, a removal as its negation.  Negations that an addition contradicts
     are taken out.
     """
-    routed = with_contexts(diff, quads)
+    routed = saved(with_contexts(diff, quads), "routed")
     own, rest = routed.where(F.col("g") == USER_GRAPH), routed.where(F.col("g") != USER_GRAPH)
     contradicted = routed.where("op > 0").select("s", negate(F.col("p")).alias("p"), "o", F.lit(USER_GRAPH).alias("g"), F.lit(-1).alias("op"))
     asked = rest.select(*QUAD, F.when(F.col("op") > 0, "added").otherwise("removed").alias("side"))
@@ -38,7 +39,7 @@ def apply_update(quads: DataFrame, diff: DataFrame, sources: list[Callable[[Data
         results = results.unionByName(source(asked).select(*QUAD, "side", "ok", "error"))
     merged = merge_results(results)
     outcome = asked.join(merged, [*QUAD, "side"], "left")
-    outcome = outcome.withColumn("ok", F.coalesce("ok", F.col("side") == "removed")).withColumn("errors", F.coalesce("errors", F.lit("")))
+    outcome = saved(outcome.withColumn("ok", F.coalesce("ok", F.col("side") == "removed")).withColumn("errors", F.coalesce("errors", F.lit(""))), "outcome")
     # a contextless quad counts as done if some graph took it
     done = outcome.groupBy("s", "p", "o", "side").agg(F.bool_or("ok").alias("ok"))
     failed = done.where("not ok")
