@@ -104,7 +104,7 @@ class WordEncoder:
         n_marks = pa.compute.binary_length(stretches).to_numpy() - pa.compute.binary_length(cores).to_numpy()
         cores = cores.dictionary_encode()
         core = cores.indices.to_numpy()
-        table = self._words(cores.dictionary.to_pylist())
+        table = self._words(cores.dictionary.to_numpy(zero_copy_only=False).tolist())
         odd = (np.fromiter(map(len, table), np.int64, len(table)) == 0)[core] | (n_marks > MARKS)
         # two parts of each stretch by their places in the table: the word, and the marks
         part = np.zeros((len(core), 2), np.int64)
@@ -115,14 +115,14 @@ class WordEncoder:
             if len(some):
                 marks = pa.compute.utf8_slice_codeunits(stretches.take(pa.array(some)), -k).dictionary_encode()
                 part[some, 1] = marks.indices.to_numpy() + len(table)
-                for m in marks.dictionary.to_pylist():
+                for m in marks.dictionary.to_numpy(zero_copy_only=False).tolist():
                     if m not in self.marks:
                         self.marks[m] = self._piece(m)
                     table.append(self.marks[m])
         some = np.flatnonzero(odd)
         if len(some):
             part[some, 0] = np.arange(len(some)) + len(table)
-            own = self.tokenizer.encode_batch_fast(stretches.take(pa.array(some)).to_pylist(), add_special_tokens=False)
+            own = self.tokenizer.encode_batch_fast(stretches.take(pa.array(some)).to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False)
             table += [array("I", e.ids).tobytes() for e in own]
         return _gathered(table, part.reshape(-1), 2)
 
