@@ -219,8 +219,8 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         while len(at) >= least:
             key = (sequence[at].astype(np.uint64) << np.uint64(wide)) | sequence[after[at]]
             if len(at) > 1024:
-                bits = len(at).bit_length() + 1
-                slot = ((key * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+                bits = len(at).bit_length() + (1 if least == 2 else -1)  # the rarer a pair may be, the fewer may share its slot
+                slot = ((key * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)
                 often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
                 at, key = at[often], key[often]
             at, key = _by_pair(at, key, shift)
@@ -262,9 +262,14 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
             before[after[chosen]] = chosen
             live[gone] = False
             beside = before[chosen]
-            touched = np.zeros(n, bool)
-            touched[at] = touched[chosen] = touched[beside[beside >= 0]] = True
-            at = np.flatnonzero(touched & live).astype(np.int32)
+            beside = beside[beside >= 0]
+            if 16 * len(at) < n:  # few places: no pass over all
+                at = np.sort(np.concatenate((at, chosen, beside)))
+                at = at[np.concatenate(([True], at[1:] != at[:-1])) & live[at]]
+            else:
+                touched = np.zeros(n, bool)
+                touched[at] = touched[chosen] = touched[beside] = True
+                at = np.flatnonzero(touched & live).astype(np.int32)
             at = at[after[at] < n]
     return sequence[:n][live].astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
