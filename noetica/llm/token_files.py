@@ -242,9 +242,10 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
             rank_of[some] = np.arange(len(some), dtype=np.int32)
             pair, place = pair[some], np.repeat(rank_of, sizes)
             frequent = place >= 0
-            own = np.sort((at[frequent].astype(np.uint64) << np.uint64(32)) | place[frequent].astype(np.uint64))  # by place again
-            at, place = (own >> np.uint64(32)).astype(np.int32), own.astype(np.int32)
+            at, place = at[frequent], place[frequent]
             rank[at] = place
+            at = np.sort(at) if 16 * len(at) < n else np.flatnonzero(rank[:n] != none).astype(np.int32)  # by place again
+            place = rank[at]
             wins = (place <= rank[before[at]]) & (place <= rank[after[at]])
             rank[at] = none
             chosen, place = at[wins], place[wins]
@@ -288,21 +289,25 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
     """The ids of ``symbols``; every nonterminal puts its two parts where they belong."""
     lengths = expansion_lengths(rules, first) if lengths is None else lengths
+    kind = np.int32 if len(symbols) + int(lengths.sum()) < 2**31 else np.int64
+    symbols, rules, lengths = symbols.astype(kind), rules.astype(kind), lengths.astype(kind)
 
     def sizes(x: np.ndarray) -> np.ndarray:
-        out = np.ones(len(x), np.int64)
-        non = x >= first
+        out = np.ones(len(x), kind)
+        non = np.flatnonzero(x >= first)
         out[non] = lengths[x[non] - first]
         return out
 
-    ends = np.cumsum(sizes(symbols))
+    own = sizes(symbols)
+    ends = np.cumsum(own, dtype=np.int64)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-    place = ends - sizes(symbols)
+    place = (ends - own).astype(kind if not len(ends) or ends[-1] < 2**31 else np.int64)
     while len(symbols):
         non = symbols >= first
         out[place[~non]] = symbols[~non]
-        left, right = rules[symbols[non] - first].T
-        symbols, place = np.concatenate((left, right)), np.concatenate((place[non], place[non] + sizes(left)))
+        place, pairs = place[non], rules[symbols[non] - first]
+        left, right = pairs[:, 0], pairs[:, 1]
+        symbols, place = np.concatenate((left, right)), np.concatenate((place, place + sizes(left)))
     return out
 
 
