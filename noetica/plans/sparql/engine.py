@@ -116,7 +116,7 @@ class Engine:
     # -- entry points
 
     def parse(self, text: str) -> Query:
-        return Parser(text, self.prefixes).query()
+        return Parser(text, self.prefixes, services=True).query()
 
     def solutions(self, text: str, bind: dict[str, list[str]] | None = None) -> DataFrame:
         """Terms of a SELECT; ``bind`` gives variables their values beforehand."""
@@ -153,7 +153,7 @@ class Engine:
         Quads without a graph have a null ``g``.
         """
         spark, out = self.quads.sparkSession, None
-        for seq, u in enumerate(Parser(text, self.prefixes).update()):
+        for seq, u in enumerate(Parser(text, self.prefixes, services=True).update()):
             rows = self.build(u.where, None) if u.where else Rows(spark.range(1).select(F.lit(1).alias("_one")), [])
             for op, template in ((-1, u.delete), (1, u.insert)):
                 if template:
