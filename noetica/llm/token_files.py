@@ -180,99 +180,140 @@ def word_encoder(path: str | None = None) -> WordEncoder:
 
 def _every_other(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     """A mask of the places that stay when of a run of adjoining ones every other is left out."""
+    stays = np.ones(len(at), bool)
     follows = np.flatnonzero(following[:-1] == at[1:]) + 1
-    new = np.ones(len(at), bool)
-    new[follows] = False
-    starts = np.flatnonzero(new)
-    return (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
-
-
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+    if len(follows):
+        new = np.flatnonzero(np.concatenate(([True], np.diff(follows) != 1)))
+        stays[follows[(follows - np.repeat(follows[new], np.diff(new, append=len(follows)))) % 2 == 0]] = False
+    return stays
 
 
 def _by_pair(at: np.ndarray, key: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order of their pairs (and then of themselves), and the pairs in order."""
+    """Places in order of their pairs (and then of themselves), and the pairs in order; ``key`` is used up."""
     if int(key.max(initial=0)).bit_length() + shift <= 64:  # both fit one number: sorting values beats sorting indices
-        own = np.sort((key << np.uint64(shift)) | at.astype(np.uint64))
-        return (own & np.uint64((1 << shift) - 1)).astype(np.int32), own >> np.uint64(shift)
+        key <<= np.uint64(shift)
+        key |= at.view(np.uint32)
+        key.sort()
+        at = (key & np.uint64((1 << shift) - 1)).astype(np.int32)
+        key >>= np.uint64(shift)
+        return at, key
     order = np.argsort(key, kind="stable")
     return at[order], key[order]
 
 
+_NONE = np.iinfo(np.int32).max
+#: While one place of so many at least is touched, rounds rewrite the sequence.
+DENSE = 16
+
+
+def _ranked(at: np.ndarray, left: np.ndarray, right: np.ndarray, after: np.ndarray | None, least: int, wide: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of frequent pairs in order of their ranks, these ranks, and the pairs by rank, the most frequent first.
+
+    ``after`` links the places; without it they follow one another.
+    """
+    key = left.astype(np.uint64)
+    key <<= np.uint64(wide)
+    key |= right
+    at, key = _by_pair(at, key, shift)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(starts, append=len(at))
+    some = np.flatnonzero(sizes >= least)
+    pair, counts = key[starts[some]], sizes[some]
+    # of a run of one symbol, every other pair counts
+    same = np.flatnonzero(pair >> np.uint64(wide) == pair & np.uint64((1 << wide) - 1))
+    if len(same):
+        ends = np.cumsum(counts[same])
+        run = at[np.repeat(starts[some[same]] + counts[same] - ends, counts[same]) + np.arange(ends[-1])]
+        counts[same] = np.add.reduceat(_every_other(run, run + 1 if after is None else after[run]), ends - counts[same], dtype=np.int64)
+    order = np.flatnonzero(counts >= least)
+    order = order[np.argsort(-counts[order], kind="stable")]
+    some, sizes = some[order], sizes[some[order]]
+    ends = np.cumsum(sizes)
+    own = np.repeat((starts[some] - ends + sizes).astype(np.int32), sizes)
+    own += np.arange(len(own), dtype=np.int32)
+    return at.take(own), np.repeat(np.arange(len(order), dtype=np.int32), sizes), pair[order]
+
+
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): nonterminal ``first + i`` stands for the pair ``rules[i]``.
 
-    Symbols stay at their places, linked over the gaps.  A pair of old symbols never becomes
-    more frequent, so a round counts only the places of pairs that were frequent in the one
-    before, and those beside its new symbols.  Pairs whose hash is rarer than ``least`` are
-    rarer themselves and are left out before the rest is sorted.
+    A pair of old symbols never becomes more frequent, so a round counts only the places of
+    pairs that were frequent in the one before, and those beside its new symbols.  While these
+    are many, a round works on slices and rewrites the sequence without gaps; then symbols
+    stay at their places, linked over the gaps.
     """
-    n, rules, n_rules = len(ids), [], 0
-    sequence, live = np.append(ids, 0).astype(np.uint32), np.ones(n, bool)
-    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
-    none = np.iinfo(np.int32).max
-    rank = np.full(n + 2, none, np.int32)  # at the end and, by -1, before the start there is none
-    wide, shift = int(first + n).bit_length(), n.bit_length()
-    half = np.uint64((1 << wide) - 1)
+    sequence, rules, n_rules = np.array(ids, np.uint32), [], 0
+
+    def replace(chosen: np.ndarray, place: np.ndarray, following: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Write new symbols at the chosen places, but for pairs that win too rarely; where they stand now."""
+        nonlocal n_rules
+        # neighbours that are both left are of a run of one symbol
+        keep = _every_other(chosen, following)
+        if not keep.all():
+            chosen, place = chosen[keep], place[keep]
+        used = np.bincount(place, minlength=len(pair)) >= least  # the first one always is
+        if not used.all():
+            keep = np.flatnonzero(used.take(place))
+            chosen, place, pair = chosen.take(keep), place.take(keep), pair[used]
+        rules.append(np.stack([pair >> np.uint64(wide), pair & np.uint64((1 << wide) - 1)], axis=1).astype(np.int64))
+        sequence[chosen] = (first + n_rules - 1 + np.cumsum(used)).astype(np.uint32).take(place)
+        n_rules += len(pair)
+        return chosen
+
     for least in LEAST:
-        at = np.flatnonzero(live)[:-1].astype(np.int32)
+        n = len(sequence)
+        at = np.arange(max(n - 1, 0), dtype=np.int32)
+        while len(at) >= least and DENSE * len(at) >= n:
+            wide = (first + n_rules).bit_length()
+            left, right = (sequence[:-1], sequence[1:]) if len(at) == n - 1 else (sequence.take(at), sequence[1:].take(at))
+            at, place, pair = _ranked(at, left, right, None, least, wide, n.bit_length())
+            if not len(pair):
+                at = at[:0]
+                break
+            # the rank decides between overlapping places; at the end and before the start there is none
+            rank = np.full(n + 1, _NONE, np.int32)
+            own = rank[1:-1]
+            own[at] = place
+            touched = np.zeros(n, bool)
+            np.less(own, _NONE, out=touched[:-1])
+            wins = own <= rank[:-2]
+            wins &= own <= rank[2:]
+            wins &= touched[:-1]
+            chosen = np.flatnonzero(wins)
+            chosen = replace(chosen, own.take(chosen), chosen + 1, pair)
+            live = np.ones(n, bool)
+            live[chosen + 1] = False
+            live = np.flatnonzero(live)
+            sequence, touched, n = sequence.take(live), touched.take(live), len(live)
+            chosen -= np.arange(len(chosen))
+            touched[chosen] = touched[chosen - 1] = True  # before the first symbol comes the last, which has no pair
+            at = np.flatnonzero(touched[:-1]).astype(np.int32)
+        if len(at) < least:
+            continue
+        after, before, live = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n, bool)
+        sequence, rank = np.append(sequence, np.uint32(0)), np.full(n + 2, _NONE, np.int32)
         while len(at) >= least:
-            key = (sequence[at].astype(np.uint64) << np.uint64(wide)) | sequence[after[at]]
-            if len(at) > 1024:
-                bits = len(at).bit_length() + (1 if least == 2 else -1)  # the rarer a pair may be, the fewer may share its slot
-                slot = ((key * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)
-                often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
-                at, key = at[often], key[often]
-            at, key = _by_pair(at, key, shift)
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(at) else np.empty(0, np.int64)
-            pair, sizes = key[starts], np.diff(np.append(starts, len(at)))
-            counts = sizes.copy()
-            # of a run of one symbol, every other pair counts
-            same = (pair >> np.uint64(wide)) == (pair & half)
-            runs = np.flatnonzero(np.repeat(same, sizes))
-            if len(runs):
-                counted = _every_other(at[runs], after[at[runs]])
-                counts[same] = np.bincount(np.repeat(np.arange(same.sum()), sizes[same])[counted], minlength=int(same.sum()))
-            # frequent pairs first; the rank decides between overlapping places
-            some = np.flatnonzero(counts >= least)
-            if not len(some):
+            wide = (first + n_rules).bit_length()
+            at, place, pair = _ranked(at, sequence[at], sequence[after[at]], after, least, wide, n.bit_length())
+            if not len(pair):
                 break
-            some = some[np.argsort(-counts[some], kind="stable")]
-            rank_of = np.full(len(pair), -1, np.int32)
-            rank_of[some] = np.arange(len(some), dtype=np.int32)
-            pair, place = pair[some], np.repeat(rank_of, sizes)
-            frequent = place >= 0
-            at, place = at[frequent], place[frequent]
             rank[at] = place
-            at = np.sort(at) if 16 * len(at) < n else np.flatnonzero(rank[:n] != none).astype(np.int32)  # by place again
+            at = np.sort(at)  # by place again
             place = rank[at]
             wins = (place <= rank[before[at]]) & (place <= rank[after[at]])
-            rank[at] = none
-            chosen, place = at[wins], place[wins]
-            # neighbours that are both left are of a run of one symbol
-            keep = _every_other(chosen, after[chosen])
-            chosen, place = chosen[keep], place[keep]
-            used = np.bincount(place, minlength=len(pair)) >= least  # the first one always is
-            keep = used[place]
-            chosen, place = chosen[keep], place[keep]
-            rules.append(np.stack([pair[used] >> np.uint64(wide), pair[used] & half], axis=1).astype(np.int64))
-            sequence[chosen] = first + n_rules + (np.cumsum(used) - 1)[place]
-            n_rules += int(used.sum())
+            rank[at] = _NONE
+            chosen = at[wins]
+            chosen = replace(chosen, place[wins], after[chosen], pair)
             gone = after[chosen]
             after[chosen] = after[gone]
             before[after[chosen]] = chosen
             live[gone] = False
             beside = before[chosen]
-            beside = beside[beside >= 0]
-            if 16 * len(at) < n:  # few places: no pass over all
-                at = np.sort(np.concatenate((at, chosen, beside)))
-                at = at[np.concatenate(([True], at[1:] != at[:-1])) & live[at]]
-            else:
-                touched = np.zeros(n, bool)
-                touched[at] = touched[chosen] = touched[beside] = True
-                at = np.flatnonzero(touched & live).astype(np.int32)
+            at = np.sort(np.concatenate((at, chosen, beside[beside >= 0])))
+            at = at[np.concatenate(([True], at[1:] != at[:-1])) & live[at]]
             at = at[after[at] < n]
-    return sequence[:n][live].astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+        sequence = sequence[:n][live]
+    return sequence.astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -286,9 +327,32 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return lengths
 
 
+#: Nonterminals of so many ids at most are expanded once where symbols are many.
+SHORT = 16
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """The ids of ``symbols``; every nonterminal puts its two parts where they belong."""
+    """The ids of ``symbols``.  Many symbols are copied from a row of all ids, short nonterminals and long symbols."""
     lengths = expansion_lengths(rules, first) if lengths is None else lengths
+    if len(symbols) <= first + 4 * len(rules):
+        return _placed(symbols, rules, first, lengths)
+    short = np.flatnonzero(lengths <= SHORT)
+    size, start = np.ones(first + len(rules), np.int64), np.arange(first + len(rules))
+    size[first:] = lengths
+    start[first + short] = first + np.cumsum(lengths[short]) - lengths[short]
+    sizes, starts = size.take(symbols), start.take(symbols)
+    ends = np.cumsum(sizes)
+    long = np.flatnonzero((symbols >= first) & (sizes > SHORT))
+    starts[long] = first + lengths[short].sum() + np.cumsum(sizes[long]) - sizes[long]
+    row = np.concatenate((np.arange(first), _placed(short + first, rules, first, lengths), _placed(symbols[long], rules, first, lengths)))
+    kind = np.int32 if ends[-1] + len(row) < 2**31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    return row.take(at)
+
+
+def _placed(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray) -> np.ndarray:
+    """The ids of ``symbols``; every nonterminal puts its two parts where they belong."""
     kind = np.int32 if len(symbols) + int(lengths.sum()) < 2**31 else np.int64
     symbols, rules, lengths = symbols.astype(kind), rules.astype(kind), lengths.astype(kind)
 
