@@ -194,50 +194,82 @@ def ellipsoid_distance(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2:
     return pd.Series(ellipsoid_inverse(lon1, lat1, lon2, lat2)[0])
 
 
-def _unit(lon: float, lat: float) -> np.ndarray:
-    a, b = math.radians(lon), math.radians(lat)
-    return np.array([math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b)])
+def _units(lon, lat) -> np.ndarray:
+    a, b = np.broadcast_arrays(np.radians(np.asarray(lon, float)), np.radians(np.asarray(lat, float)))
+    return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=-1)
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(axis=-1)
+
+
+def _normed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and which have a length at all (the others stay)."""
+    size = np.sqrt(_inner(v, v))
+    some = size > 1e-15
+    return v / np.where(some, size, 1.0)[..., None], some
+
+
+def _inside(a: np.ndarray, x: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (_inner(np.cross(a, x), n) >= 0) & (_inner(np.cross(x, b), n) >= 0)
+
+
+def project_on_arcs(lon, lat, lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
+    """The points of great arcs nearest to points: their feet, or the nearer ends."""
+    lon, lat, lon1, lat1, lon2, lat2 = np.broadcast_arrays(*(np.asarray(x, float) for x in (lon, lat, lon1, lat1, lon2, lat2)))
+    p, a, b = _units(lon, lat), _units(lon1, lat1), _units(lon2, lat2)
+    n, arc = _normed(np.cross(a, b))
+    foot, some = _normed(p - _inner(p, n)[..., None] * n)
+    on = arc & some & _inside(a, foot, b, n)
+    first = ~arc | (_inner(p, a) >= _inner(p, b))
+    x, y = np.degrees(np.arctan2(foot[..., 1], foot[..., 0])), np.degrees(np.arcsin(np.clip(foot[..., 2], -1, 1)))
+    return np.where(on, x, np.where(first, lon1, lon2)), np.where(on, y, np.where(first, lat1, lat2))
 
 
 def project_on_arc(lon: float, lat: float, lon1: float, lat1: float, lon2: float, lat2: float) -> tuple[float, float]:
-    """The point of a great arc nearest to a point: its foot, or the nearer end."""
-    p, a, b = _unit(lon, lat), _unit(lon1, lat1), _unit(lon2, lat2)
-    n = np.cross(a, b)
-    if np.linalg.norm(n) < 1e-15:
-        return lon1, lat1
-    n /= np.linalg.norm(n)
-    foot = p - (p @ n) * n
-    if np.linalg.norm(foot) > 1e-15:
-        foot /= np.linalg.norm(foot)
-        if np.cross(a, foot) @ n >= 0 and np.cross(foot, b) @ n >= 0:
-            return math.degrees(math.atan2(foot[1], foot[0])), math.degrees(math.asin(max(-1, min(1, foot[2]))))
-    return (lon1, lat1) if p @ a >= p @ b else (lon2, lat2)
+    x, y = project_on_arcs(lon, lat, lon1, lat1, lon2, lat2)
+    return float(x), float(y)
+
+
+def turn_offsets(px, py, heading_p, qx, qy, heading_q) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines through plane points along their headings meet; NaN where parallel."""
+
+    def line(x, y, h) -> np.ndarray:
+        x, y, h = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, y, h)))
+        one = np.ones_like(x)
+        return np.cross(np.stack([x, y, one], axis=-1), np.stack([x + np.sin(np.radians(h)), y + np.cos(np.radians(h)), one], axis=-1))
+
+    m = np.cross(line(px, py, heading_p), line(qx, qy, heading_q))
+    w = np.where(np.abs(m[..., 2]) < 1e-12, np.nan, m[..., 2])
+    return m[..., 0] / w, m[..., 1] / w
 
 
 def turn_offset(p: tuple[float, float], heading_p: float, q: tuple[float, float], heading_q: float) -> tuple[float, float] | None:
-    """Where the lines through two plane points along their headings meet; None if parallel."""
-    line = lambda x, h: np.cross([x[0], x[1], 1.0], [x[0] + math.sin(math.radians(h)), x[1] + math.cos(math.radians(h)), 1.0])
-    m = np.cross(line(p, heading_p), line(q, heading_q))
-    return None if abs(m[2]) < 1e-12 else (m[0] / m[2], m[1] / m[2])
+    x, y = turn_offsets(*p, heading_p, *q, heading_q)
+    return None if np.isnan(x) else (float(x), float(y))
 
 
-def arc_envelope(points: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Least box around great arcs on the unit sphere: ends, and extremes inside the arcs."""
-    units = [_unit(*p) for p in points]
-    found = list(units)
-    for a, b in zip(units[:-1], units[1:], strict=True):
-        n = np.cross(a, b)
-        if np.linalg.norm(n) < 1e-15:
-            continue
-        n /= np.linalg.norm(n)
+def arc_envelopes(lon, lat) -> tuple[np.ndarray, np.ndarray]:
+    """Least boxes around great arcs on the unit sphere: ends, and extremes inside the arcs.
+
+    The last axis of ``lon`` and ``lat`` runs along the points of a line of arcs.
+    """
+    units = _units(lon, lat)
+    low, high = units.min(axis=-2), units.max(axis=-2)
+    for k in range(units.shape[-2] - 1):
+        a, b = units[..., k, :], units[..., k + 1, :]
+        n, arc = _normed(np.cross(a, b))
         for axis in np.eye(3):
-            top = axis - (axis @ n) * n
-            if np.linalg.norm(top) > 1e-15:
-                top /= np.linalg.norm(top)
-                for t in (top, -top):
-                    if np.cross(a, t) @ n >= 0 and np.cross(t, b) @ n >= 0:
-                        found.append(t)
-    return np.min(found, axis=0), np.max(found, axis=0)
+            top, some = _normed(axis - _inner(axis, n)[..., None] * n)
+            for t in (top, -top):
+                on = (arc & some & _inside(a, t, b, n))[..., None]
+                low, high = np.where(on, np.minimum(low, t), low), np.where(on, np.maximum(high, t), high)
+    return low, high
+
+
+def arc_envelope(points: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    lon, lat = zip(*points, strict=True)
+    return arc_envelopes(lon, lat)
 
 
 # -- trails, envelopes, well-known text

@@ -578,14 +578,14 @@ def small_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i, v, u in zip(pdf["event_id"], pdf["value"], pdf["user_id"], strict=True):
-                lon, _ = geo.project_on_arc(v / 10 - 25, float(u % 50), -10.0, 0.0, 10.0, 0.0)
-                x, y = geo.turn_offset((0.0, 0.0), 0.0, (v, float(u % 50)), 90.0)
-                other = geo.turn_offset((0.0, 0.0), 0.0, (v + 1, 0.0), 90.0 if u % 2 == 0 else 180.0)
-                low, high = geo.arc_envelope([(0.0, -1.0 - u % 80), (0.0, 1.0 + u % 80)])
-                rows.append((i, round(lon, 6), round(x + y, 6), None if other is None else round(other[0], 6) + 0.0, round(low[0], 9), round(high[0], 9), round(high[2], 9)))
-            yield pd.DataFrame(rows, columns=["event_id", "foot", "meet", "parallel", "low_x", "high_x", "high_z"])
+            v, u = pdf["value"].to_numpy(float), pdf["user_id"].to_numpy()
+            foot, _ = geo.project_on_arcs(v / 10 - 25, u % 50, -10.0, 0.0, 10.0, 0.0)
+            x, y = geo.turn_offsets(0.0, 0.0, 0.0, v, u % 50, 90.0)
+            other, _ = geo.turn_offsets(0.0, 0.0, 0.0, v + 1, 0.0, np.where(u % 2 == 0, 90.0, 180.0))
+            end = 1.0 + u % 80
+            low, high = geo.arc_envelopes(np.zeros((len(u), 2)), np.stack([-end, end], axis=1))
+            tidy = lambda a, n: pd.Series(np.round(a, n) + 0.0)
+            yield pd.DataFrame({"event_id": pdf["event_id"], "foot": tidy(foot, 6), "meet": tidy(x + y, 6), "parallel": tidy(other, 6).astype(object).where(~np.isnan(other), None), "low_x": tidy(low[:, 0], 9), "high_x": tidy(high[:, 0], 9), "high_z": tidy(high[:, 2], 9)})
 
     return tables(spark, sf_dir)["events"].select("event_id", "value", "user_id").mapInPandas(run, "event_id long, foot double, meet double, parallel double, low_x double, high_x double, high_z double")
 

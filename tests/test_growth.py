@@ -30,3 +30,32 @@ def test_reverse_sorts_no_candidates(spark):
             want[i] = near[0]
     assert {r.id: (round(r.distance, 6), r.place) for r in got.collect()} == want
     assert "SortAggregate" not in plan_of(got)
+
+
+def test_geometry_in_arrays():
+    """A hundred thousand feet, turns and boxes at once, the same as one by one."""
+    import time
+
+    from noetica.functions import geo
+
+    rng = np.random.default_rng(3)
+    n = 100_000
+    lon, lat, a, b = rng.uniform(-170, 170, n), rng.uniform(-80, 80, n), rng.uniform(-170, 170, (n, 2)), rng.uniform(-80, 80, (n, 2))
+    a[:50, 1], b[:50, 1] = a[:50, 0], b[:50, 0]  # arcs without length
+    heading = np.where(np.arange(n) % 3 == 0, 0.0, 75.0)
+    began = time.process_time()
+    x, y = geo.project_on_arcs(lon, lat, a[:, 0], b[:, 0], a[:, 1], b[:, 1])
+    low, high = geo.arc_envelopes(a, b)
+    tx, ty = geo.turn_offsets(lon, lat, 0.0, a[:, 0], b[:, 0], heading)
+    assert time.process_time() - began < 5
+    for i in range(200):
+        assert geo.project_on_arc(lon[i], lat[i], a[i, 0], b[i, 0], a[i, 1], b[i, 1]) == pytest.approx((x[i], y[i]), abs=1e-9)
+        one = geo.arc_envelope(list(zip(a[i], b[i], strict=True)))
+        assert np.allclose(one, (low[i], high[i]), atol=1e-12)
+        # a box holds its arc, and touches it
+        t = np.linspace(0, 1, 2000)[:, None]
+        ends = geo._units(a[i], b[i])
+        arc = geo._normed(ends[0] * (1 - t) + ends[1] * t)[0]
+        assert (arc >= low[i] - 1e-9).all() and (arc <= high[i] + 1e-9).all() and np.allclose(arc.min(axis=0), low[i], atol=1e-2) and np.allclose(arc.max(axis=0), high[i], atol=1e-2)
+        turn = geo.turn_offset((lon[i], lat[i]), 0.0, (a[i, 0], b[i, 0]), heading[i])
+        assert (turn is None) == (i % 3 == 0) == bool(np.isnan(tx[i])) and (turn is None or turn == pytest.approx((tx[i], ty[i])))
