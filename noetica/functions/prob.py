@@ -28,6 +28,11 @@ def log_sum_exp(x: Column, over=None) -> Column:
     return top + F.log(F.sum(F.exp(x - top)).over(over))
 
 
+def log_weight(x: Column) -> Column:
+    """Logarithm of a weight; that of zero is minus infinity, not null."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def normalised(df: DataFrame, keys: list[str], log_weight: str, out: str) -> DataFrame:
     """``out``: shares of exp(log_weight) within groups, safe for very small weights."""
     return df.withColumn(out, F.exp(F.col(log_weight) - log_sum_exp(F.col(log_weight), Window.partitionBy(*keys))))

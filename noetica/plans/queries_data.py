@@ -320,7 +320,7 @@ def soft_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_domain_shares", "select event_id, round(value / sum(value) over (partition by user_id), 8) share from events")
 def log_domain_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables(spark, sf_dir)["events"].withColumn("lw", F.log("value"))
+    e = tables(spark, sf_dir)["events"].withColumn("lw", prob.log_weight(F.col("value")))
     return prob.normalised(e, ["user_id"], "lw", "share").select("event_id", _r("share", 8))
 
 

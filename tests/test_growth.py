@@ -59,3 +59,12 @@ def test_geometry_in_arrays():
         assert (arc >= low[i] - 1e-9).all() and (arc <= high[i] + 1e-9).all() and np.allclose(arc.min(axis=0), low[i], atol=1e-2) and np.allclose(arc.max(axis=0), high[i], atol=1e-2)
         turn = geo.turn_offset((lon[i], lat[i]), 0.0, (a[i, 0], b[i, 0]), heading[i])
         assert (turn is None) == (i % 3 == 0) == bool(np.isnan(tx[i])) and (turn is None or turn == pytest.approx((tx[i], ty[i])))
+
+
+def test_shares_of_zero(spark):
+    """A weight of zero has a share of zero, not null."""
+    from noetica.functions import prob
+
+    df = spark.createDataFrame([(1, 0.0), (1, 3.0), (1, 1.0), (2, 0.0), (2, 5.0)], "k long, w double").withColumn("lw", prob.log_weight(F.col("w")))
+    got = sorted((r.k, r.w, round(r.share, 9)) for r in prob.normalised(df, ["k"], "lw", "share").collect())
+    assert got == [(1, 0.0, 0.0), (1, 1.0, 0.25), (1, 3.0, 0.75), (2, 0.0, 0.0), (2, 5.0, 1.0)]
