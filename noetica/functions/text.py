@@ -192,11 +192,15 @@ def place_hierarchy(street: Column, number: Column, locality: Column, region: Co
     """Country, region, locality and street, each with the id of its path and its parent's."""
     street = F.when(street.isNotNull() & number.isNotNull(), F.concat(number, F.lit(" "), street)).otherwise(street)
     levels = [("country", country), ("region", region), ("locality", locality), ("street", street)]
-    out, parent = [], F.lit(None).cast("string")
-    for name, value in levels:
-        own = F.when(value.isNotNull(), uuid3(F.concat_ws("/", parent, F.lit(name), value)))
-        out.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("level"), value.alias("name"), own.alias("id"), parent.alias("parent"))))
-        parent = F.coalesce(own, parent)
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+    given = F.filter(F.array(*(F.struct(F.lit(name).alias("level"), value.alias("name")) for name, value in levels)), lambda s: s["name"].isNotNull())
+    start = F.struct(F.lit(None).cast("string").alias("parent"), F.array().cast("array<struct<level:string,name:string,id:string,parent:string>>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        # the id is bound once: an expression that held its parents' expressions would double at every use
+        own = F.transform(F.array(F.concat_ws("/", a["parent"], s["level"], s["name"])), uuid3)[0]
+        found = lambda x: F.struct(x.alias("parent"), F.concat(a["out"], F.array(F.struct(s["level"].alias("level"), s["name"].alias("name"), x.alias("id"), a["parent"].alias("parent")))).alias("out"))
+        return F.transform(F.array(own), found)[0]
+
+    return F.aggregate(given, start, step, lambda a: a["out"])
 
 

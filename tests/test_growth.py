@@ -68,3 +68,22 @@ def test_shares_of_zero(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 3.0), (1, 1.0), (2, 0.0), (2, 5.0)], "k long, w double").withColumn("lw", prob.log_weight(F.col("w")))
     got = sorted((r.k, r.w, round(r.share, 9)) for r in prob.normalised(df, ["k"], "lw", "share").collect())
     assert got == [(1, 0.0, 0.0), (1, 1.0, 0.25), (1, 3.0, 0.75), (2, 0.0, 0.0), (2, 5.0, 1.0)]
+
+
+def test_place_ids_are_made_once(spark):
+    """Ids are chained, and the expression does not hold a parent's again and again."""
+    import hashlib
+    import uuid
+
+    from noetica.functions import text
+
+    df = spark.createDataFrame([("Main St", "4", "Town", "R", "Land"), (None, "4", None, "R", None), (None, None, None, None, None)], "s string, n string, l string, r string, c string")
+    levels = text.place_hierarchy(*(F.col(c) for c in "snlrc"))
+    own = lambda *x: str(uuid.UUID(bytes=hashlib.md5("/".join(x).encode()).digest(), version=3))
+    chain, want = None, []
+    for level, name in (("country", "Land"), ("region", "R"), ("locality", "Town"), ("street", "4 Main St")):
+        parent, chain = chain, own(*([chain] if chain else []), level, name)
+        want.append((level, name, chain, parent))
+    got = [[tuple(x) for x in r.p] for r in df.select(levels.alias("p")).collect()]
+    assert got == [want, [("region", "R", own("region", "R"), None)], []]
+    assert df.select(levels.alias("p"))._jdf.queryExecution().analyzed().toString().count("md5") < 20
