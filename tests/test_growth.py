@@ -115,3 +115,44 @@ def test_equal_texts_are_aligned_once(monkeypatch):
     resolve._local_parts.func(pd.Series([["JANE", "DOE"]] * 500 + [None]), pd.Series(["JANE.DOE"] * 500 + ["X"]))
     resolve._aligned.cache_clear()
     assert asked == ["JANE.DOE", "X"]
+
+
+def test_near_names_as_one_by_one():
+    """Blocks of names give the pairs and scores of the plain function, both ways, with repeated and many terms."""
+    from noetica.functions.text import jaro_winkler_of
+    from noetica.operators import resolve
+
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abc1") for _ in range(rnd.randint(1, 7))) for _ in range(60)] + ["x" * 70, "meier", "meyer", "maier"]
+    there, back = resolve.jaro_winkler_matrices(words[:60], words[20:60])
+    for i, a in enumerate(words[:60]):
+        for j, b in enumerate(words[20:60]):
+            assert there[i, j] == jaro_winkler_of(a, b) and back[i, j] == jaro_winkler_of(b, a)
+    idf = {w: rnd.choice([0.0, 0.5, 1.0, 3.0, rnd.random()]) for w in words}
+    names = [[(w, idf[w]) for w in rnd.choices(words, k=rnd.choice([0, 1, 2, 2, 3, 4, 6]))] for _ in range(90)]
+    i, j, *scores, shared = resolve._near_in_block(names[:50], names[40:], 0.8)
+    got = {(a, b): (s, t, bool(z)) for a, b, s, t, z in zip(i, j, *scores, shared, strict=True)}
+    for a, x in enumerate(names[:50]):
+        for b, y in enumerate(names[40:]):
+            s, t = (resolve.soft_tf_idf_of([w for w, _ in p], [w for w, _ in q], idf) for p, q in ((x, y), (y, x)))
+            assert ((a, b) in got) == (max(s, t) >= 0.8)
+            if (a, b) in got:
+                assert got[a, b] == (pytest.approx(s), pytest.approx(t), bool({w for w, _ in x} & {w for w, _ in y}))
+    assert len(got) > 10
+
+
+def test_match_agents_pairs_no_strangers(spark, monkeypatch):
+    """Agents that share a frequent term only are not scored in full, and the result stays that of all candidates."""
+    from noetica.operators import resolve
+
+    rnd = random.Random(2)
+    rows = [(f"s{k}", f"Supplier#{k * 37 % 1000:09d}", 2) for k in range(40)] + [(f"t{k}", f"supplier nr {k * 37 % 1000:09d}", 0) for k in range(40)]
+    rows += [(f"p{k}", f"{rnd.choice(['Anna', 'Ana', 'Jürgen'])} {rnd.choice(['Meier', 'Meyer', 'Maier'])}", rnd.choice([0, 1])) for k in range(20) for _ in range(2)]
+    names = spark.createDataFrame(rows, "agent string, name string, msg_count long")
+    weights = resolve.name_weights(names)
+    terms = resolve.term_weights(weights)
+    want = {(r.a, r.b): round(r.score, 9) for r in resolve.score_pairs(resolve.candidate_pairs(terms), weights, resolve.term_idf(terms)).where("score >= 0.9").collect()}
+    scored, plain = [], resolve.score_pairs
+    monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *rest: scored.append(pairs.count()) or plain(pairs, *rest))
+    got = {(r.a, r.b): round(r.score, 9) for r in resolve.match_agents(names).collect()}
+    assert got == want and len(want) > 40 and sum(scored) < 400
