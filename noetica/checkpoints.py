@@ -41,3 +41,10 @@ def saved_with_state(df: DataFrame, name: str, columns: list[str]) -> tuple[Data
     marks = [F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum")]
     out = saved(df.observe(seen, *marks), name)
     return out, (seen.get["n"], seen.get["sum"])
+
+
+def saved_with_count(df: DataFrame, name: str, where: str) -> tuple[DataFrame, int]:
+    """``saved``, and in how many rows a condition holds, counted while they are written."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count_if(F.expr(where)).alias("n")), name)
+    return out, seen.get["n"]

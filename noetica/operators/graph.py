@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import saved, saved_with_state
+from ..checkpoints import saved, saved_with_count, saved_with_state
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -89,6 +89,17 @@ def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return blocks.join(dealt, "_block").drop("_block")
 
 
+#: Rows up to which a frontier is sent to all tasks; whatever is larger, or not counted, is shuffled.
+#: Tables are not left to Spark's own guess here: by the size of compressed files it sends millions
+#: of rows through the driver.
+SENT_ROWS = 20_000
+
+
+def _stepped(frontier: DataFrame, n: int, table: DataFrame, on: list[str] | str) -> DataFrame:
+    """A join of ``n`` frontier rows with a table of any size, which is never sent around."""
+    return F.broadcast(frontier).join(table, on) if n <= SENT_ROWS else frontier.join(table.hint("merge"), on)
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_distance: float | None = None) -> DataFrame:
     """``(source, node, distance, parent)`` from each ``sources.node``; weights ``w`` are not negative.
 
@@ -99,15 +110,15 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_distance: float | N
     """
     name = F.col("source" if "source" in sources.columns else "node").alias("source")
     best = saved(sources.select(name, "node", F.lit(0.0).alias("distance"), F.lit(None).cast(sources.schema["node"].dataType).alias("parent")).distinct(), "paths")
-    frontier = best
-    while not frontier.isEmpty():
-        reached = frontier.join(edges.select(F.col("src").alias("node"), "dst", F.col("w").cast("double").alias("w")), "node")
+    frontier, n = best, best.count()
+    while n:
+        reached = _stepped(frontier, n, edges.select(F.col("src").alias("node"), "dst", F.col("w").cast("double").alias("w")), "node")
         reached = reached.select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("d"), F.col("node").alias("p"))
         if max_distance is not None:
             reached = reached.where(F.col("d") <= max_distance)
         reached = reached.groupBy("source", "node").agg(F.min(F.struct("d", "p")).alias("new"))
-        both = best.join(reached, ["source", "node"], "full_outer").withColumn("fell", F.col("new.d").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance"))))
-        both = saved(both.select("source", "node", F.when(F.col("fell"), F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(F.col("fell"), F.col("new.p")).otherwise(F.col("parent")).alias("parent"), "fell"), "paths")
+        both = best.join(reached.hint("merge"), ["source", "node"], "full_outer").withColumn("fell", F.col("new.d").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance"))))
+        both, n = saved_with_count(both.select("source", "node", F.when(F.col("fell"), F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(F.col("fell"), F.col("new.p")).otherwise(F.col("parent")).alias("parent"), "fell"), "paths", "fell")
         best, frontier = both.drop("fell"), both.where("fell").drop("fell")
     return best
 
@@ -128,10 +139,10 @@ def path_nodes(paths: DataFrame, targets: DataFrame) -> DataFrame:
     Paths are unfolded from their ends by the parents of ``shortest_paths``, all at once.
     """
     step = paths.select("source", F.col("node").alias("_at"), F.col("parent").alias("_up"))
-    walks = saved(targets.join(paths.select("source", "node"), ["source", "node"]).select("source", "node", F.col("node").alias("_at"), F.array("node").alias("path")), "walks")
+    walks = saved(targets.join(paths.select("source", "node").hint("merge"), ["source", "node"]).select("source", "node", F.col("node").alias("_at"), F.array("node").alias("path")), "walks")
     done = None
-    while not walks.isEmpty():
-        moved = walks.join(step, ["source", "_at"])
+    while n := walks.count():
+        moved = _stepped(walks, n, step, ["source", "_at"])
         ended = moved.where("_up is null").select("source", "node", "path")
         done = ended if done is None else done.unionByName(ended)
         walks = saved(moved.where("_up is not null").select("source", "node", F.col("_up").alias("_at"), F.concat(F.array("_up"), "path").alias("path")), "walks")

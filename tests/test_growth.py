@@ -156,3 +156,21 @@ def test_match_agents_pairs_no_strangers(spark, monkeypatch):
     monkeypatch.setattr(resolve, "score_pairs", lambda pairs, *rest: scored.append(pairs.count()) or plain(pairs, *rest))
     got = {(r.a, r.b): round(r.score, 9) for r in resolve.match_agents(names).collect()}
     assert got == want and len(want) > 40 and sum(scored) < 400
+
+
+def test_only_counted_frontiers_are_sent(spark, monkeypatch):
+    """No table of edges or paths goes through the driver, however small its files are."""
+    from noetica.operators import graph
+
+    n = 4000
+    edges = spark.range(1, n).select(F.floor((F.col("id") - 1) / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    plans, real = [], graph._stepped
+    monkeypatch.setattr(graph, "SENT_ROWS", 100)
+    monkeypatch.setattr(graph, "_stepped", lambda f, k, t, on: plans.append((k, plan_of(real(f, k, t, on)))) or real(f, k, t, on))
+    paths = graph.shortest_paths(edges, spark.createDataFrame([(0,)], "node long"))
+    walks = graph.path_nodes(paths, paths.select("source", "node"))
+    got = {r.node: r.path for r in walks.collect()}
+    assert len(got) == n and got[n - 1][0] == 0 and all(p[i] == (p[i + 1] - 1) // 2 for p in got.values() for i in range(len(p) - 1))
+    assert any(k > 100 for k, _ in plans) and any(k <= 100 for k, _ in plans)
+    for k, plan in plans:
+        assert ("BroadcastHashJoin" in plan) == (k <= 100)
