@@ -38,9 +38,10 @@ def _iri(prefix: str, key: str):
 
 
 def _written(df: DataFrame, name: str) -> str:
-    """A column of texts as files, one row after the other."""
+    """A column of texts as files, one row after the other; a file is read whole by a task, so
+    its rows do not grow with the table."""
     path = scratch(df.sparkSession, name)
-    df.write.option("lineSep", "\n").text(path)
+    df.write.option("lineSep", "\n").option("maxRecordsPerFile", 20_000).text(path)
     return path
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import pickle
 import re
 import zipfile
 import zlib
@@ -72,11 +73,13 @@ def parse_file(path: str, content: bytes) -> Iterator[tuple]:
             kind = kind_of(name)
             kind = kind if kind in personal.PARSERS else kind_in(data)
             try:
-                found = personal.PARSERS[kind](data, name.replace(" ", "%20")) if kind else []
+                # a document in error gives no quads, so they wait for its end, packed
+                found = [zlib.compress(pickle.dumps(rows), 1) for rows in batched(personal.PARSERS[kind](data, name.replace(" ", "%20")) if kind else [], 10_000)]
             except Exception as e:  # any fault of a document is that document's
                 fault = FileFault(f"{type(e).__name__}: {e}")
             else:
-                yield from ((*q, None) for q in found)
+                for rows in found:
+                    yield from ((*q, None) for q in pickle.loads(zlib.decompress(rows)))
         if fault is not None:
             yield (None, None, None, f"<{name.replace(' ', '%20')}>", str(fault))
 

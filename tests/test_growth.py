@@ -174,3 +174,36 @@ def test_only_counted_frontiers_are_sent(spark, monkeypatch):
     assert any(k > 100 for k, _ in plans) and any(k <= 100 for k, _ in plans)
     for k, plan in plans:
         assert ("BroadcastHashJoin" in plan) == (k <= 100)
+
+
+def test_documents_are_parsed_in_little_memory():
+    """A file of many cards or events takes a small multiple of its size; one in error still gives no quads."""
+    import tracemalloc
+
+    from noetica.sources import files, personal
+
+    def card(i):
+        return f"BEGIN:VCARD\r\nUID:c{i}\r\nFN:Name {i}\r\nEMAIL:c{i}@x.org\r\nEND:VCARD\r\n"
+
+    def event(i):
+        return f"BEGIN:VEVENT\r\nUID:e{i}\r\nSUMMARY:s{i}\r\nDTSTART:20240101T000000Z\r\nEND:VEVENT\r\n"
+
+    for name, one, each in (("a.vcf", card, 5), ("a.ics", event, 3)):
+        data = "".join(map(one, range(30_000))).encode()
+        tracemalloc.start()
+        n = sum(1 for _ in files.parse_file(name, data))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 30_000 * each and peak < 6 * len(data)
+    got = list(files.parse_file("a.vcf", "".join(map(card, range(3))).encode()))
+    assert [q[:4] for q in got] == personal.parse_vcard("".join(map(card, range(3))).encode(), "a.vcf")
+
+    def broken(data, iri):
+        yield from personal.vcard_quads(data, iri)
+        raise ValueError("late")
+
+    old, personal.PARSERS["text/vcard"] = personal.PARSERS["text/vcard"], broken
+    try:
+        assert [q[4] for q in files.parse_file("a.vcf", "".join(map(card, range(20_000))).encode())] == ["ValueError: late"]
+    finally:
+        personal.PARSERS["text/vcard"] = old
