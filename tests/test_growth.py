@@ -207,3 +207,27 @@ def test_documents_are_parsed_in_little_memory():
         assert [q[4] for q in files.parse_file("a.vcf", "".join(map(card, range(20_000))).encode())] == ["ValueError: late"]
     finally:
         personal.PARSERS["text/vcard"] = old
+
+
+@pytest.mark.parametrize("where", ["plain", "date line", "pole", "kept"])
+def test_global_clusters_over_tiles(spark, monkeypatch, where):
+    """Tiles as small as they can be, at the date line and a pole: the greedy result, and no pairs written."""
+    from noetica.operators import stays
+
+    rnd = random.Random(where)
+    if where == "pole":
+        points = [(rnd.uniform(-180, 180), 90 - abs(rnd.gauss(0, 0.01))) for _ in range(250)]
+    else:
+        points = [(((180.0 if where == "date line" else 2.0) + rnd.gauss(0, 0.06) + 180) % 360 - 180, 48 + rnd.gauss(0, 0.04)) for _ in range(900)]
+    points += points[:20]
+    if where == "kept":
+        monkeypatch.setattr(stays, "KEPT_NEIGHBOURS", 10)
+    array = np.array(points)
+    want = {i: min(c) for c in stays.greedy_clusters(array, 150.0) for i in c}
+    tiles = stays._tiled(spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lon double, lat double"), 150.0)
+    assert tiles.where("core").count() == len(points) and (where == "pole" or tiles.select("band", "cell").distinct().count() > 4)
+    written, real = [], stays.saved
+    monkeypatch.setattr(stays, "saved", lambda df, name: (lambda out: written.append(out.count()) or out)(real(df, name)))
+    df = spark.createDataFrame([*((i, *p) for i, p in enumerate(points)), (5000, None, 1.0)], "id long, lon double, lat double")
+    assert {r.id: r.cluster for r in stays.global_clusters(df, 150.0).collect()} == want | {5000: 5000}
+    assert sum(written) == len(points)
