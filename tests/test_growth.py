@@ -231,3 +231,35 @@ def test_global_clusters_over_tiles(spark, monkeypatch, where):
     df = spark.createDataFrame([*((i, *p) for i, p in enumerate(points)), (5000, None, 1.0)], "id long, lon double, lat double")
     assert {r.id: r.cluster for r in stays.global_clusters(df, 150.0).collect()} == want | {5000: 5000}
     assert sum(written) == len(points)
+
+
+@pytest.mark.parametrize("where", ["plain", "date line", "pole"])
+def test_near_pairs_send_points_to_five_cells(spark, where):
+    from noetica.operators import relational
+    from noetica.operators.stays import haversine_of
+
+    rnd = random.Random(where)
+    if where == "pole":
+        points = [(rnd.uniform(-180, 180), rnd.choice([-1, 1]) * (89 - abs(rnd.gauss(0, 0.5)))) for _ in range(300)]
+        metres = 60_000.0
+    else:
+        points = [(((180.0 if where == "date line" else 2.0) + rnd.gauss(0, 0.06) + 180) % 360 - 180, 48 + rnd.gauss(0, 0.04)) for _ in range(300)]
+        metres = 800.0
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if haversine_of(*points[i], *points[j]) <= metres}
+    found = relational.near_pairs(spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lon double, lat double"), metres)
+    rows = [(r.a, r.b) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 20
+    sent = []
+
+    def walk(node):
+        if node.nodeName() == "Generate":
+            sent.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.finalPhysicalPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert sent and max(sent) <= 5 * 300
