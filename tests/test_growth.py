@@ -263,3 +263,16 @@ def test_near_pairs_send_points_to_five_cells(spark, where):
 
     walk(found._jdf.queryExecution().executedPlan())
     assert sent and max(sent) <= 5 * 300
+
+
+def test_direct_prefers_the_same_name(spark):
+    """Names of the same grams: the one that is the text comes first, whatever its number."""
+    names = [(k, f"Supplier#{k:09d}") for k in (11, 111, 1111, 11111, 111111)]
+    g = spark.createDataFrame([(k, n, 2.0, 48.0) for k, n in names], "place long, name string, lon double, lat double")
+    q = spark.createDataFrame([(k, n.lower(), None, None) for k, n in names], "q long, text string, lon double, lat double")
+    got = places.direct(q, g, k=3)
+    assert {r.q: r.place for r in got.where("rank = 1").collect()} == {k: k for k, _ in names}
+    assert all(r.n == 3 for r in got.groupBy("q").agg(F.count("*").alias("n")).collect())
+    at = spark.createDataFrame([(1, "supplier#000001111", 3.0, 48.0)], "q long, text string, lon double, lat double")
+    far = g.unionByName(spark.createDataFrame([(9, "Supplier#000011111", 3.0, 48.0)], g.schema))
+    assert [r.place for r in places.direct(at, far).orderBy("rank").collect()][:2] == [9, 1111]
