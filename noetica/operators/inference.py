@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import saved
 from ..model import DIFFERENT_FROM, OWL, RDF, RDFS, SAME_AS, TYPE, apply_diff, is_blank, is_iri
-from .graph import connected_components, reachable, transitive_closure
+from .graph import SENT_ROWS, connected_components, reachable, transitive_closure
 
 INVERSE_OF, SYMMETRIC, TRANSITIVE = f"<{OWL}inverseOf>", f"<{OWL}SymmetricProperty>", f"<{OWL}TransitiveProperty>"
 SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE = (f"<{RDFS}{x}>" for x in ("subClassOf", "subPropertyOf", "domain", "range"))
@@ -58,23 +58,28 @@ def owl_closure(triples: DataFrame) -> DataFrame:
 def rdfs_closure(triples: DataFrame, ontology: DataFrame) -> DataFrame:
     """What subclasses, subproperties, domains and ranges add to ``triples``.
 
-    The ontology is closed first; each instance triple then meets its small tables once.
+    The ontology is closed first; each instance triple then meets its small tables once.  They
+    are counted and sent to all tasks: a shuffle by property or class would put all triples of
+    one into one task.
     """
 
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
     def pairs(p: str, a: str, b: str) -> DataFrame:
         return ontology.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
 
     def closed(p: str, a: str, b: str) -> DataFrame:
         return transitive_closure(pairs(p, "src", "dst")).select(F.col("src").alias(a), F.col("dst").alias(b))
 
-    classes, properties = saved(closed(SUB_CLASS, "o", "sup"), "rdfs"), saved(closed(SUB_PROPERTY, "p", "sup"), "rdfs")
+    classes, properties = sent(saved(closed(SUB_CLASS, "o", "sup"), "rdfs")), sent(saved(closed(SUB_PROPERTY, "p", "sup"), "rdfs"))
     base = triples.select("s", "p", "o")
     widened = base.unionByName(base.join(properties, "p").select("s", F.col("sup").alias("p"), "o"))
-    of_subject = widened.join(pairs(DOMAIN, "p", "c"), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
-    of_object = widened.join(pairs(RANGE, "p", "c"), "p").where(is_iri(F.col("o")) | is_blank(F.col("o"))).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+    of_subject = widened.join(sent(pairs(DOMAIN, "p", "c")), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+    of_object = widened.join(sent(pairs(RANGE, "p", "c")), "p").where(is_iri(F.col("o")) | is_blank(F.col("o"))).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
     typed = widened.where(F.col("p") == TYPE).unionByName(of_subject).unionByName(of_object)
     types = typed.unionByName(typed.join(classes, "o").select("s", "p", F.col("sup").alias("o")))
-    return widened.unionByName(types).distinct().join(base, ["s", "p", "o"], "left_anti")
+    return widened.unionByName(types).distinct().join(base.hint("merge"), ["s", "p", "o"], "left_anti")
 
 
 def shared_identifiers(quads: DataFrame, predicates: list[str]) -> DataFrame:

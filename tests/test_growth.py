@@ -276,3 +276,16 @@ def test_direct_prefers_the_same_name(spark):
     at = spark.createDataFrame([(1, "supplier#000001111", 3.0, 48.0)], "q long, text string, lon double, lat double")
     far = g.unionByName(spark.createDataFrame([(9, "Supplier#000011111", 3.0, 48.0)], g.schema))
     assert [r.place for r in places.direct(at, far).orderBy("rank").collect()][:2] == [9, 1111]
+
+
+def test_no_shuffle_by_property(spark):
+    """Triples of one property are not gathered in one task to meet the ontology."""
+    from noetica.operators import inference
+
+    ontology = spark.createDataFrame([("<p>", inference.DOMAIN, "<A>"), ("<p>", inference.RANGE, "<B>"), ("<A>", inference.SUB_CLASS, "<C>")], "s string, p string, o string")
+    triples = spark.range(50).select(F.concat(F.lit("<s"), "id", F.lit(">")).alias("s"), F.lit("<p>").alias("p"), F.concat(F.lit("<o"), F.col("id") % 5, F.lit(">")).alias("o"))
+    found = inference.rdfs_closure(triples, ontology)
+    assert found.groupBy("o").count().collect() and {(r.o, r["count"]) for r in found.groupBy("o").count().collect()} == {("<A>", 50), ("<B>", 5), ("<C>", 50)}
+    import re
+
+    assert not re.search(r"hashpartitioning\((p|o)#\d+, ", plan_of(found))
